@@ -1,0 +1,7 @@
+"""All registered raster queries: plans in PySpark and their DuckDB SQL."""
+
+from __future__ import annotations
+
+FLAGSHIP = "box_blur_row_error"
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
