@@ -29,6 +29,33 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgrid.llm import hpylm
+
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    return hpylm.score(docs.withColumn("train", F.coalesce(part != 1, F.lit(True))), "train")
+
+
+def op3_cover_tree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgrid.llm import cover_tree
+
+    return cover_tree.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+def op4_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgrid.llm import ann_scan
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_scan.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgrid.llm import quality_kn
+
+    return quality_kn.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismgrid.llm import simhash
 
@@ -134,6 +161,16 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismgrid.llm import langid_crf
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    docs = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+    model = langid_crf.fit(docs.filter("not held_out"))
+    return langid_crf.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -142,10 +179,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
+    "op2_hierarchical_pitman_yor": op2_hierarchical_pitman_yor,
+    "op3_cover_tree_pairs": op3_cover_tree_pairs,
+    "op4_adaptive_dimension_scan": op4_adaptive_dimension_scan,
+    "op5_kneser_ney_quality": op5_kneser_ney_quality,
     "op6_simhash_segment_popcount": op6_simhash_segment_popcount,
     "op7_url_temporal_list_join": op7_url_temporal_list_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pivotal_mixing": op9_pivotal_mixing,
+    "op10_crf_language_id": op10_crf_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_temporal_list_join": OP7_SQL}
