@@ -91,16 +91,18 @@ class Merged:
         parts = [S.read_block(b) for b in blocks]
         self.first, u_at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         self.second, v_at = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-        keys, nu, nv = [], 0, 0
-        for p in parts:
+        lengths = [len(p[3]) for p in parts]
+        keys, at, nu, nv = np.empty(sum(lengths), np.int64), 0, 0, 0
+        for p, n in zip(parts, lengths, strict=True):
             u = np.repeat(u_at[nu : nu + len(p[0])], p[1])
-            keys.append(u * len(self.second) + v_at[nv : nv + len(p[2])][p[3]])
-            nu, nv = nu + len(p[0]), nv + len(p[2])
-        pair, where = np.unique(np.concatenate(keys), return_inverse=True)
+            keys[at : at + n] = u * len(self.second) + v_at[nv : nv + len(p[2])][p[3]]
+            nu, nv, at = nu + len(p[0]), nv + len(p[2]), at + n
+        pair, where = np.unique(keys, return_inverse=True)
+        del keys
+        where = where.astype(np.int32)
         self.count = np.bincount(where, np.concatenate([p[4] for p in parts]), len(pair)).astype(np.int64)
-        self.u, self.w = pair // len(self.second), pair % len(self.second)
-        ends = np.cumsum([len(k) for k in keys])
-        self.where = np.split(where, ends[:-1])
+        self.u, self.w = (pair // len(self.second)).astype(np.int32), (pair % len(self.second)).astype(np.int32)
+        self.where = np.split(where, np.cumsum(lengths)[:-1])
         self.postings = [p[5:] for p in parts]
 
     def by_second(self, values: np.ndarray) -> np.ndarray:
@@ -245,7 +247,7 @@ def score(
     rounds: int = 2,
     sweeps: int = 3,
     samples: int = 3,
-    words: int = 2_500_000,
+    words: int = 2_000_000,
     seed: int = 7,
 ) -> DataFrame:
     """Score all texts with a model of those whose boolean column ``train`` is true.
@@ -257,7 +259,7 @@ def score(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or max(24, math.ceil(docs.count() / 8000))
+    shards = shards or max(24, math.ceil(docs.count() / 3000))
     blocks = S.staged_by(_deal(docs, train, shards, words), "shard", shards, "bigrams")
     release(spark)
     held = blocks.filter("shard >= 0")

@@ -176,11 +176,12 @@ def bigram_blocks(before, word, text, train: np.ndarray, shards: int) -> Iterato
 
 def read_block(data: bytes):
     """(before, runs, vocabulary, word position, learned, postings, text, times)."""
-    u, runs, v, wi, learned, postings, step, times = (x.astype(np.int64) if i not in (0, 2) else x for i, x in enumerate(unpack(data)))
-    heads = np.concatenate([[0], np.cumsum(postings)[:-1]]) if len(postings) else postings
-    total = np.cumsum(step)
+    u, runs, v, wi, learned, postings, step, times = unpack(data)
+    heads = np.cumsum(postings, dtype=np.int64) - postings
+    total = np.cumsum(step, dtype=np.int64)
     base = total[heads] - step[heads] if len(heads) else heads
-    return ungaps(u), runs, ungaps(v), wi, learned, postings, total - np.repeat(base, postings), times
+    text = (total - np.repeat(base, postings)).astype(np.int32)
+    return ungaps(u), runs, ungaps(v), wi, learned, postings, text, times
 
 
 def staged_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
