@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import shards as S
-from prismgrid.llm.common import small_batches, staged
+from prismgrid.llm.common import release, small_batches, staged
 
 VOCABULARY = 65_536
 QUANTILE, SLACK, PRIOR_WORDS = 0.995, 1.1, 20.0
@@ -242,10 +242,12 @@ def judge(
 ) -> DataFrame:
     """Per document ``doc_id, lang, n_tokens, log10_p, perplexity, adjusted, threshold, accepted``."""
     trusted = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    rows = docs.select("doc_id", "text", "lang").join(trusted, "doc_id", "left")
     # A fifth of the trusted texts is held out and sets the thresholds.
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5))
-    train = rows.filter(F.col("trusted") & (part != 0))
+    learned = trusted.filter(part != 0).select("doc_id")
+    # One shuffle of the texts at any size of the labels; both training passes read what it leaves.
+    train = staged(docs.select("doc_id", "text").join(learned.hint("merge"), "doc_id", "left_semi"), "train")
+    release(docs.sparkSession)
     held_out = F.coalesce(F.col("trusted") & (part == 0), F.lit(False))
     scored = staged(perplexities(docs.select("doc_id", "text", "lang"), train, vocabulary), "scored")
     scored = scored.join(trusted, "doc_id", "left").withColumn("held_out", held_out).filter("n_tokens >= 1")
