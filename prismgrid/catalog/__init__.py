@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from prismgrid.catalog import maps
+from prismgrid.catalog import aggregates, composites, joins, maps, sinks, streams, windows
 
 FLAGSHIP = "c12_finish_default"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (maps,):
+for _module in (maps, windows, aggregates, joins, composites, streams, sinks):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -134,8 +134,13 @@ def _double(df: DataFrame, along: str, size: DataFrame, extent: str) -> DataFram
     left, right = F.coalesce(F.lag("v").over(order), F.col("v")), F.coalesce(F.lead("v").over(order), F.col("v"))
     even = 2.0 * (KERNEL[0] * left + KERNEL[2] * F.col("v") + KERNEL[4] * right) / 16.0
     odd = 2.0 * (KERNEL[1] * F.col("v") + KERNEL[3] * right) / 16.0
-    both = F.array(F.struct((F.col(along) * 2).alias("p"), even.alias("v")), F.struct((F.col(along) * 2 + 1).alias("p"), odd.alias("v")))
-    df = df.withColumn("_two", F.explode(both)).withColumn(along, F.col("_two.p")).withColumn("v", F.col("_two.v")).drop("_two")
+    df = df.withColumns({"_even": even, "_odd": odd})
+    both = F.array(
+        F.struct((F.col(along) * 2).alias("p"), F.col("_even").alias("v")),
+        F.struct((F.col(along) * 2 + 1).alias("p"), F.col("_odd").alias("v")),
+    )
+    df = df.withColumn("_two", F.explode(both)).withColumns({along: F.col("_two.p"), "v": F.col("_two.v")})
+    df = df.drop("_two", "_even", "_odd")
     return df.join(F.broadcast(size), "frame_id").filter(F.col(along) < F.col(extent)).drop("w", "h")
 
 
