@@ -247,7 +247,7 @@ def score(
     rounds: int = 2,
     sweeps: int = 3,
     samples: int = 3,
-    words: int = 2_000_000,
+    words: int = 1_200_000,
     seed: int = 7,
 ) -> DataFrame:
     """Score all texts with a model of those whose boolean column ``train`` is true.

@@ -138,21 +138,36 @@ def with_ends(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     before = np.empty(n, _U)
     before[1:] = word[:-1]
     before[np.concatenate([[0], ends[:-1] + 1])] = BEGIN
-    return before, word, np.repeat(np.arange(len(counts)), counts + 1)
+    return before, word, np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
 
 
 def bigram_blocks(before, word, text, train: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
     """(shard, block) of one batch. ``train`` marks the texts that are learned from."""
     first, u = np.unique(before, return_inverse=True)
+    del before
+    u = u.astype(np.int32)
     second, w = np.unique(word, return_inverse=True)
+    del word
     shard_of = (first % _U(shards)).astype(np.int64)
     rank = np.empty(len(first), np.int64)  # words before, by shard and then hash
     order = np.lexsort((first, shard_of))
     rank[order] = np.arange(len(first))
     n_texts = len(train)
-    key = (rank[u] * len(second) + w) * n_texts + text
-    key, times = np.unique(key, return_counts=True)
-    pair, doc = key // n_texts, key % n_texts
+    key = rank[u]
+    del u
+    key *= len(second)
+    key += w
+    del w
+    key *= n_texts
+    key += text
+    del text
+    key.sort()
+    fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+    times = np.diff(np.append(fresh, len(key))).astype(np.int32)
+    key = key[fresh]
+    del fresh
+    pair, doc = key // n_texts, (key % n_texts).astype(np.int32)
+    del key
     at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
     learned = np.add.reduceat(times * train[doc], at) if len(at) else at
     postings = np.diff(np.append(at, len(pair)))
