@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from prismgrid.catalog import sql
 from prismgrid.catalog.windows import ORACLE_SQL as WINDOWS
-from prismgrid.sources import raster
+from prismgrid.sources import raster, shared
 from prismgrid.streaming import live
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -17,15 +14,14 @@ QUERIES, ORACLE_SQL = {}, {}
 
 def folder(spark) -> str:
     """A fresh folder that all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(where or tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared.fresh(spark, "stream")
 
 
 def source(spark, sf_dir):
-    """The events, written as four files in order and read one file a batch."""
+    """The events, written as four files with whole sessions and read one file a batch."""
     path = f"{folder(spark)}/in"
     events = raster.read(spark, sf_dir, "events")
-    events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    events.repartition(4, F.expr("event_id div 40")).sortWithinPartitions("event_id").write.parquet(path)
     return live.event_stream(spark, path)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismgrid.functions import color
+from prismgrid.sources.shared import barrier
 
 VOTE_TILE, MIN_VOTES = 8, 3
 FAR = 1e300  # a difference that no overlap gives
@@ -112,16 +113,16 @@ def align(plane: DataFrame, size: tuple[int, int], levels: int = 3) -> DataFrame
     Coarse votes at the smallest level, then searches of two steps at each finer one. A frame is
     accepted if its difference is at most four times the median of all, at least 1.
     """
-    pyramid, sizes = [plane], [size]
+    pyramid, sizes = [barrier(plane)], [size]
     while len(pyramid) < levels and min(sizes[-1]) >= 2:
-        pyramid.append(half(pyramid[-1]))
+        pyramid.append(barrier(half(pyramid[-1])))
         sizes.append((sizes[-1][0] // 2, sizes[-1][1] // 2))
     frames = plane.filter("frame_id > 0").select("frame_id").distinct()
-    at = coarse(pyramid[-1], frames, sizes[-1])
+    at = barrier(coarse(pyramid[-1], frames, sizes[-1]))
     found = search(pyramid[-1], at, 0, sizes[-1])
     for k in range(len(pyramid) - 2, -1, -1):
         twice = found.select("frame_id", (2 * F.col("cx")).alias("cx"), (2 * F.col("cy")).alias("cy"))
-        found = search(pyramid[k], twice, 2, sizes[k])
+        found = barrier(search(pyramid[k], barrier(twice), 2, sizes[k]))
     usual = found.agg(F.median("mad").alias("m"))
     judged = found.crossJoin(F.broadcast(usual)).select(
         "frame_id",

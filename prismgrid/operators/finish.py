@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from prismgrid.functions import color
 from prismgrid.operators import neighborhood as N
 from prismgrid.operators import stats
+from prismgrid.sources.shared import barrier
 
 PX = ["frame_id", "y", "x", "r", "g", "b"]
 
@@ -192,9 +193,15 @@ def rescue_channels(gain: str, engagement: str) -> tuple[str, str, str]:
 def rescue_backlit(px: DataFrame, engagement: DataFrame, radius: int = 32) -> DataFrame:
     """Lift what lies in shadow against a bright background. ``engagement``: ``frame_id, engagement``."""
     px = N.guided(px.withColumn("_y", F.expr(color.luma())), {"_base": "_y"}, "_y", radius, (0.035 * 255) ** 2)
-    px = px.join(F.broadcast(engagement), "frame_id").withColumn("_gain", F.expr(color.rescue_gain("greatest(_base, 1e0)")))
-    out = _codes(px, *(f"CASE WHEN engagement > 0e0 THEN {new} ELSE {c} END" for c, new in zip("rgb", rescue_channels("_gain", "engagement"), strict=True)))
-    return out.drop("_y", "_base", "_gain", "engagement")
+    px = px.join(F.broadcast(engagement), "frame_id").withColumn("_base", F.greatest("_base", F.lit(1.0)))
+    px = px.withColumns({"_gain": F.expr(f"CASE WHEN _base < 150e0 THEN {color.shadow_gain('_base')} ELSE 1e0 END"), "_t": F.expr(color.clamp("(_base - 150e0) / 70e0", 0, 1))})
+    px = px.withColumn("_protect", F.expr("_t * _t * (3e0 - 2e0 * _t)"))
+    px = px.withColumn("_eff", F.expr("1e0 + least(engagement, 1e0) * (_gain * (1e0 - _protect) + _protect - 1e0)"))
+    px = px.withColumn("_lift", F.expr(color.clamp("(_eff - 1e0) / 6.5e0", 0, 1)))
+    warm = {"r": "(1e0 + 0.05e0 * _lift)", "g": "1e0", "b": f"(1e0 - {color.num(0.05 * 0.7)} * _lift)"}
+    px = px.withColumns({f"_v{c}": F.expr(f"{c} * _eff * {w}") for c, w in warm.items()})
+    out = _codes(px, *(f"CASE WHEN engagement > 0e0 THEN {color.code(color.rescue_shoulder(f'_v{c}'))} ELSE {c} END" for c in "rgb"))
+    return out.drop("_y", "_base", "_gain", "_t", "_protect", "_eff", "_lift", "_vr", "_vg", "_vb", "engagement")
 
 
 def engagement(px: DataFrame, params: Params) -> DataFrame:
@@ -214,10 +221,13 @@ def analysis(px: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def finish(px: DataFrame, params: Params = DEFAULT, width: int = 100, height: int | None = None) -> DataFrame:
-    """The whole chain on frames of one width (and height, where it exceeds the analysis size)."""
+    """The whole chain on frames of one width (and height, where it exceeds the analysis size).
+
+    Two statistics barriers are written on the way: after the rescue and before the detail stage.
+    """
     px = px.select(*PX)
     if params.backlit_rescue > 0:
-        px = rescue_backlit(px, engagement(px, params))
+        px = barrier(rescue_backlit(px, engagement(px, params)))
     if params.white_balance > 0:
         source = analysis(px, width, height) if height else px
         px = balance(px, stats.white_balance_gains(source), params.white_balance)
@@ -234,6 +244,7 @@ def finish(px: DataFrame, params: Params = DEFAULT, width: int = 100, height: in
     if params.local_contrast > 0:
         px = local_tone(px, params.local_contrast, modulation)
     if params.detail > 0:
+        px = barrier(px)  # the knee and the pixels both come from here
         px = enhance_detail(px, params.detail, modulation)
     px = tone_curve(px, params.shadows_lift, params.highlight_rolloff)
     px = contrast(saturate(px, params.saturation, modulation), params.contrast)

@@ -129,9 +129,32 @@ def white_balance_gains(px: DataFrame) -> DataFrame:
 
 
 def gains_from(cues: DataFrame) -> DataFrame:
-    """Gains from ``frame_id, size`` and the three cues as columns ``gray_*, high_*, probe_*``."""
-    exprs = gains_sql()
-    return cues.select("frame_id", F.expr(exprs["r"]).alias("gain_r"), F.expr(exprs["b"]).alias("gain_b"))
+    """Gains from ``frame_id, size`` and the three cues as columns ``gray_*, high_*, probe_*``.
+
+    Step by step, so that no expression repeats another inside itself.
+    """
+    good = lambda p: (F.col(f"{p}_n") > 0) & (F.least(*[F.col(f"{p}_{c}") for c in "rgb"]) > 1e-6)
+    at_least = lambda share: F.greatest(F.lit(1), F.expr(color.whole(f"size * {color.num(share)}")))
+    c = cues.withColumns({f"{p}_w": F.when(good(p), F.greatest(F.col(f"{p}_n").cast("double"), F.lit(CUE_FLOOR))).otherwise(0.0) for p in ("gray", "high")})
+    c = c.withColumns(
+        {
+            "usable": (F.col("gray_n") + F.col("high_n") >= at_least(USABLE_SHARE)) & (F.col("gray_w") + F.col("high_w") > 0),
+            "probed": (F.col("probe_n") >= at_least(PROBE_SHARE)) & good("probe"),
+        }
+    )
+    for k in "rb":
+        ratio = lambda p, k=k: F.when(F.col(f"{p}_w") > 0, F.col(f"{p}_g") / F.col(f"{p}_{k}")).otherwise(0.0)
+        mean = (F.col("gray_w") * ratio("gray") + F.col("high_w") * ratio("high")) / (F.col("gray_w") + F.col("high_w"))
+        c = c.withColumn("raw", F.when(F.col("usable"), mean).otherwise(1.0))
+        c = c.withColumn("neutral", F.when(F.col("probed"), F.col("probe_g") / F.col(f"probe_{k}")))
+        low, high = F.least(F.lit(1.0), F.col("neutral") * (1 - PROBE_SLACK)), F.greatest(F.lit(1.0), F.col("neutral") * (1 + PROBE_SLACK))
+        c = c.withColumn("held", F.when(F.col("probed"), F.least(F.greatest("raw", low), high)).otherwise(F.col("raw")))
+        c = c.withColumn("gap", F.col("held") - 1.0)
+        c = c.withColumn("t", F.least(F.greatest((F.abs("gap") - NEUTRAL) / RAMP, F.lit(0.0)), F.lit(1.0)))
+        eased = 1.0 + F.col("gap") * F.col("t") * F.col("t") * (3.0 - 2.0 * F.col("t"))
+        bounded = F.least(F.greatest(eased, F.lit(1 / MAX_GAIN)), F.lit(MAX_GAIN))
+        c = c.withColumn(f"gain_{k}", F.when(F.col("usable") & (F.abs("gap") > NEUTRAL), bounded).otherwise(1.0))
+    return c.select("frame_id", "gain_r", "gain_b")
 
 
 def gains_sql() -> dict[str, str]:
@@ -158,12 +181,17 @@ def backlit(px: DataFrame) -> DataFrame:
     shares = px.groupBy("frame_id").agg(
         share(f"{y} >= 24e0 AND {y} < 60e0").alias("dark"), share(f"{y} > 160e0").alias("bright"), share(f"{y} >= 70e0 AND {y} <= 150e0").alias("mid")
     )
-    return shares.withColumn("strength", F.expr(backlit_strength()))
+    shares = shares.withColumns({f"_{i}": F.expr(color.clamp(m, 0, 1)) for i, m in enumerate(BACKLIT_MARGINS)})
+    eased = F.least(*[F.expr(f"_{i} * _{i} * (3e0 - 2e0 * _{i})") for i in range(3)])
+    return shares.withColumn("strength", eased).drop("_0", "_1", "_2")
+
+
+#: How far the three shares are inside the bounds of a backlit scene.
+BACKLIT_MARGINS = ("(dark - 0.25e0) / 0.1e0", "(bright - 0.15e0) / 0.1e0", "(0.35e0 - mid) / 0.1e0")
 
 
 def backlit_strength() -> str:
-    margins = ("(dark - 0.25e0) / 0.1e0", "(bright - 0.15e0) / 0.1e0", "(0.35e0 - mid) / 0.1e0")
-    return f"least({', '.join(color.smoothstep(0, 1, m) for m in margins)})"
+    return f"least({', '.join(color.smoothstep(0, 1, m) for m in BACKLIT_MARGINS)})"
 
 
 # --- quality ------------------------------------------------------------------------------------
