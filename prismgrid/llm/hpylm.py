@@ -123,6 +123,7 @@ def _deal(docs: DataFrame, train: str, shards: int, words: int) -> DataFrame:
             out = [(-1, head), *S.bigram_blocks(*S.with_ends(hashes, counts), flags.astype(np.int64), shards)]
             for s, block in out:
                 yield pa.RecordBatch.from_pydict({"shard": [s], "batch": [batch], "block": [block]}, SCHEMA)
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text", F.col(train)).mapInArrow(deal, "shard int, batch long, block binary")
 
@@ -247,7 +248,7 @@ def score(
     rounds: int = 2,
     sweeps: int = 3,
     samples: int = 3,
-    words: int = 1_200_000,
+    words: int = 800_000,
     seed: int = 7,
 ) -> DataFrame:
     """Score all texts with a model of those whose boolean column ``train`` is true.

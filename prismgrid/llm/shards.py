@@ -23,7 +23,7 @@ from prismgrid.llm.common import shared_dir
 _U = np.uint64
 #: Words that stand for the borders of a text; hashes of words are never these by more than chance.
 BEGIN, END = 1, 2
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
