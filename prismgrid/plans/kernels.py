@@ -418,16 +418,27 @@ def half(p: np.ndarray) -> np.ndarray:
     return (q[::2, ::2] + q[::2, 1::2] + q[1::2, ::2] + q[1::2, 1::2] + 2) // 4
 
 
-def _overlap(ref: np.ndarray, frame: np.ndarray, dx: int, dy: int):
-    """Absolute differences where both exist, as (differences, valid) on the reference grid."""
-    h, w = ref.shape
-    out, ok = np.zeros((h, w), np.int64), np.zeros((h, w), bool)
-    y0, y1 = max(0, -dy), min(h, frame.shape[0] - dy)
-    x0, x1 = max(0, -dx), min(w, frame.shape[1] - dx)
-    if y0 < y1 and x0 < x1:
-        out[y0:y1, x0:x1] = np.abs(ref[y0:y1, x0:x1] - frame[y0 + dy : y1 + dy, x0 + dx : x1 + dx])
-        ok[y0:y1, x0:x1] = True
-    return out, ok
+def _span(start: int, stop: int, step: int, limit: int) -> tuple[int, int]:
+    """The part of start..stop whose places moved by ``step`` stay within 0..limit."""
+    return max(start, -step), max(max(start, -step), min(stop, limit - step))
+
+
+def _overlap(ref: np.ndarray, frame: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """Absolute differences on the reference grid, 0 where the moved frame does not reach."""
+    out = np.zeros(ref.shape, np.int32)
+    (y0, y1), (x0, x1) = _span(0, ref.shape[0], dy, frame.shape[0]), _span(0, ref.shape[1], dx, frame.shape[1])
+    np.abs(ref[y0:y1, x0:x1] - frame[y0 + dy : y1 + dy, x0 + dx : x1 + dx], out=out[y0:y1, x0:x1])
+    return out
+
+
+def _counts(shape: tuple[int, int], dx: int, dy: int, tile: int) -> np.ndarray:
+    """How many pixels of each tile the moved frame reaches."""
+    sides = []
+    for size, step in zip(shape, (dy, dx), strict=True):
+        a, b = _span(0, size, step, size)
+        begin = np.arange(0, size, tile)
+        sides.append(np.maximum(np.minimum(np.minimum(begin + tile, size), b) - np.maximum(begin, a), 0))
+    return sides[0][:, None] * sides[1][None, :]
 
 
 def _search(ref, frame, cx: int, cy: int, radius: int):
@@ -437,10 +448,11 @@ def _search(ref, frame, cx: int, cy: int, radius: int):
     best = (math.inf, cy, cx)
     for dy in range(cy - radius, cy + radius + 1):
         for dx in range(cx - radius, cx + radius + 1):
-            d, ok = _overlap(ref, frame, dx, dy)
-            n = int(ok[my : h - my, mx : w - mx].sum())
+            (y0, y1), (x0, x1) = _span(my, h - my, dy, frame.shape[0]), _span(mx, w - mx, dx, frame.shape[1])
+            n = (y1 - y0) * (x1 - x0)
             if n >= least:
-                mad = float(d[my : h - my, mx : w - mx].sum()) / n
+                d = np.abs(ref[y0:y1, x0:x1] - frame[y0 + dy : y1 + dy, x0 + dx : x1 + dx])
+                mad = float(d.sum(dtype=np.int64)) / n
                 if mad < best[0]:
                     best = (mad, dy, dx)
     return best
@@ -449,7 +461,7 @@ def _search(ref, frame, cx: int, cy: int, radius: int):
 def _tile_sums(x: np.ndarray, tile: int) -> np.ndarray:
     h, w = x.shape
     x = np.add.reduceat(x, np.arange(0, h, tile), 0)
-    return np.add.reduceat(x, np.arange(0, w, tile), 1)
+    return np.add.reduceat(x, np.arange(0, w, tile), 1).astype(np.int64)
 
 
 def _coarse(ref, frame, radius: int = 8):
@@ -460,8 +472,8 @@ def _coarse(ref, frame, radius: int = 8):
     steps = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
     mads = np.full((len(steps), rows, cols), np.nan)
     for k, (dy, dx) in enumerate(steps):
-        d, ok = _overlap(ref, frame, dx, dy)
-        s, n = (_tile_sums(v[: rows * 8, : cols * 8].astype(np.int64), 8) for v in (d, ok))
+        s = _tile_sums(_overlap(ref, frame, dx, dy)[: rows * 8, : cols * 8], 8)
+        n = _counts(ref.shape, dx, dy, 8)[:rows, :cols]
         mads[k] = np.where(n >= 32, s / np.maximum(n, 1), np.nan)
     filled = np.where(np.isnan(mads), np.inf, mads)
     low, at = filled.min(0), filled.argmin(0)
@@ -476,6 +488,7 @@ def _coarse(ref, frame, radius: int = 8):
 
 def align(lumas: list[np.ndarray]) -> list[tuple[int, int, float, bool]]:
     """(dx, dy, difference, accepted) of each frame on the first."""
+    lumas = [p.astype(np.int32) for p in lumas]
 
     def pyramid(p):
         out = [p]
@@ -496,11 +509,11 @@ def align(lumas: list[np.ndarray]) -> list[tuple[int, int, float, bool]]:
 
 def tile_offsets(ref: np.ndarray, frame: np.ndarray, dx: int, dy: int, tile: int = 32, dead: float = 0.1):
     """Offsets (x, y) of tiles to fractions of a pixel."""
+    ref, frame = ref.astype(np.int32), frame.astype(np.int32)
     mads = {}
     for j in range(-3, 4):
         for i in range(-3, 4):
-            d, ok = _overlap(ref, frame, dx + i, dy + j)
-            s, n = _tile_sums(d, tile), _tile_sums(ok.astype(np.int64), tile)
+            s, n = _tile_sums(_overlap(ref, frame, dx + i, dy + j), tile), _counts(ref.shape, dx + i, dy + j, tile)
             mads[j, i] = np.where(n > 0, s / np.maximum(n, 1), np.nan)
     inner = [(j, i) for j in range(-2, 3) for i in range(-2, 3)]
     stack = np.array([np.where(np.isnan(mads[k]), np.inf, mads[k]) for k in inner])
@@ -736,22 +749,28 @@ def disc_taps(n: int) -> np.ndarray:
 
 def disc_blur(rgb: np.ndarray, radius: np.ndarray, weight: np.ndarray | None, taps: np.ndarray, least: float = 0.5) -> np.ndarray:
     """Mean over the taps of a disc of varying radius, weighted; single precision."""
-    rgb = rgb.astype(np.float32)
+    h, w = radius.shape
+    k = np.ones((h, w), np.float32) if weight is None else weight.astype(np.float32)
+    flat = np.dstack([rgb.astype(np.float32), k]).reshape(-1, 4)  # colour and weight in one read
+    out = rgb.astype(np.float32).copy()
     at = np.argwhere(radius >= least)
-    out = rgb.copy()
-    for s in range(0, len(at), 200_000):
-        py, px = at[s : s + 200_000].T
+    for s in range(0, len(at), 65_536):
+        py, px = at[s : s + 65_536].T
         r = radius[py, px].astype(np.float64)
         total, plain = np.zeros((len(r), 3), np.float32), np.zeros((len(r), 3), np.float32)
-        mass = np.zeros(len(r), np.float32)
+        mass = np.zeros((len(r), 1), np.float32)
         for dx, dy in taps:
-            v = bilinear(rgb, px + dx * r, py + dy * r).astype(np.float32)
-            k = np.ones(len(r), np.float32) if weight is None else bilinear(weight.astype(np.float32), px + dx * r, py + dy * r).astype(np.float32)
-            total += k[:, None] * v
-            plain += v
-            mass += k
+            x, y = np.clip(px + dx * r, 0, w - 1), np.clip(py + dy * r, 0, h - 1)
+            x0, y0 = x.astype(np.int32), y.astype(np.int32)
+            fx, fy = (x - x0).astype(np.float32)[:, None], (y - y0).astype(np.float32)[:, None]
+            right, down = (x0 < w - 1).astype(np.int32), (y0 < h - 1) * np.int32(w)
+            i = y0 * w + x0
+            v = (1 - fy) * ((1 - fx) * flat[i] + fx * flat[i + right]) + fy * ((1 - fx) * flat[i + down] + fx * flat[i + down + right])
+            total += v[:, 3:] * v[:, :3]
+            plain += v[:, :3]
+            mass += v[:, 3:]
         enough = mass > 1e-4
-        out[py, px] = np.where(enough[:, None], total / np.where(enough, mass, 1)[:, None], plain / np.float32(len(taps)))
+        out[py, px] = np.where(enough, total / np.where(enough, mass, 1), plain / np.float32(len(taps)))
     return out
 
 
