@@ -50,8 +50,10 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds; documents may be very long."""
+    """Bound what one batch holds, of Arrow and of the Parquet reader; documents and blocks may be
+    very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(max(rows, 64), 4096)))
 
 
 def ascii_lower(col):

@@ -123,7 +123,7 @@ def _deal(docs: DataFrame, train: str, shards: int, words: int) -> DataFrame:
             out = [(-1, head), *S.bigram_blocks(*S.with_ends(hashes, counts), flags.astype(np.int64), shards)]
             for s, block in out:
                 yield pa.RecordBatch.from_pydict({"shard": [s], "batch": [batch], "block": [block]}, SCHEMA)
-            pa.default_memory_pool().release_unused()
+            S.trim()
 
     return docs.select("doc_id", "text", F.col(train)).mapInArrow(deal, "shard int, batch long, block binary")
 
@@ -207,7 +207,12 @@ class _Round:
     tables: int
 
     def seater(self):
-        return lambda key, group, replies: self.seat(int(key[0]), group, replies)
+        def run(key, group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+            out = self.seat(int(key[0]), group, replies)
+            S.trim()
+            return out
+
+        return run
 
     def seat(self, shard: int, group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         """Seat a shard's customers; its tables for the parent or, at last, partial scores."""
@@ -263,11 +268,15 @@ def score(
     shards = shards or max(24, math.ceil(docs.count() / 3000))
     blocks = S.staged_by(_deal(docs, train, shards, words), "shard", shards, "bigrams")
     release(spark)
+    small_batches(spark, 32)  # rows are blocks of tens of kilobytes from here on
     held = blocks.filter("shard >= 0")
 
     def first_up(key, group: pd.DataFrame) -> pd.DataFrame:
         m = _merge(group)
-        return _up(m, int(key[0]), np.minimum(m.count, 1), shards)
+        out = _up(m, int(key[0]), np.minimum(m.count, 1), shards)
+        del m
+        S.trim()
+        return out
 
     up = staged(held.groupBy("shard").applyInPandas(first_up, _UP), "up")
     total = up.agg(F.sum("n"), F.sum("n1"), F.sum("n2")).first()

@@ -10,11 +10,13 @@ entry per batch.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -26,6 +28,15 @@ BEGIN, END = 1, 2
 WINDOW = 1 << 19
 
 
+def trim() -> None:
+    """Give freed memory back to the machine; a worker process lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
