@@ -103,7 +103,8 @@ def nets(x: np.ndarray, radii=RADII) -> list[Net]:
 
 
 def _products(a: Net, b: Net, pairs: np.ndarray, most: int):
-    """Member pairs of node pairs, at most about ``most`` at a time (a large pair comes alone)."""
+    """Member pairs of node pairs, at most about ``most`` at a time (a large pair comes alone), and
+    whether the two nodes have the same number."""
     na, nb = np.diff(a.start)[pairs[:, 0]], np.diff(b.start)[pairs[:, 1]]
     sizes = np.cumsum(na * nb)
     at = 0
@@ -114,7 +115,7 @@ def _products(a: Net, b: Net, pairs: np.ndarray, most: int):
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
         i = a.order[a.start[pairs[owner, 0]] + inner // nb[owner]]
         j = b.order[b.start[pairs[owner, 1]] + inner % nb[owner]]
-        yield np.stack([i, j], axis=1)
+        yield np.stack([i, j], axis=1), pairs[owner, 0] == pairs[owner, 1]
         at = end
 
 
@@ -148,6 +149,8 @@ def traverse(x: np.ndarray, y: np.ndarray | None, weight: np.ndarray, cosine: fl
     left = nets(x)
     right, shift = (left, 0) if same else (nets(y), len(x))
     found, points, z = Links(weight), x, x if same else y
+    # Within one block only a node's pairs with itself come in both orders; members of two nodes
+    # come once, in either order, as numbers are not those of the nodes.
     top_a, top_b = left[0], right[0]
     ca, cb = top_a.centre.astype(np.float32), top_b.centre.astype(np.float32)
     pairs = []
@@ -160,8 +163,8 @@ def traverse(x: np.ndarray, y: np.ndarray | None, weight: np.ndarray, cosine: fl
     pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
     for level in range(1, len(left)):
         finer = []
-        for p in _products(left[level - 1], right[level - 1], pairs, most):
-            p = p[p[:, 0] <= p[:, 1]] if same else p
+        for p, twice in _products(left[level - 1], right[level - 1], pairs, most):
+            p = p[~twice | (p[:, 0] <= p[:, 1])] if same else p
             a, b = left[level].centre[p[:, 0]], right[level].centre[p[:, 1]]
             limit = np.minimum(left[level].radius[p[:, 0]] + right[level].radius[p[:, 1]] + reach, 2)
             finer.append(p[np.einsum("ij,ij->i", a, b) >= 1 - limit**2 / 2 - _EDGE])
@@ -169,8 +172,8 @@ def traverse(x: np.ndarray, y: np.ndarray | None, weight: np.ndarray, cosine: fl
     a, b = left[-1], right[-1]
     size = np.diff(a.start)[pairs[:, 0]] * np.diff(b.start)[pairs[:, 1]]
     # Small node pairs: their points together.
-    for p in _products(a, b, pairs[size <= 4096], most):
-        p = p[p[:, 0] < p[:, 1]] if same else p
+    for p, twice in _products(a, b, pairs[size <= 4096], most):
+        p = p[~twice | (p[:, 0] < p[:, 1])] if same else p
         p = p[np.einsum("ij,ij->i", points[p[:, 0]], z[p[:, 1]]) >= cosine]
         if len(p):
             found.add(p[:, 0], p[:, 1] + shift)

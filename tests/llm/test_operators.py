@@ -309,6 +309,23 @@ def test_cover_tree_pairs_are_exact(spark, block):
     assert cover_tree.near_pairs(vectors(spark).limit(0)).count() == 0
 
 
+def test_links_across_nodes_in_any_order():
+    angles = np.radians([0.0, 26.5, 8.0])
+    few = cover_tree.traverse(np.stack([np.cos(angles), np.sin(angles)], axis=1), None, np.ones(3, np.int64), 0.9)
+    assert few.count.tolist() == [1, 1, 2] and few.label.tolist() == [0, 0, 0]
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(40, 8)).repeat(15, axis=0)
+        x = cover_tree.unit(rng.permutation(x + 0.25 * rng.normal(size=x.shape)))
+        found = cover_tree.traverse(x, None, np.ones(len(x), np.int64), 0.9)
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        assert (found.count == near.sum(axis=1)).all()
+        comp = components_of(range(len(x)), [tuple(map(int, p)) for p in np.argwhere(near)])
+        assert [comp[i] for i in found.label] == [comp[i] for i in range(len(x))]
+        assert len(set(found.label.tolist())) == len(set(comp.values()))
+
+
 def test_nets_cover_their_members():
     x = cover_tree.unit(np.random.default_rng(1).normal(size=(200, 3)))
     levels = cover_tree.nets(x)
