@@ -7,8 +7,9 @@ are learned with the features, by stochastic gradients of the exact conditional
 code-switched sequences made of passages of training texts. Prediction labels the words of the whole
 text by forward-backward; the text's language has the largest mean marginal, which is the score.
 
-Training takes a bounded sample (``per_language`` texts of each of at most ``max_languages``
-languages, chosen by hash); prediction covers every word of every text. Only the text is read.
+Training takes a sample bounded in rows: ``per_language`` texts of each language, fewer as languages
+grow beyond ``rows / per_language`` but one of each at least, the first by hash. Every language is
+learned. Prediction covers every word of every text. Only the text is read.
 
 Chains of a batch are laid end to end with a fresh start at each text and cut into stretches that
 NumPy runs side by side; products of transfer matrices join the stretches, so the marginals are
@@ -27,14 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismgrid.llm.common import small_batches
 
 BUCKETS = 1 << 18
-PER_LANGUAGE, MAX_LANGUAGES = 1200, 64
+PER_LANGUAGE, ROWS = 1200, 64 * 1200
 LEXICON_MIN, LEXICON = 4, 100_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -275,20 +276,19 @@ def label(texts: list[str | None], model: Model | None) -> list[tuple[list[str],
     return [(w, post[a:b]) for w, a, b in zip(words, at, at[1:], strict=False)]
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """Learn from a bounded sample of ``labelled(doc_id, text, lang)``."""
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model | None:
+    """Learn every language of ``labelled(doc_id, text, lang)`` from a sample bounded in rows."""
     known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
+    known = known.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # as _LETTER; others teach nothing
+    languages = known.select("lang").distinct().count()
+    if not languages:
         return None
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # The hash picks about per_language of each; the limit is a bound on what reaches the driver.
-    picked = known.filter(draw < share).select("text", "lang", F.xxhash64("doc_id").alias("at"))
-    rows = picked.orderBy("at", "lang").limit(2 * per_language * len(sizes)).toPandas()
-    return train(rows.sort_values(["at", "lang", "text"], kind="stable"))
+    most = max(1, min(per_language, rows // languages))
+    at = F.xxhash64(F.lit(17), "doc_id")
+    first = Window.partitionBy("lang").orderBy("at", "text")
+    picked = known.withColumn("at", at).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
+    sample = picked.select("text", "lang", "at").toPandas()
+    return train(sample.sort_values(["at", "lang", "text"], kind="stable"))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -467,6 +467,16 @@ def test_crf_labels_switched_text(spark):
     assert langid_crf.fit(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
 
 
+def test_crf_learns_every_language(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid_crf, "train", lambda sample: seen.append(sample))
+    rows = [(i, f"word{i}", f"l{i % 70:02d}") for i in range(700)] + [(900, "rare", "zz"), (901, "12", "zz"), (902, "none", None)]
+    langid_crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=4)
+    assert set(seen[0]["lang"]) == {f"l{i:02d}" for i in range(70)} | {"zz"} and len(seen[0]) == 281
+    langid_crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=142)
+    assert seen[1]["lang"].nunique() == 71 and len(seen[1]) == 141
+
+
 def test_digests_of_an_empty_text(spark, tmp_path):
     from prismgrid.llm import queries
 
