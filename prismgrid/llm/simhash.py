@@ -205,9 +205,25 @@ def near_duplicates(docs: DataFrame, bits: int = LINK_BITS, shingle: int = SHING
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """One row of each component of near-duplicates: the smallest doc_id's; same columns."""
-    named = near_duplicates(docs, **params)
-    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+def text_keys() -> list[F.Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(F.lit(1), "text").alias("_k1"), F.xxhash64(F.lit(2), "text").alias("_k2")]
+
+
+def keep_one(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """One row of each component of ``member(_k1, _k2, component)``: the smallest doc_id's, nulls last,
+    then the smallest key's. Rows are told apart by doc_id and text."""
+    keyed = docs.select("*", *text_keys())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    named = keyed.groupBy("_k1", "_k2").agg(first).join(member, ["_k1", "_k2"])
+    kept = named.groupBy("component").agg(F.min(F.struct("first", "_k1", "_k2")).alias("row"))
+    kept = kept.select(F.col("row.first.doc_id").alias("_id"), F.col("row._k1").alias("_1"), F.col("row._k2").alias("_2"))
+    same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_k1"] == kept["_1"]) & (keyed["_k2"] == kept["_2"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).drop("_k1", "_k2")
+
+
+def deduplicate(docs: DataFrame, bits: int = LINK_BITS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row of each component of near-duplicates, as :func:`keep_one` picks it; same columns."""
+    own = staged(fingerprints(docs, to="fp", shingle=shingle).select("fp", *text_keys()).distinct(), "fps")
+    member = components(links(own.select("fp").distinct(), bits, block)).withColumnRenamed("node", "fp")
+    return keep_one(docs, own.join(member, "fp", "left").select("_k1", "_k2", F.coalesce("component", "fp").alias("component")))

@@ -283,6 +283,13 @@ def test_near_duplicates_and_one_of_each_stays(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    texts = {i: prose(50 + i, 40) for i in range(4)}
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[3])]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (3, texts[3])])
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16))
