@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five operators, each on all its predecessor kept.
 
-Quality by Kneser-Ney perplexity drops rejected documents; SimHash keeps one document of each
-group of near-duplicates; personal data is masked; sources are mixed to their target weights by
+Quality by Kneser-Ney perplexity drops rejected documents; one document of each group of
+near-duplicates (five-word shingles, Jaccard 0.8 or more, all pairs) is kept; personal data is masked; sources are mixed to their target weights by
 repeating or leaving out documents; byte-level BPE encodes what is left.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs``, the last one adds
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismgrid.llm import bpe, mixing, pii, quality_kn, simhash
+from prismgrid.llm import bpe, mixing, near_text, pii, quality_kn
 from prismgrid.llm.common import staged
 
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
-    return simhash.deduplicate(docs)
+    """One document of each group linked by a similarity of 0.8 or more of five-word shingles."""
+    return near_text.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

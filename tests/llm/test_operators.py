@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from prismgrid.llm import ann_scan, bpe, common, cover_tree, hpylm, langid_crf, mixing, pii, quality_kn, shards, simhash, url_filter
+from prismgrid.llm import ann_scan, bpe, common, cover_tree, hpylm, langid_crf, mixing, near_text, pii, quality_kn, shards, simhash, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
 WORDS = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were".split()
@@ -290,6 +290,28 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (3, texts[3])])
 
 
+def test_pipeline_links_all_texts_of_similarity_0_8(spark):
+    import corpus_pipeline
+
+    rng, passage = np.random.default_rng(4), " ".join(f"p{i}" for i in range(30))
+    texts = [None, " ", "two words"]
+    for base in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        texts.append(" ".join(words) + (" " + passage if base % 2 else ""))
+        for cut in range(1, 40, 3):  # similarities around and over the bound
+            copy = words.copy()
+            copy[cut // 2 : cut // 2 + cut // 2] = [f"c{x}" for x in rng.integers(0, 10**6, cut // 2)]
+            texts.append(" ".join(copy) + (" " + passage if base % 2 else ""))
+    texts += [texts[5].upper(), texts[5]]
+    sets = [set(near_text.shingles(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp = components_of(range(len(texts)), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(comp.values()) and 14 < len(kept) < len(texts) - 50
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16))
