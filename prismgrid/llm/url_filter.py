@@ -73,14 +73,17 @@ def filter_urls(captures: DataFrame, events: DataFrame, url: str = "url", at: st
     Adds ``host``, ``path1``, ``n_active`` (long: active entries that match), ``blocked`` and the
     most specific match: ``rule``, ``listed_key``, ``active_since`` (ties: the longest key).
     """
-    rows = url_parts(captures.drop(*[c for c in RESULT if c not in (url, at)]), url)
-    keys = rows.select("host", "path1", F.col(at).alias("_at")).filter("host <> '' and _at is not null").distinct()
+    passed = [c for c in captures.columns if c not in RESULT or c in (url, at)]
+    # Columns of the captures travel in one struct, so that none can clash with those of the join.
+    rows = url_parts(captures.select(F.struct(*[F.col(f"`{c}`") for c in passed]).alias("_row"), F.col(url).alias("_url"), F.col(at).alias("_at")), "_url")
+    keys = rows.select("host", "path1", "_at").filter("host <> '' and _at is not null").distinct()
     hit = _active(candidates(keys), intervals(events))
     best = F.min(F.struct("order", (-F.length("key")).alias("n"), "rule", "key", "valid_from"))
     verdict = hit.groupBy("host", "path1", "_at").agg(F.count(F.lit(1)).alias("n_active"), best.alias("best"))
-    judged = rows.withColumn("_at", F.col(at)).join(verdict, ["host", "path1", "_at"], "left")
+    judged = rows.join(verdict, ["host", "path1", "_at"], "left")
     return judged.select(
-        *[F.col(c) for c in rows.columns],
+        *[F.col("_row")[c].alias(c) for c in passed],
+        *[c for c in ("host", "path1") if c not in passed],
         F.coalesce("n_active", F.lit(0)).alias("n_active"),
         F.col("best").isNotNull().alias("blocked"),
         F.col("best.rule").alias("rule"),
