@@ -6,7 +6,12 @@ Both run on Arrow batches; the rank file is read once per worker process.
 Long texts are cut before they reach the library, at places where no match of the pattern
 can cross: before a white-space character that follows a non-space character. Every
 alternative that starts with a non-space ends there, and white-space runs stay whole, so
-the ids equal those of the uncut text.
+the ids equal those of the uncut text. White space is Unicode's, as in the pattern.
+
+The library backtracks over white-space runs and gives up on very long ones. A run of
+``LONG_RUN`` characters or more is therefore taken out: followed by a non-space, all but its
+last character is one match of the pattern (``\\s+(?!\\S)``), at the end of the text all of it
+is; that match is merged as one piece, and the last character stays with what follows.
 
 Null text counts as empty (no ids, empty bytes). An existing column of the result's name is
 replaced; other columns and repeated rows pass through unchanged.
@@ -27,7 +32,11 @@ from prismgrid.llm.common import small_batches
 
 #: Characters above which a text is cut before encoding.
 LONG_TEXT = 16_384
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Length of a white-space run that is merged without the pattern.
+LONG_RUN = 4_096
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_RUN = re.compile(rf"[{_SPACE}]{{{LONG_RUN},}}")
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -58,7 +67,12 @@ def pieces(text: str, long_text: int = LONG_TEXT) -> list[str]:
 
 def encode_text(enc, text: str, long_text: int = LONG_TEXT) -> np.ndarray:
     """Ids of one text as int32."""
-    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(text, long_text)]
+    parts, start = [], 0
+    for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+        parts += [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(text[start : run.start()], long_text)]
+        start = run.end() - (run.end() < len(text))
+        parts.append(np.array(enc._encode_single_piece(text[run.start() : start]), np.uint32))
+    parts += [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(text[start:], long_text)]
     return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype(np.int32)
 
 
