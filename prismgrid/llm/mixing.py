@@ -12,8 +12,10 @@ on the next level, so no task holds more than a bounded group however hot the so
 Random numbers are hashes of the seed and the document, the groups hashes of the document:
 reruns agree whatever the partitioning.
 
-Null text has size 0 and takes 0 words; null sources form one source, ordered last. Rows that
-repeat a document are mixed as documents of their own. An empty table gives an empty result.
+Null text has size 0 and takes 0 words; null sources form one source, ordered last. Rows of equal
+id, source and text are one unit with a multiplicity, so repeated rows and null ids fill no group;
+each of them counts as a document of its own. An empty table gives an empty result. Targets are
+found in one task that sees a row per source.
 """
 
 from __future__ import annotations
@@ -73,14 +75,14 @@ def pivotal(ids: list[int], sizes: list[int], parts: list[float], seed: int, las
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
-    """Per source: ``source, source_size, n, target``.
+    """Per source of ``sized(source, size, rows)``: ``source, source_size, n, target``.
 
     Sources by code point, null last, take the weights in turn and share all words; a target
     stops at ``cap`` times the source's size and the excess is shared again by weight. Sorted
     by cap / weight the stopped sources are a prefix, found with running sums. The windows see
     one aggregated row per source, never documents.
     """
-    each = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    each = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     each = each.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
@@ -101,7 +103,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
 
 def _round(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     # Longest first: the document that stays fractional is then one of the shortest.
-    rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
+    rows = rows.sort_values(["size", "order"], ascending=[False, True], kind="stable")
     rows = rows.reset_index(drop=True)
     ids = [int(x) for x in rows["order"]]
     last = bool(rows["last"].iloc[0])
@@ -109,34 +111,42 @@ def _round(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     return rows
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5, 2, 1),
-    cap: float = 3,
-    seed: int = 42,
-    group_rows: int = 4096,
-) -> DataFrame:
-    """Per row of ``docs(doc_id, source, text)``: ``doc_id, source, size, source_size, target,
-    copies, taken``; ``taken`` is ``copies x size``, at most ``cap`` times the size."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = staged(docs.select("doc_id", "source", size.alias("size")), "sizes")
-    sources = staged(targets(sized, weights, cap), "sources")
+def _size() -> F.Column:
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _keys() -> list[F.Column]:
+    """128 bits that stand for a document: equal for rows of equal id, source and text alone."""
+    parts = [c for name in ("doc_id", "source", "text") for c in (F.col(name).isNull(), F.col(name))]
+    return [F.xxhash64(F.lit(i), *parts).alias(f"k{i}") for i in (1, 2)]
+
+
+def _units(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, group_rows: int) -> DataFrame:
+    """``k1, k2, doc_id, source, size, source_size, target, rows, whole, extra``: ``rows`` equal rows take
+    ``whole`` copies each and ``extra`` more in all. More than ``group_rows`` equal rows are several units."""
+    sized = docs.select(*_keys(), "doc_id", "source", _size().alias("size")).groupBy("k1", "k2")
+    units = sized.agg(*[F.any_value(c).alias(c) for c in ("doc_id", "source", "size")], F.count(F.lit(1)).alias("n"))
+    slices = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / group_rows))
+    units = units.withColumn("slice", F.explode(slices))
+    units = staged(units.withColumn("rows", F.least(F.lit(group_rows), F.col("n") - F.col("slice") * group_rows)).drop("n"), "sizes")
+    sources = staged(targets(units, weights, cap), "sources")
     most = sources.agg(F.max("n")).first()[0] or 0
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"]), "inner").drop(sources["source"])
+    rows = units.join(sources, units["source"].eqNullSafe(sources["source"]), "inner").drop(sources["source"])
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    extra = (copies - F.floor(copies)) * F.col("rows")
     rows = (
         rows.withColumn("whole", F.floor(copies).cast("long"))
-        .withColumn("part", copies - F.floor(copies))
-        .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
+        .withColumn("extra", F.floor(extra).cast("long"))
+        .withColumn("part", extra - F.floor(extra))
+        .withColumn("order", F.xxhash64(F.lit(seed), "k1", "slice"))
         .withColumn("groups", F.ceil(F.col("n") / group_rows).cast("long"))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("groups")))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "k1", "slice"), F.col("groups")))
         .withColumn("last", F.col("groups") == 1)
+        .drop("n", "slice")
     )
-    kept = ["doc_id", "source", "size", "source_size", "target", "whole", "part", "order", "groups", "bucket", "last"]
     done = []
     while True:
-        solved = rows.select(*kept)
-        solved = solved.groupBy("source", "bucket").applyInPandas(lambda g: _round(g, seed), solved.schema)
+        solved = rows.groupBy("source", "bucket").applyInPandas(lambda g: _round(g, seed), rows.schema)
         if most <= group_rows:  # every group is the last of its source
             done.append(solved)
             break
@@ -151,32 +161,48 @@ def mix(
         )
         most = math.ceil(most / group_rows)
     done = reduce(DataFrame.union, done)
-    copies = F.col("whole") + F.col("part").cast("long")
-    return done.select(
+    return done.withColumn("extra", F.col("extra") + F.col("part").cast("long"))
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    cap: float = 3,
+    seed: int = 42,
+    group_rows: int = 4096,
+) -> DataFrame:
+    """Per row of ``docs(doc_id, source, text)``: ``doc_id, source, size, source_size, target,
+    copies, taken``; ``taken`` is ``copies x size``, at most ``cap`` times the size."""
+    units = _units(docs, weights, cap, seed, group_rows)
+    each = units.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = F.col("whole") + (F.col("nth") <= F.col("extra")).cast("long")
+    return each.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
-def apply_mix(docs: DataFrame, **params) -> DataFrame:
+def apply_mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    cap: float = 3,
+    seed: int = 42,
+    group_rows: int = 4096,
+) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as :func:`mix` takes it, same columns.
 
-    Rows that share a doc_id are told apart by size, source and their order of text hash.
+    Of rows with equal id, source and text that take unequal copies, the first by a hash of the
+    whole row take more; columns of any name pass through.
     """
-    plan = mix(docs, **params)
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = Window.partitionBy("_id", "_null").orderBy("_size", "_source", "_text")
-    split = lambda df, size, text: (
-        df.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(0)))
-        .withColumn("_null", F.col("doc_id").isNull())
-        .withColumn("_size", size)
-        .withColumn("_source", F.col("source"))
-        .withColumn("_text", text)
-        .withColumn("_nth", F.row_number().over(key))
-    )
-    left = split(docs, size, F.xxhash64("text"))
-    right = split(plan, F.col("size"), F.lit(0)).select("_id", "_null", "_nth", "copies")
-    return (
-        left.join(right, ["_id", "_null", "_nth"])
-        .withColumn("_copy", F.explode(F.expr("case when copies > 0 then sequence(1L, copies) end")))
-        .select(*docs.columns)
-    )
+    own = _keys()
+    plan = _units(docs, weights, cap, seed, group_rows).groupBy("k1", "k2")
+    plan = staged(plan.agg(F.sum("rows").alias("_m"), F.max("whole").alias("_whole"), F.sum("extra").alias("_extra")), "plan")
+    uneven = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_m"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *own)
+    even = rows.join(plan.filter(~uneven), ["k1", "k2"])
+    even = even.select("_row", (F.col("_whole") + (F.col("_extra") > 0).cast("long")).alias("_n"))
+    if plan.filter(uneven).limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64(F.col("_row").cast("string"))))
+        odd = rows.join(plan.filter(uneven), ["k1", "k2"])
+        even = even.unionByName(odd.select("_row", (F.col("_whole") + (nth <= F.col("_extra")).cast("long")).alias("_n")))
+    copied = even.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return copied.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
