@@ -7,27 +7,29 @@ are learned with the features, by stochastic gradients of the exact conditional
 code-switched sequences made of passages of training texts. Prediction labels the words of the whole
 text by forward-backward; the text's language has the largest mean marginal, which is the score.
 
-Training takes a sample bounded in rows: ``per_language`` texts of each language, fewer as languages
-grow beyond ``rows / per_language`` but one of each at least, the first by hash. Every language is
-learned. Prediction covers every word of every text. Only the text is read.
+Training takes a sample bounded in rows and words: ``per_language`` texts of each language, fewer as
+languages grow beyond ``rows / per_language`` but one of each at least, the first by hash, and of a
+text longer than ``passage`` words a passage from anywhere in it. Every language is learned. Prediction
+covers every word of every text. Only the text is read.
 
 Chains of a batch are laid end to end with a fresh start at each text and cut into stretches that
 NumPy runs side by side; products of transfer matrices join the stretches, so the marginals are
-those of the uncut chains however long a text is.
+those of the uncut chains however long a text is. A window of texts holds about ``CELLS`` numbers.
 
-Null text or one without a letter: ``und`` with score 0; so is everything if nothing can be learned
+Null text or one without a letter (Unicode category L): ``und`` with score 0; so is everything if nothing can be learned
 from. Ties go to the first language by code point. Repeated rows are predicted alike; extra columns
 pass through, ``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,9 @@ BUCKETS = 1 << 18
 PER_LANGUAGE, ROWS = 1200, 64 * 1200
 LEXICON_MIN, LEXICON = 4, 100_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Words of a training passage, and numbers that a window of positions holds (by languages).
+PASSAGE, CELLS = 1_000, 2_000_000
 _U = np.uint64
 
 
@@ -120,52 +124,73 @@ class Model:
         return out
 
 
-def marginals(potential: np.ndarray, fresh: np.ndarray, transitions: np.ndarray, start: np.ndarray, stretch: int = 256):
-    """Posterior of each position of chains laid end to end; ``fresh`` marks first positions.
-
-    ``potential`` (n, L) are log potentials, ``transitions`` and ``start`` logs as well.
-    """
-    n, size = potential.shape
-    cut = -(-n // stretch)
-    e = np.ones((cut * stretch, size))
-    e[:n] = np.exp(potential - potential.max(axis=1, keepdims=True))
-    e = e.reshape(cut, stretch, size)
-    new = np.zeros(cut * stretch, bool)
-    new[:n], new[n:] = fresh, True
-    new = new.reshape(cut, stretch)
-    step = np.exp(transitions)
-    begin = np.tile(np.exp(start), (size, 1))  # from whatever came before
-    scale = lambda a, axes: a / a.sum(axis=axes, keepdims=True)
-    # Transfer matrix of each stretch: from the state before it to its last state.
-    whole = np.tile(np.eye(size), (cut, 1, 1))
-    for t in range(stretch):
-        move = np.where(new[:, t, None, None], begin, step)
-        whole = scale(whole @ move * e[:, t, None, :], (1, 2))
-    # State before each stretch, and what follows after it.
-    into, after = np.empty((cut, size)), np.empty((cut, size))
-    state = np.full(size, 1 / size)
-    for c in range(cut):
-        into[c] = state
-        state = state @ whole[c]
-        state /= state.sum()
-    state = np.ones(size)
-    for c in range(cut - 1, -1, -1):
-        after[c] = state
-        state = whole[c] @ state
-        state /= state.sum()
-    forward = np.empty((stretch, cut, size))
-    state = into
-    for t in range(stretch):
-        state = np.where(new[:, t, None], state.sum(axis=1, keepdims=True) * begin[:1], state @ step) * e[:, t]
-        state = scale(state, 1)
-        forward[t] = state
-    post, state = np.empty((cut, stretch, size)), after
-    for t in range(stretch - 1, -1, -1):
-        post[:, t] = scale(forward[t] * state, 1)
-        seen = e[:, t] * state
-        state = np.where(new[:, t, None], (seen * begin[:1]).sum(axis=1, keepdims=True), seen @ step.T)
-        state = scale(state, 1)
-    return post.reshape(-1, size)[:n]
+class Stretches:
+    """Chains laid end to end, cut into stretches that NumPy runs side by side; ``fresh`` marks first
+    positions, ``transitions`` and ``start`` are logs. ``read(a, b)`` gives the log potentials of
+    positions a to b; no more than ``cells`` of them (by languages) are held at once."""
+
+    def __init__(self, n, read, fresh, transitions, start, stretch: int = 256, cells: int = CELLS):
+        self.n, self.read, self.fresh, self.stretch = n, read, fresh, stretch
+        self.size = len(start)
+        self.step, self.begin = np.exp(transitions), np.tile(np.exp(start), (self.size, 1))  # begin: from whatever came before
+        self.cut = -(-n // stretch)
+        held = max(1, cells // (stretch * self.size))
+        self.chunks = [(c, min(c + held, self.cut)) for c in range(0, self.cut, held)]
+
+    def _potentials(self, first: int, last: int):
+        a, b = first * self.stretch, min(last * self.stretch, self.n)
+        e = np.ones(((last - first) * self.stretch, self.size))
+        own = self.read(a, b)
+        e[: b - a] = np.exp(own - own.max(axis=1, keepdims=True))
+        new = np.ones(len(e), bool)
+        new[: b - a] = self.fresh[a:b]
+        return e.reshape(last - first, self.stretch, self.size), new.reshape(last - first, self.stretch)
+
+    def posteriors(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first position, posteriors from there on), a bounded number of positions at a time."""
+        scale = lambda a, axes: a / a.sum(axis=axes, keepdims=True)
+        # Transfer matrix of each stretch: from the state before it to its last state.
+        whole = np.tile(np.eye(self.size), (self.cut, 1, 1))
+        for first, last in self.chunks:
+            e, new = self._potentials(first, last)
+            own = whole[first:last]
+            for t in range(self.stretch):
+                move = np.where(new[:, t, None, None], self.begin, self.step)
+                own = scale(own @ move * e[:, t, None, :], (1, 2))
+            whole[first:last] = own
+        # State before each stretch, and what follows after it.
+        into, after = np.empty((self.cut, self.size)), np.empty((self.cut, self.size))
+        state = np.full(self.size, 1 / self.size)
+        for c in range(self.cut):
+            into[c] = state
+            state = state @ whole[c]
+            state /= state.sum()
+        state = np.ones(self.size)
+        for c in range(self.cut - 1, -1, -1):
+            after[c] = state
+            state = whole[c] @ state
+            state /= state.sum()
+        for first, last in self.chunks:
+            e, new = self._potentials(first, last)
+            forward = np.empty((self.stretch, last - first, self.size))
+            state = into[first:last]
+            for t in range(self.stretch):
+                state = np.where(new[:, t, None], state.sum(axis=1, keepdims=True) * self.begin[:1], state @ self.step) * e[:, t]
+                state = scale(state, 1)
+                forward[t] = state
+            post, state = np.empty((last - first, self.stretch, self.size)), after[first:last]
+            for t in range(self.stretch - 1, -1, -1):
+                post[:, t] = scale(forward[t] * state, 1)
+                seen = e[:, t] * state
+                state = np.where(new[:, t, None], (seen * self.begin[:1]).sum(axis=1, keepdims=True), seen @ self.step.T)
+                state = scale(state, 1)
+            yield first * self.stretch, post.reshape(-1, self.size)[: self.n - first * self.stretch]
+
+
+def marginals(potential: np.ndarray, fresh: np.ndarray, transitions: np.ndarray, start: np.ndarray, stretch: int = 256, cells: int = CELLS):
+    """Posterior of each position of chains laid end to end from their log potentials (n, L)."""
+    run = Stretches(len(potential), lambda a, b: potential[a:b], fresh, transitions, start, stretch, cells)
+    return np.concatenate([post for _, post in run.posteriors()])
 
 
 def _words(text: str) -> list[str]:
@@ -263,23 +288,41 @@ def _expect(p: np.ndarray, move: np.ndarray):
     return forward, pairs, post.transpose(1, 0, 2)
 
 
-def label(texts: list[str | None], model: Model | None) -> list[tuple[list[str], np.ndarray]]:
-    """Words of each text and their marginals (n, languages)."""
-    words = [_words(x or "") for x in texts]
-    if model is None or not any(words):
-        return [(w, np.zeros((len(w), 0))) for w in words]
+def mean_marginals(words: list[list[str]], model: Model, cells: int = CELLS) -> np.ndarray:
+    """Mean marginal of each text (texts, languages); zeros for a text without words."""
+    out = np.zeros((len(words), len(model.languages)))
+    size = np.array([len(w) for w in words], np.int64)
     flat = [w for each in words for w in each]
+    if not flat:
+        return out
     codes, unique = pd.factorize(np.array(flat, dtype=object))
-    fresh, at = np.zeros(len(flat), bool), np.cumsum([0, *map(len, words)])
-    fresh[at[:-1][np.diff(at) > 0]] = True
-    post = marginals(model.emissions(list(unique))[codes], fresh, model.transitions, model.start)
-    return [(w, post[a:b]) for w, a, b in zip(words, at, at[1:], strict=False)]
-
-
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model | None:
-    """Learn every language of ``labelled(doc_id, text, lang)`` from a sample bounded in rows."""
+    del flat
+    fresh, ends = np.zeros(len(codes), bool), np.cumsum(size)
+    fresh[(ends - size)[size > 0]] = True
+    emit = model.emissions(list(unique))
+    run = Stretches(len(codes), lambda a, b: emit[codes[a:b]], fresh, model.transitions, model.start, cells=cells)
+    for at, post in run.posteriors():
+        heads = np.unique(np.concatenate([[0], np.flatnonzero(fresh[at : at + len(post)])]))
+        out[np.searchsorted(ends, at + heads, "right")] += np.add.reduceat(post, heads, axis=0)
+    return out / np.maximum(size, 1)[:, None]
+
+
+def score_texts(texts: list[str | None], model: Model, cells: int = CELLS) -> np.ndarray:
+    """:func:`mean_marginals` of all texts, a bounded number of words (or one text) at a time."""
+    out, held, count = [], [], 0
+    for text in texts:
+        held.append(_words(text or ""))
+        count += len(held[-1])
+        if count * len(model.languages) >= cells:
+            out.append(mean_marginals(held, model, cells))
+            held, count = [], 0
+    return np.concatenate([*out, mean_marginals(held, model, cells)])
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS, passage: int = PASSAGE) -> Model | None:
+    """Learn every language of ``labelled(doc_id, text, lang)`` from a sample bounded in rows and words."""
     known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    known = known.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # as _LETTER; others teach nothing
+    known = known.filter(F.col("text").rlike(r"\p{L}"))  # as _LETTER; others teach nothing
     languages = known.select("lang").distinct().count()
     if not languages:
         return None
@@ -287,6 +330,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS)
     at = F.xxhash64(F.lit(17), "doc_id")
     first = Window.partitionBy("lang").orderBy("at", "text")
     picked = known.withColumn("at", at).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
+    # Of a long text a passage anywhere in it, cut on the executors: the driver's share is bounded in words too.
+    words = F.split(F.trim("text"), r"\s+")
+    begin = F.pmod(F.xxhash64(F.lit(19), "doc_id"), F.greatest(F.size("words") - passage + 1, F.lit(1))).cast("int") + 1
+    picked = picked.withColumn("words", words).withColumn("text", F.array_join(F.slice("words", begin, passage), " "))
     sample = picked.select("text", "lang", "at").toPandas()
     return train(sample.sort_values(["at", "lang", "text"], kind="stable"))
 
@@ -300,13 +347,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
         found, scores = [], []
-        for words, post in label(texts.to_pylist(), sent.value):
-            if not len(words) or sent.value is None:
-                found.append(UNKNOWN), scores.append(0.0)
-                continue
-            mean = post.mean(axis=0)
+        means = score_texts(texts.to_pylist(), sent.value) if sent.value is not None else np.zeros((len(texts), 1))
+        for mean in means:
             best = int(mean.argmax())
-            found.append(sent.value.languages[best]), scores.append(float(min(max(mean[best], 0.0), 1.0)))
+            found.append(sent.value.languages[best] if mean[best] > 0 else UNKNOWN)
+            scores.append(float(min(max(mean[best], 0.0), 1.0)))
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
