@@ -472,6 +472,7 @@ def test_crf_marginals_against_enumeration():
     start = np.full(3, -np.log(3))
     fresh = np.array([1, 0, 0, 0, 1, 0, 0], bool)
     got = langid_crf.marginals(potential, fresh, move, start, stretch=2)
+    assert np.allclose(got, langid_crf.marginals(potential, fresh, move, start, stretch=2, cells=6), atol=1e-12)
     want = np.zeros((7, 3))
     for a, b in ((0, 4), (4, 7)):
         for path in np.ndindex(*[3] * (b - a)):
@@ -487,7 +488,7 @@ def test_crf_labels_switched_text(spark):
     text = lambda words, s: " ".join(np.random.default_rng(s).choice(words, 60))
     rows = [(i, text(WORDS, i), "en", "x") for i in range(60)] + [(100 + i, text(other, i), "de", "x") for i in range(60)] + [(900, None, "en", "x"), (901, "only text", None, "x")]
     model = langid_crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string"))
-    (words, post), = langid_crf.label([" ".join(WORDS[:12] + other[:12])], model)
+    post = langid_crf.marginals(model.emissions(WORDS[:12] + other[:12]), np.arange(24) == 0, model.transitions, model.start)
     assert [model.languages[k] for k in post.argmax(axis=1)] == ["en"] * 12 + ["de"] * 12
     odd = [(1, text(other, 99), "a"), (2, None, "a"), (3, "123 !!", "a"), (4, "", "a")]
     got = {r["doc_id"]: r for r in langid_crf.predict(spark.createDataFrame(odd, "doc_id long, text string, lang_pred string"), model).collect()}
