@@ -9,17 +9,20 @@ on those counts (kinds x 3^4 patterns at most, whatever the corpus) estimates ho
 labeler is right, and a logistic span classifier is fitted to the posteriors. Its probability is
 an expression in the plan.
 
-Spans that the base patterns define are always reported; the classifier adds spans of the wide
-patterns, such as addresses written with "(at)" or phone numbers without "+", that the base
-patterns do not touch, where its probability reaches ``threshold``.
+Spans that the base patterns define are always reported. The wide patterns, such as addresses
+written with "(at)" or phone numbers without "+", are searched in the text with those spans blanked
+out, and the classifier adds a wide span where its probability reaches ``threshold``; wide spans of
+different kinds may overlap each other, never a base span.
 
 Positions are code points, end exclusive. Patterns are written with possessive repeats and
 anchored at the start of their run, so scanning is linear in very long runs; they find what the
-plain patterns find.
+plain patterns find. A text with many spans costs linear time as well: positions are running sums
+over blocks, a labeler sees the pieces next to a span (back over one earlier span, ``CONTEXT``
+characters at most), and texts are rebuilt from chunks.
 
 Null text counts as empty: no spans. Every row is judged on its own, so repeated rows and ties
-repeat their spans; an empty table gives an empty result. Other columns pass through; columns named
-like a result (``spans``, and ``candidates`` inside) are replaced.
+repeat their spans; an empty table gives an empty result. Other columns pass through whatever their
+names; an input column ``spans`` is replaced by :func:`find` and kept by :func:`mask`.
 """
 
 from __future__ import annotations
@@ -54,6 +57,14 @@ WIDE = {
 #: What must occur for a pattern to match; a cheap test before the scan.
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
+#: The same for the wide patterns.
+WIDE_HINT = {
+    "email": r"[\[({](at|AT)[\])}]",
+    "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]",
+    "card": r"[0-9]{4}\.[0-9]{4}\.",
+    "phone": r"[0-9]{3}[.-][0-9]{4}",
+}
+
 #: Gazetteers.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|de|fr|es|uk|us|eu|it|nl|ch|at|be|pl|pt|br|mx|ca|au|jp|cn|in|ru|se|no|dk|fi"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|3[068]|6(011|5|4[4-9])|35|62|50|5[6-9]|6[0-9])"
@@ -66,33 +77,77 @@ ANNOUNCE = {
 }
 OTHER = r"(version|isbn|issn|doi|sha|hash|uuid|serial|order|invoice|build|release|section|chapter)[\s:#.]*$"
 CONTEXT = 40
+#: Characters of the chunks that a text is rebuilt from.
+CHUNK = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, largest: bool = False, levels: int = 3) -> Column:
+    """Sums (or the largest, at least 0) of the ints before each one of a non-empty array, in linear
+    time up to 64 ** ``levels`` of them: blocks of 64 on every level."""
+    join = (lambda a, b: F.greatest(a, b)) if largest else (lambda a, b: a + b)
+    total = lambda xs: F.aggregate(xs, F.lit(0), join)
+    if not levels:
+        return F.transform(values, lambda _, i: total(F.slice(values, F.lit(1), i)))
+    numbers = F.sequence(F.lit(0), ((F.size(values) - 1) / 64).cast("int"))
+    within = lambda block, before: F.transform(block, lambda _, i: join(before, total(F.slice(block, F.lit(1), i))))
+    return _let(
+        F.transform(numbers, lambda b: F.slice(values, b * 64 + 1, F.lit(64))),
+        lambda blocks: _let(
+            F.transform(blocks, total), lambda sums: F.flatten(F.zip_with(blocks, running(sums, largest, levels - 1), within))
+        ),
+    )
+
+
+def rebuilt(text: Column, spans: Column, put) -> Column:
+    """The text with each of its non-empty ``array<struct<start, end, ...>>``, ascending, replaced by
+    ``put(span, end of those before)``. The text is cut from chunks, not from its start."""
+
+    def cut(chunks, begin, end):
+        first = (begin / CHUNK).cast("int")
+        some = F.array_join(F.slice(chunks, first + 1, ((end - 1) / CHUNK).cast("int") - first + 1), "")
+        return F.when(end > begin, F.substring(some, begin - first * CHUNK + 1, end - begin)).otherwise("")
+
+    def build(chunks, own, ends):
+        each = lambda s, at: F.concat(cut(chunks, at, F.greatest(at, s["start"])), put(s, at))
+        body = F.array_join(F.zip_with(own, running(ends, largest=True), each), "")
+        return F.concat(body, cut(chunks, F.array_max(ends), F.length(text)))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return _let(chunks, lambda c: _let(spans, lambda own: _let(F.transform(own, lambda s: s["end"]), lambda ends: build(c, own, ends))))
 
 
 def _found(text: Column, pattern: str, kind: str, base: bool) -> Column:
-    """Spans of a pattern: ``array<struct<kind, base, start, end, value>>``.
-
-    The pieces between the matches and the matches give the positions as running sums.
-    """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    struct = "struct<kind:string,base:boolean,start:int,end:int,value:string>"
-
-    def step(acc, i):
-        start = acc["at"] + F.length(F.get(gaps, i))
-        value = F.get(hits, i)
-        end = start + F.length(value)
-        span = F.struct(
-            F.lit(kind).alias("kind"), F.lit(base).alias("base"), start.alias("start"), end.alias("end"), value.alias("value")
+    """Spans of a pattern with what is next to them: the pieces between the matches and the matches
+    give the positions as running sums."""
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def span(p, i, before):
+        gap, hit = F.get(p["gaps"], i), F.get(p["hits"], i)
+        start = before + F.length(gap)
+        earlier = [F.coalesce(F.right(F.get(p[c], i - 1), F.lit(CONTEXT)), F.lit("")) for c in ("gaps", "hits")]
+        later = [F.coalesce(F.left(F.get(p[c], i + 1), F.lit(1)), F.lit("")) for c in ("gaps", "hits")]
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(base).alias("base"),
+            start.alias("start"),
+            (start + F.length(hit)).alias("end"),
+            hit.alias("value"),
+            F.right(F.concat(*earlier, F.right(gap, F.lit(CONTEXT))), F.lit(CONTEXT)).alias("before"),
+            F.left(F.concat(*later), F.lit(1)).alias("after"),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    none = F.expr(f"cast(array() as array<{struct}>)")
-    spans = F.aggregate(
-        F.sequence(F.lit(0), F.size(hits) - 1),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(hits) > 0, spans).otherwise(none)
+
+    def spans(p):
+        numbers = F.sequence(F.lit(0), F.size(p["hits"]) - 1)
+        lengths = F.transform(numbers, lambda i: F.length(F.get(p["gaps"], i)) + F.length(F.get(p["hits"], i)))
+        placed = _let(lengths, lambda n: F.zip_with(numbers, running(n), lambda i, before: span(p, i, before)))
+        return F.when(F.size(p["hits"]) > 0, placed)
+
+    return _let(parts, spans)
 
 
 def _digits(value: Column) -> Column:
@@ -124,7 +179,7 @@ def _format(kind: Column, value: Column) -> Column:
     )
 
 
-def _votes(text: Column, s: Column) -> Column:
+def _votes(s: Column) -> Column:
     """``array<int>`` of the labelers' votes on a span."""
     kind, value, digits = s["kind"], F.lower(s["value"]), _digits(s["value"])
     vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
@@ -138,43 +193,47 @@ def _votes(text: Column, s: Column) -> Column:
         .when(kind == "card", vote(digits.rlike(ISSUERS), ~digits.rlike(ISSUERS)))
         .otherwise(vote(value.rlike(r"^\+[1-9]|^\(?[2-9][0-9]{2}"), value.rlike(r"^\+0|^\(?[01]")))
     )
-    begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-    before = F.lower(F.substring(text, begin + 1, s["start"] - begin))
+    before = F.lower(s["before"])
     announced = F.lit(False)
     for k, words in ANNOUNCE.items():
         announced = F.when(kind == k, before.rlike(words)).otherwise(announced)
     context = vote(announced, before.rlike(OTHER))
-    touched = F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)).rlike(r"[A-Za-z0-9=_/]")
-    touched = touched | F.substring(text, s["end"] + 1, F.lit(1)).rlike(r"[A-Za-z0-9=_]")
+    touched = s["before"].rlike(r"[A-Za-z0-9=_/]$") | s["after"].rlike(r"[A-Za-z0-9=_]")
     return F.array(fmt, gazetteer, context, vote(~touched, touched))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``candidates``: all spans of base and wide patterns with their votes."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs
+    """``_row`` (all columns of ``docs``), ``_text`` and ``candidates``: the spans of base and wide
+    patterns with their votes."""
+    body = F.coalesce(F.col("_text"), F.lit(""))
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    judged = lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "base", "start", "end")], _votes(s).alias("votes"))
+
+    def together(names):
+        """The kinds' spans with their votes, null if there are none."""
+        none = F.lit(False)
+        for c in names:
+            none = none | F.col(c).isNotNull()
+        return F.when(none, F.transform(F.concat(*[F.coalesce(F.col(c), F.array()) for c in names]), judged))
+
     for kind in KINDS:
-        for base, patterns in ((True, BASE), (False, WIDE)):
-            spans = _found(body, patterns[kind], kind, base)
-            some = F.instr(body, HINT[kind]) > 0 if base and HINT[kind] else body.rlike("[0-9]")
-            if not base:
-                some = {
-                    "email": body.rlike(r"[\[({](at|AT)[\])}]"),
-                    "ip": body.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"),
-                    "card": body.rlike(r"[0-9]{4}\.[0-9]{4}\."),
-                    "phone": body.rlike(r"[0-9]{3}[.-][0-9]{4}"),
-                }[kind]
-            found = found.withColumn(f"_{kind}_{base}", F.when(some, spans))
-    each = [F.coalesce(F.col(f"_{k}_{b}"), F.array()) for k in KINDS for b in (True, False)]
-    found = found.withColumn("_spans", F.concat(*each))
-    scored = F.transform(
-        "_spans",
-        lambda s: F.struct(
-            *[s[c].alias(c) for c in ("kind", "base", "start", "end")], _votes(body, s).alias("votes")
-        ),
-    )
-    gone = [f"_{k}_{b}" for k in KINDS for b in (True, False)]
-    return found.withColumn("candidates", F.when(F.size("_spans") > 0, scored).otherwise(F.transform("_spans", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "base", "start", "end")], F.array(F.lit(0)).alias("votes"))))).drop("_spans", *gone)
+        some = F.instr(body, HINT[kind]) > 0 if HINT[kind] else body.rlike("[0-9]")
+        found = found.withColumn(f"_base_{kind}", F.when(some, _found(body, BASE[kind], kind, True)))
+    found = found.withColumn("_base", together([f"_base_{k}" for k in KINDS]))
+    hints = F.lit(False)
+    for hint in WIDE_HINT.values():
+        hints = hints | body.rlike(hint)
+    valid = F.filter("_base", lambda s: F.get(s["votes"], F.lit(0)) > 0)
+    places = F.array_sort(F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    blank = lambda s, at: F.repeat(F.lit("\0"), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0)))
+    clear = _let(places, lambda p: F.when(F.size(p) > 0, rebuilt(body, p, blank)).otherwise(body))
+    found = found.withColumn("_clear", F.when(hints, F.coalesce(clear, body)))
+    for kind in KINDS:
+        some = F.col("_clear").rlike(WIDE_HINT[kind])
+        found = found.withColumn(f"_wide_{kind}", F.when(some, _found(F.col("_clear"), WIDE[kind], kind, False)))
+    found = found.withColumn("_wide", together([f"_wide_{k}" for k in KINDS]))
+    none = F.filter(F.transform(F.array(F.lit(0)), lambda _: F.struct(F.lit("").alias("kind"), F.lit(False).alias("base"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.array(F.lit(0)).alias("votes"))), lambda s: s["base"])
+    return found.select("_row", "_text", F.concat(F.coalesce("_base", none), F.coalesce("_wide", none)).alias("candidates"))
 
 
 @dataclass(frozen=True)
@@ -259,66 +318,52 @@ def learn(candidates: DataFrame) -> SpanModel:
 
 
 def decide(docs: DataFrame, model: SpanModel, threshold: float = 0.5) -> DataFrame:
-    """``docs`` (with ``candidates``) with ``spans``: ``array<struct<kind, start, end, base, probability>>``
-    by kind as listed in KINDS, then start. Base spans stay; others need the threshold and
-    must not overlap a base span or an earlier one."""
+    """``docs`` with ``spans`` for ``candidates``: ``array<struct<kind, start, end, base, probability>>``
+    by kind as listed in KINDS, then start. Base spans that keep their kind's rules stay; others need
+    the threshold."""
     p = lambda s: model.probability(s["kind"], s["votes"])
     ok = F.filter("candidates", lambda s: F.when(s["base"], F.get(s["votes"], F.lit(0)) > 0).otherwise(p(s) >= threshold))
     order = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    sortable = F.transform(
-        ok,
-        lambda s: F.struct(
-            order(s).alias("order"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["kind"].alias("kind"),
-            s["base"].alias("base"),
-            p(s).alias("probability"),
-        ),
-    )
-    out = docs.withColumn("_sure", sortable)
-    clear = F.filter(
-        "_sure",
-        lambda s: s["base"]
-        | ~F.exists("_sure", lambda o: o["base"] & (o["start"] < s["end"]) & (s["start"] < o["end"])),
-    )
+    sortable = F.transform(ok, lambda s: F.struct(order(s).alias("order"), *[s[c].alias(c) for c in ("start", "end", "kind", "base")], p(s).alias("probability")))
     named = F.transform(
-        F.array_sort(clear), lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base", "probability")])
+        F.array_sort(sortable), lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base", "probability")])
     )
-    return out.withColumn("spans", named).drop("_sure", "candidates")
+    return docs.withColumn("_spans", F.when(F.size("candidates") > 0, named)).drop("candidates")
+
 
+NO_SPANS = "cast(array() as array<struct<kind:string,start:int,end:int,base:boolean,probability:double>>)"
 
-def find(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_text: bool = False) -> DataFrame:
-    """All spans of a corpus: ``docs`` with ``spans``, learned and decided in one scan of the texts.
 
-    The candidates are staged without the text (``keep_text`` keeps it).
-    """
+def _decided(docs: DataFrame, text: str, threshold: float, keep_text: bool) -> DataFrame:
+    """``_row`` (without the text unless kept) and ``_spans`` (null if there are none)."""
     rows = with_candidates(docs, text)
-    seen = staged(rows if keep_text else rows.drop(text), "candidates")
+    if not keep_text:
+        rest = [F.col("_row")[c].alias(c) for c in docs.columns if c != text]
+        rows = rows.select(F.struct(*rest).alias("_row") if rest else F.struct(F.lit(0).alias("none")).alias("_row"), "candidates")
+    else:
+        rows = rows.drop("_text")
+    seen = staged(rows, "candidates")
     return decide(seen, learn(seen), threshold)
 
 
+def find(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """All spans of a corpus: ``docs`` without the text, with ``spans``, learned and decided in one scan
+    of the texts."""
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in (text, "spans")]
+    return _decided(docs, text, threshold, False).select(*kept, F.coalesce("_spans", F.expr(NO_SPANS)).alias("spans"))
+
+
 def mask(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by ``<KIND>``; overlapping spans become one mask of the
     first. ``n_chars``, where present, becomes the new length. Same columns, null text stays."""
-    seen = find(docs, text, threshold, keep_text=True)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    body = F.col(text)
-
-    def put(acc, s):
-        cut = F.greatest(s["start"] - acc["at"], F.lit(0))
-        between = F.substring(body, acc["at"] + 1, cut)
-        shown = F.when(s["start"] >= acc["at"], F.concat(between, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], shown).alias("out"))
-
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        put,
-        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
-    )
-    out = seen.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(body)).drop("spans")
+    seen = _decided(docs, text, threshold, True)
+    places = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    shown = lambda s, at: F.when(s["start"] >= at, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+    body = F.col("_row")[text]
+    masked = F.when(F.size("_spans") > 0, rebuilt(F.col("_text"), places, shown)).otherwise(F.col("_text"))
+    seen = seen.withColumn("_text", body).withColumn("_masked", masked)
+    columns = {c: F.col("_row")[c] for c in docs.columns} | {text: F.col("_masked")}
     if "n_chars" in docs.columns:
-        changed = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(body.isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(changed))
-    return out.select(*docs.columns)
+        length = F.when(body.isNull(), columns["n_chars"]).otherwise(F.length("_masked"))
+        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return seen.select(*[value.alias(c) for c, value in columns.items()])
