@@ -1,12 +1,13 @@
 """Very long texts, hot keys, repeated rows and clashing column names."""
 
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prismgrid.llm import bpe, langid_crf, mixing, url_filter
+from prismgrid.llm import bpe, langid_crf, mixing, pii, url_filter
 
 
 def test_url_filter_passes_columns_of_any_name(spark):
@@ -54,3 +55,19 @@ def test_language_of_texts_without_letters_and_of_long_ones(spark):
     assert got[2]["lang_pred"] == "de" and got[3]["lang_pred"] == "en" and all(got[10 + i]["lang_pred"] == "de" for i in range(20))
     texts = [t for _, t in odd if len(t) < 10_000]
     assert np.allclose(langid_crf.score_texts(texts, model), langid_crf.score_texts(texts, model, cells=50))
+
+
+def test_personal_data_in_a_text_of_many_spans(spark):
+    n = 40_000
+    line = "mail u{0:06d}@example.com, call +1 (202) 555-{1} or 202-555-{1}"
+    text = " ".join(line.format(i, i % 9000 + 1000) for i in range(n))
+    docs = spark.createDataFrame([(1, text, "old"), (2, "é x@y.z", "old"), (None, None, None)], "doc_id long, text string, spans string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    masked = {r["doc_id"]: r for r in pii.mask(docs).collect()}
+    assert time.perf_counter() - began < 60
+    size = len(line.format(0, 1000)) + 1
+    assert [(s["start"], s["end"]) for s in got[1] if s["kind"] == "email"] == [(size * i + 5, size * i + 24) for i in range(n)]
+    assert sum(s["base"] for s in got[1]) == 2 * n and len(got[1]) == 3 * n and got[None] == []
+    assert masked[1]["text"] == " ".join(["mail <EMAIL>, call <PHONE> or <PHONE>"] * n)
+    assert (masked[2]["text"], masked[2]["spans"], masked[None]["text"]) == ("é <EMAIL>", "old", None)
