@@ -323,17 +323,20 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS,
     """Learn every language of ``labelled(doc_id, text, lang)`` from a sample bounded in rows and words."""
     known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     known = known.filter(F.col("text").rlike(r"\p{L}"))  # as _LETTER; others teach nothing
-    languages = known.select("lang").distinct().count()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
+    languages = counts.count()
     if not languages:
         return None
     most = max(1, min(per_language, rows // languages))
-    at = F.xxhash64(F.lit(17), "doc_id")
-    first = Window.partitionBy("lang").orderBy("at", "text")
-    picked = known.withColumn("at", at).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
+    known = known.withColumn("at", F.xxhash64(F.lit(17), "doc_id", "text"))
+    # Hashes thin each language to some more than are wanted before any text is shuffled; the rest is exact.
+    share = F.pmod(F.col("at"), F.lit(1 << 30)) / float(1 << 30)
+    thin = known.join(F.broadcast(counts) if languages <= 10_000 else counts, "lang").filter(share * F.col("_of") < 2 * most + 30)
     # Of a long text a passage anywhere in it, cut on the executors: the driver's share is bounded in words too.
-    words = F.split(F.trim("text"), r"\s+")
-    begin = F.pmod(F.xxhash64(F.lit(19), "doc_id"), F.greatest(F.size("words") - passage + 1, F.lit(1))).cast("int") + 1
-    picked = picked.withColumn("words", words).withColumn("text", F.array_join(F.slice("words", begin, passage), " "))
+    begin = F.pmod("at", F.greatest(F.size("words") - passage + 1, F.lit(1))).cast("int") + 1
+    cut = thin.withColumn("words", F.split(F.trim("text"), r"\s+")).withColumn("text", F.array_join(F.slice("words", begin, passage), " "))
+    first = Window.partitionBy("lang").orderBy("at", "text")
+    picked = cut.select("text", "lang", "at").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
     sample = picked.select("text", "lang", "at").toPandas()
     return train(sample.sort_values(["at", "lang", "text"], kind="stable"))
 
