@@ -8,13 +8,18 @@ Predictive probability of w after u, with c customers, t tables, discount d, str
 
 Seating is sampled customer by customer: one leaves, and joins an old table or opens a new one
 with the probabilities of the process. Whether the table it leaves vanishes depends, given c
-and t, on a ratio of generalised Stirling numbers (the arrangement is integrated out); pairs with
-more than ``EXACT`` customers are seated anew in short runs instead.
-
-Shards of the word before hold whole restaurants; shards of the word hold the parent. Each round
-sends table counts up and parent counts down, then sweeps. Predictive probabilities are averaged
-over the samples of the last round. What is gathered (bigrams and postings) follows the corpus;
-only sums of a few numbers reach the driver.
+and t, on a ratio of generalised Stirling numbers (the arrangement is integrated out). The ratios
+are tabulated up to ``EXACT`` customers; of the few pairs with more all customers are seated in one step,
+t being drawn from the same conditional distribution (:mod:`stirling`), so no pair is left out.
+
+Shards of the word before hold whole restaurants, but for words that would fill a shard: these
+restaurants are dealt over several shards by the word, which add up their customers and tables
+between rounds (at most two rows a shard go by the driver) and sweep beside each other within one.
+Shards of the word hold the parent in the same way. Each round sends table counts up and the parent's
+customers and tables (averaged over samples of its own seating) down, then sweeps; the seating goes on from
+round to round. Predictive probabilities are averaged over the samples of the last round and sent back
+to the batches, which hold the postings. What is gathered follows the corpus; only sums of a few numbers
+reach the driver.
 
 Null text is empty: one end token. Empty corpus: empty result. If no text is learned from,
 probabilities are uniform. Repeated rows count as often as they occur. Documents of equal id are
@@ -23,43 +28,27 @@ scored by row. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-from functools import lru_cache
+import pickle
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import shards as S
-from prismgrid.llm.common import release, small_batches, staged
+from prismgrid.llm.common import drop_staged, release, small_batches, staged
+from prismgrid.llm.stirling import leave_ratio, resample
 
-EXACT = 256
+#: Customers of a pair up to which they are seated one by one.
+EXACT = 2048
 STRENGTH = 1.0
 
 
-@lru_cache(maxsize=4)
-def leave_ratio(discount: float, top: int = EXACT) -> np.ndarray:
-    """``r[c, t]``: probability that a customer leaving a dish with c customers at t tables sat alone."""
-    log = np.full((top + 1, top + 1), -np.inf)
-    log[0, 0] = 0.0
-    ratio = np.zeros((top + 1, top + 1))
-    for c in range(1, top + 1):
-        t = np.arange(1, c + 1)
-        alone = log[c - 1, t - 1]
-        grow = np.log(np.maximum(c - 1 - discount * t, 1e-300)) + log[c - 1, t]
-        log[c, t] = np.logaddexp(alone, grow)
-        ratio[c, t] = np.exp(alone - log[c, t])
-    return ratio
-
-
 def sweep(c, t, place, tables, parent, discount: float, strength: float, rng) -> None:
     """One Gibbs sweep over all customers, in place. ``place`` is each pair's restaurant,
     ``tables`` the tables per restaurant, ``parent`` the parent's probability of the dish."""
-    ratio = leave_ratio(round(discount, 6))
+    ratio = leave_ratio(round(discount, 6), EXACT)
     many = np.flatnonzero((c > 1) & (c <= EXACT))
     many = many[np.argsort(-c[many], kind="stable")]
     size = c[many]
@@ -73,177 +62,154 @@ def sweep(c, t, place, tables, parent, discount: float, strength: float, rng) ->
         t[now] += change
         np.add.at(tables, place[now], change)
     for i in np.flatnonzero(c > EXACT):
-        old, seated, new = t[i], 1, 1
-        rest = tables[place[i]] - old
-        while seated < c[i]:
-            run = min(max(1, seated // 10), int(c[i]) - seated)
-            fresh = (strength + discount * (rest + new)) * parent[i]
-            new += int(rng.binomial(run, min(1.0, fresh / (fresh + seated - discount * new))))
-            seated += run
-        t[i] = new
-        tables[place[i]] = rest + new
-
-
-class Merged:
-    """The distinct bigrams of a shard over all batches."""
-
-    def __init__(self, blocks: list[bytes]):
-        parts = [S.read_block(b) for b in blocks]
-        self.first, u_at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        self.second, v_at = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-        lengths = [len(p[3]) for p in parts]
-        keys, at, nu, nv = np.empty(sum(lengths), np.int64), 0, 0, 0
-        for p, n in zip(parts, lengths, strict=True):
-            u = np.repeat(u_at[nu : nu + len(p[0])], p[1])
-            keys[at : at + n] = u * len(self.second) + v_at[nv : nv + len(p[2])][p[3]]
-            nu, nv, at = nu + len(p[0]), nv + len(p[2]), at + n
-        pair, where = np.unique(keys, return_inverse=True)
-        del keys
-        where = where.astype(np.int32)
-        self.count = np.bincount(where, np.concatenate([p[4] for p in parts]), len(pair)).astype(np.int64)
-        self.u, self.w = (pair // len(self.second)).astype(np.int32), (pair % len(self.second)).astype(np.int32)
-        self.where = np.split(where, np.cumsum(lengths)[:-1])
-        self.postings = [p[5:] for p in parts]
-
-    def by_second(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.w, values, len(self.second)).astype(np.int64)
-
-
-def _deal(docs: DataFrame, train: str, shards: int, words: int) -> DataFrame:
-    """``(shard, batch, ids, block)``; ``ids`` (doc ids, words, learned flags) comes once per batch, in shard -1."""
-
-    def deal(batches):
-        rows = ((b.column(0).to_pylist(), b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), bool)) for b in batches)
-        part = TaskContext.get().partitionId()
-        for n, (ids, flags, hashes, counts) in enumerate(S.gather(rows, words)):
-            batch = (part << 32) + n
-            known = np.array([i is not None for i in ids])
-            body = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
-            head = S.pack(known.astype(np.uint8), body, counts + 1, (~flags).astype(np.uint8))
-            out = [(-1, head), *S.bigram_blocks(*S.with_ends(hashes, counts), flags.astype(np.int64), shards)]
-            for s, block in out:
-                yield pa.RecordBatch.from_pydict({"shard": [s], "batch": [batch], "block": [block]}, SCHEMA)
-            S.trim()
+        rest = tables[place[i]] - t[i]
+        t[i] = resample(int(c[i]), float(rest), float(parent[i]), discount, strength, rng)
+        tables[place[i]] = rest + t[i]
+
+
+#: What a message between shards holds: words with counts for the parent, the totals of a shard, the part of a
+#: split restaurant, a shard's own seating; or the parent's answer.
+WORDS, TOTAL, SPLIT, STATE = 0, 1, 2, 3
+MESSAGE = "kind int, to int, source int, block binary, n long, n1 long, n2 long"
+_COLUMNS = ["kind", "to", "source", "block", "n", "n1", "n2"]
+
+
+def _messages(rows) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
-    return docs.select("doc_id", "text", F.col(train)).mapInArrow(deal, "shard int, batch long, block binary")
 
+@dataclass(frozen=True)
+class Corpus:
+    """What all shards know of the corpus at a round."""
+
+    keys: np.ndarray  # shard -> part
+    split: S.Splits
+    discount: float = 0.5
+    n: int = 0
+    vocabulary: int = 0
+    customers: int = 0  # of the parent
+    tables: float = 0.0
+    held: np.ndarray | None = None  # customers of each split restaurant
+    seated: np.ndarray | None = None  # its tables
 
-SCHEMA = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("block", pa.binary())])
-_UP = "target int, shard int, block binary, n long, n1 long, n2 long"
 
+def _merge(group: pd.DataFrame) -> tuple[S.Merged, np.ndarray]:
+    group = group.sort_values("batch")
+    return S.Merged(list(group["block"])), group["batch"].to_numpy()
 
-def _up(merged: Merged, shard: int, t: np.ndarray, shards: int) -> pd.DataFrame:
-    """What a shard tells the parent: per word its training count and tables, by parent shard."""
-    target = (S.mix64(merged.second) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((merged.second, target))
+
+def _up(merged: S.Merged, part: int, t: np.ndarray, corpus: Corpus) -> list[tuple]:
+    """What a shard tells the others: per word its training count and tables, its share of the split
+    restaurants, its totals, and its own seating for the next round."""
     count, tables = merged.by_second(merged.count), merged.by_second(t)
-    cuts = np.searchsorted(target[order], np.arange(shards + 1))
-    rows = []
-    for s in range(shards):
-        own = order[cuts[s] : cuts[s + 1]]
-        if len(own):
-            rows.append((s, shard, S.pack(S.gaps(merged.second[own]), count[own], tables[own]), 0, 0, 0))
+    shards = corpus.split.shards
+    rows = [
+        (WORDS, int(corpus.keys[s]), part, S.pack(S.gaps(merged.second[own]), count[own], tables[own]), 0, 0, 0)
+        for s, own in S.by_target(merged.second, shards)[1]
+    ]
+    at = corpus.split.at(merged.first)
+    customers, seated = merged.by_first(merged.count), merged.by_first(t)
+    rows += [(SPLIT, -1, part, b"", int(at[u]), int(customers[u]), int(seated[u])) for u in np.flatnonzero(at >= 0)]
     sums = int(merged.count.sum()), int((merged.count == 1).sum()), int((merged.count == 2).sum())
-    rows.append((-1, shard, b"", *sums))
-    return pd.DataFrame(rows, columns=["target", "shard", "block", "n", "n1", "n2"])
+    return [*rows, (TOTAL, -1, part, b"", *sums), (STATE, part, part, S.pack(t), 0, 0, 0)]
 
 
-def _parents(up: DataFrame, discount: float, strength: float, seed: int, sweeps: int) -> DataFrame:
-    """``(shard, target, block, words, customers, tables)``: the parent's counts for each asking shard."""
+def _parents(up: DataFrame, corpus: Corpus, seed: int, sweeps: int, samples: int) -> DataFrame:
+    """The parent's counts for each asking shard: training count, customers, tables (a mean over samples, in
+    thousandths). Other shards' words keep the tables of the round before."""
 
-    def seat(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
+    def seat(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("source")
         parts = [S.unpack(b) for b in group["block"]]
         words, at = np.unique(np.concatenate([S.ungaps(p[0]) for p in parts]), return_inverse=True)
         count = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
         c = np.bincount(at, np.concatenate([p[2] for p in parts]), len(words)).astype(np.int64)
         t = np.minimum(c, 1)
-        rng = np.random.default_rng([seed, int(group["target"].iloc[0])])
-        tables = np.array([t.sum()])
-        base = np.full(len(words), 1 / (np.count_nonzero(count) * 1.0 + 1))
-        for _ in range(sweeps):
-            sweep(c, t, np.zeros(len(words), np.int64), tables, base, discount, strength, rng)
+        mean = t * 1000
+        if corpus.vocabulary:  # all words are known: sample
+            rng = np.random.default_rng([seed, int(key[0])])
+            place, tables = np.zeros(len(words), np.int64), np.array([max(corpus.tables, t.sum())])
+            base = np.full(len(words), 1 / (corpus.vocabulary + 1))
+            seen = np.zeros(len(words))
+            for k in range(sweeps + samples - 1):
+                sweep(c, t, place, tables, base, corpus.discount, STRENGTH, rng)
+                seen += t if k >= sweeps - 1 else 0
+            mean = np.round(1000 * seen / samples).astype(np.int64)
         rows, n = [], 0
-        for shard, p in zip(group["shard"], parts, strict=True):
+        for source, p in zip(group["source"], parts, strict=True):
             own = at[n : n + len(p[0])]
             n += len(p[0])
-            rows.append((shard, group["target"].iloc[0], S.pack(count[own], c[own], t[own]), 0, 0, 0))
-        rows.append((-1, group["target"].iloc[0], b"", int(np.count_nonzero(count)), int(c.sum()), int(t.sum())))
-        return pd.DataFrame(rows, columns=["shard", "target", "block", "words", "customers", "tables"])
+            rows.append((WORDS, source, int(key[0]), S.pack(count[own], c[own], mean[own]), 0, 0, 0))
+        rows.append((TOTAL, -1, int(key[0]), b"", int(np.count_nonzero(count)), int(c.sum()), int(t.sum())))
+        S.trim()
+        return _messages(rows)
 
-    schema = "shard int, target int, block binary, words long, customers long, tables long"
-    return up.filter("target >= 0").groupBy("target").applyInPandas(seat, schema)
+    return up.filter(F.col("kind") == WORDS).groupBy("to").applyInPandas(seat, MESSAGE)
 
 
-def _replies(merged: Merged, replies: pd.DataFrame, shards: int):
+def _replies(merged: S.Merged, messages: pd.DataFrame, corpus: Corpus):
     """(training count, customers, tables) of the parent for each word of the shard."""
-    target = (S.mix64(merged.second) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((merged.second, target))
-    out = np.zeros((3, len(order)), np.int64)
-    parts = [S.unpack(b) for b in replies.sort_values("target")["block"]]
-    for k in range(3):
-        out[k, order] = np.concatenate([p[k] for p in parts])
-    return out
-
-
-def _merge(group: pd.DataFrame) -> Merged:
-    return Merged(list(group.sort_values("batch")["block"]))
+    order, own = S.by_target(merged.second, corpus.split.shards)
+    out = np.zeros((3, len(order)))
+    blocks = dict(zip(messages["source"], messages["block"], strict=True))
+    for s, at in own:
+        out[:, at] = np.stack([x.astype(np.float64) for x in S.unpack(blocks[int(corpus.keys[s])])])
+    return out[0].astype(np.int64), out[1], out[2] / 1000
 
 
 @dataclass(frozen=True)
 class _Round:
-    """One round over the shards: what all of them know of the corpus, and the seating of one."""
+    """One round over the shards: the seating of one."""
 
+    corpus: Corpus
     seed: int
     turn: int
     last: bool
-    shards: int
     sweeps: int
     samples: int
-    discount: float
-    n: int
-    vocabulary: int
-    customers: int
-    tables: int
-
-    def seater(self):
-        def run(key, group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-            out = self.seat(int(key[0]), group, replies)
+
+    def runner(self):
+        def run(key, group: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+            if not len(group):  # a part that holds no bigrams
+                return _messages([])
+            out = self.seat(int(key[0]), group, messages)
             S.trim()
-            return out
+            return _messages(out)
 
         return run
 
-    def seat(self, shard: int, group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        """Seat a shard's customers; its tables for the parent or, at last, partial scores."""
-        m, d = _merge(group), self.discount
-        known, c0, t0 = _replies(m, replies, self.shards)
-        base = 1 / (self.vocabulary + 1)
-        parent = (c0 - d * t0 + (STRENGTH + d * self.tables) * base) / (STRENGTH + self.customers)
-        rng = np.random.default_rng([self.seed, self.turn, shard])
-        t = np.minimum(m.count, 1)
-        in_place = np.bincount(m.u, t, len(m.first)).astype(np.int64)
+    def seat(self, part: int, group: pd.DataFrame, messages: pd.DataFrame) -> list[tuple]:
+        """Seat a shard's customers; its messages or, at last, the values of each batch's bigrams."""
+        corpus, d = self.corpus, self.corpus.discount
+        m, batches = _merge(group)
+        words = messages["kind"] == WORDS
+        known, c0, t0 = _replies(m, messages[words], corpus)
+        base = 1 / (corpus.vocabulary + 1)
+        parent = np.maximum(c0 - d * t0 + (STRENGTH + d * corpus.tables) * base, 1e-300) / (STRENGTH + corpus.customers)
+        t = S.unpack(messages.loc[messages["kind"] == STATE, "block"].iloc[0])[0].astype(np.int64)
+        customers, tables = m.by_first(m.count), m.by_first(t)
+        at = corpus.split.at(m.first)
+        far = at >= 0  # what the other parts of a split restaurant hold
+        customers[far], tables[far] = corpus.held[at[far]], corpus.seated[at[far]]
+        rng = np.random.default_rng([self.seed, self.turn, part])
         above = parent[m.w]
         for _ in range(self.sweeps):
-            sweep(m.count, t, m.u, in_place, above, d, STRENGTH, rng)
+            sweep(m.count, t, m.u, tables, above, d, STRENGTH, rng)
         if not self.last:
-            return _up(m, shard, t, self.shards)
+            return _up(m, part, t, corpus)
         p = np.zeros(len(t))
         for k in range(self.samples):
             if k:
-                sweep(m.count, t, m.u, in_place, above, d, STRENGTH, rng)
-            p += m.count - d * t + (STRENGTH + d * in_place[m.u]) * above
-        logp = np.log10(p / self.samples / (STRENGTH + np.bincount(m.u, m.count, len(m.first))[m.u]))
-        plain = np.log10((known[m.w] + 0.5) / (self.n + 0.5 * (self.vocabulary + 1)))
-        seen, rows = (known > 0)[m.w], []
-        batches = group.sort_values("batch")["batch"]
-        for batch, where, (postings, doc, times) in zip(batches, m.where, m.postings, strict=True):
-            own = np.repeat(where, postings)
-            here, at = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(at, v[own] * times, len(here)) for v in (plain, logp)]
-            hits = np.bincount(at, seen[own] * times, len(here)).astype(np.int64)
-            rows.append((int(batch), S.pack(here, hits, *sums)))
-        return pd.DataFrame(rows, columns=["batch", "block"])
+                sweep(m.count, t, m.u, tables, above, d, STRENGTH, rng)
+            p += m.count - d * t + (STRENGTH + d * tables[m.u]) * above
+        logp = np.log10(p / self.samples / (STRENGTH + customers[m.u])).astype(np.float32)
+        known = known[m.w]
+        shards = np.uint64(corpus.split.shards)
+        homes = corpus.keys[(S.mix64(batches.astype(np.uint64)) % shards).astype(np.int64)]
+        return [
+            (WORDS, int(home), part, S.pack(logp[where], known[where]), int(batch), 0, 0)
+            for home, batch, where in zip(homes, batches, m.where, strict=True)
+        ]
 
 
 def score(
@@ -255,73 +221,86 @@ def score(
     samples: int = 3,
     words: int = 800_000,
     seed: int = 7,
+    shard_words: int = 2_000_000,
 ) -> DataFrame:
     """Score all texts with a model of those whose boolean column ``train`` is true.
 
     Returns per row ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     perplexity``: tokens are words and one end; ``n_known`` of them occur in training;
     ``base_score`` is the add-half unigram log10 probability, ``score`` the model's log10
-    probability. ``shards`` follows the number of rows unless given.
+    probability. Shards are as many as hold ``shard_words`` words each unless given.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or max(24, math.ceil(docs.count() / 3000))
-    blocks = S.staged_by(_deal(docs, train, shards, words), "shard", shards, "bigrams")
+    shards = shards or S.shard_count(docs, shard_words)
+    split = S.splits(docs, shards, words)
+    corpus = Corpus(S.bucket_keys(shards), split)
+    place = {int(k): i for i, k in enumerate(corpus.keys)}
+    blocks = S.staged_by(S.deal(docs, split, words, train), "part", shards, "bigrams", by="kind")
     release(spark)
     small_batches(spark, 32)  # rows are blocks of tens of kilobytes from here on
-    held = blocks.filter("shard >= 0")
+    held = blocks.filter(F.col("kind") == S.KEYS).select("part", "batch", "block")
 
     def first_up(key, group: pd.DataFrame) -> pd.DataFrame:
-        m = _merge(group)
-        out = _up(m, int(key[0]), np.minimum(m.count, 1), shards)
+        m, _ = _merge(group)
+        out = _up(m, int(key[0]), np.minimum(m.count, 1), corpus)
         del m
         S.trim()
-        return out
+        return _messages(out)
 
-    up = staged(held.groupBy("shard").applyInPandas(first_up, _UP), "up")
-    total = up.agg(F.sum("n"), F.sum("n1"), F.sum("n2")).first()
+    up = staged(held.groupBy("part").applyInPandas(first_up, MESSAGE), "up")
+    total = up.filter(F.col("kind") == TOTAL).agg(F.sum("n"), F.sum("n1"), F.sum("n2")).first()
     n, n1, n2 = (int(x or 0) for x in total)
     # The usual estimate of a discount from how many pairs occur once and twice.
     discount = round(min(max(n1 / (n1 + 2 * n2), 0.1), 0.95), 6) if n1 else 0.5
+    corpus = replace(corpus, discount=discount, n=n)
 
     for turn in range(rounds):
-        down = staged(_parents(up, discount, STRENGTH, seed + 1000 * turn, sweeps), "down")
-        sums = down.filter("shard < 0").agg(F.sum("words"), F.sum("customers"), F.sum("tables")).first()
+        shares = up.filter(F.col("kind") == SPLIT).groupBy("n").agg(F.sum("n1").alias("c"), F.sum("n2").alias("t")).collect()
+        both = np.zeros((2, len(split.words)), np.int64)
+        for r in shares:  # at most two words a shard
+            both[:, r["n"]] = r["c"], r["t"]
+        down = staged(_parents(up, corpus, seed + 1000 * turn, sweeps, samples), "down")
+        sums = down.filter(F.col("kind") == TOTAL).agg(F.sum("n"), F.sum("n1"), F.sum("n2")).first()
         vocabulary, customers, tables = (int(x or 0) for x in sums)
-        last = turn == rounds - 1
-
-        state = _Round(seed, turn, last, shards, sweeps, samples, discount, n, vocabulary, customers, tables)
-        schema = "batch long, block binary" if last else _UP
-        up = held.groupBy("shard").cogroup(down.filter("shard >= 0").groupBy("shard")).applyInPandas(state.seater(), schema)
-        if not last:
-            up = staged(up, "up")
-
-    heads = blocks.filter("shard < 0").select("batch", F.lit(True).alias("head"), "block")
-    partial = heads.unionByName(up.select("batch", F.lit(False).alias("head"), "block"))
-
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        known, ids, tokens, held_out = S.unpack(group.loc[group["head"], "block"].iloc[0])
-        hits, base, model = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
-        for block in sorted(group.loc[~group["head"], "block"]):
-            doc, h, b, m = S.unpack(block)
-            hits[doc] += h
-            base[doc] += b
-            model[doc] += m
-        number = pd.array(ids.astype(np.uint64).view(np.int64), dtype="Int64")
-        number[known == 0] = pd.NA
-        return pd.DataFrame(
-            {
-                "doc_id": number,
-                "held_out": held_out.astype(bool),
-                "n_tokens": tokens.astype(np.int64),
-                "n_known": hits,
-                "base_score": base,
-                "score": model,
-            }
-        )
+        corpus = replace(corpus, vocabulary=vocabulary, customers=customers, tables=tables, held=both[0], seated=both[1])
+        state = _Round(corpus, seed, turn, turn == rounds - 1, sweeps, samples)
+        told = down.filter(F.col("kind") == WORDS).unionByName(up.filter(F.col("kind") == STATE))
+        told = told.select(F.col("to").alias("part"), "kind", "source", "block")
+        new = staged(held.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(state.runner(), MESSAGE), "up")
+        drop_staged(up), drop_staged(down)
+        up = new
+    values = up.select(F.col("to").alias("part"), F.col("n").alias("batch"), "source", F.lit(-1).alias("kind"), "block")
+    own = blocks.filter(F.col("kind") != S.KEYS)
+
+    def finish(key, own: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for batch, mine in own.groupby("batch", sort=True):
+            ids, counts, flags = pickle.loads(mine.loc[mine["kind"] == S.HEAD, "block"].iloc[0])
+            pair, doc, times = S.read_postings(mine.loc[mine["kind"] == S.POSTINGS, "block"].iloc[0])
+            sent = values[values["batch"] == batch]
+            sent = sent.iloc[np.argsort([place[k] for k in sent["source"]])]  # the batch wrote its shards in this order
+            parts = [S.unpack(b) for b in sent["block"]]
+            logp, known = (np.concatenate([p[k] for p in parts]).astype(np.float64) for k in (0, 1))
+            plain = np.log10((known + 0.5) / (n + 0.5 * (vocabulary + 1)))
+            per_text = lambda v, doc=doc, pair=pair, times=times, ids=ids: np.bincount(doc, v[pair] * times, len(ids))
+            out.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": pd.array([i[0] for i in ids], dtype="Int64"),
+                        "held_out": ~flags,
+                        "n_tokens": counts + 1,
+                        "n_known": per_text((known > 0).astype(np.float64)).astype(np.int64),
+                        "base_score": per_text(plain),
+                        "score": per_text(logp),
+                    }
+                )
+            )
+        S.trim()
+        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    done = partial.groupBy("batch").applyInPandas(finish, schema)
+    done = own.groupBy("part").cogroup(values.groupBy("part")).applyInPandas(finish, schema)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return done.select(
         "doc_id",

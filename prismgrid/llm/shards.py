@@ -1,31 +1,44 @@
 """Word bigrams by shard: the exchange both language models stand on.
 
-Texts are hashed in NumPy and gathered in batches of about a million words. A batch writes, per
-shard of the first word, its distinct bigrams with their training counts and its postings (which
-documents hold them, how often) as one compressed block. A shard can then merge the counts of
-the whole corpus and score every document that holds one of its bigrams, without a row per word
-ever being shuffled. Equal bigrams of a batch meet before the shuffle, so frequent ones cost one
-entry per batch.
+Texts are hashed in NumPy and gathered in batches of about ``words`` words. Of a batch two things are
+written: for each shard that holds some of them its distinct bigrams with their training counts, and
+for the batch itself its postings (which documents hold which bigram, how often) and who is in it.
+Postings never travel: a shard merges the bigrams of all batches and sends values back to each batch,
+in the order of the batch's own list, so a bigram that is in every document costs one entry a batch.
+
+Bigrams go to the shard of their first word. A word whose bigrams would fill a shard (``Splits``)
+has them dealt over several by the second word.
 """
 
 from __future__ import annotations
 
 import ctypes
+import math
+import pickle
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from prismgrid.llm.common import shared_dir
+from prismgrid.llm.common import drop_staged, shared_dir, staged
 
 _U = np.uint64
 #: Words that stand for the borders of a text; hashes of words are never these by more than chance.
 BEGIN, END = 1, 2
 WINDOW = 1 << 19
+#: What a row of :func:`deal` holds: bigrams for a shard, a batch's postings, who is in a batch.
+KEYS, POSTINGS, HEAD = 0, 1, 2
+DEALT = "part int, kind int, batch long, block binary"
+_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("block", pa.binary())])
+#: Texts sampled to find words whose bigrams fill a shard; only where bigrams lie depends on them.
+SAMPLE = 20_000
 
 
 def trim() -> None:
@@ -152,19 +165,66 @@ def with_ends(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return before, word, np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
 
 
-def bigram_blocks(before, word, text, train: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, block) of one batch. ``train`` marks the texts that are learned from."""
+@dataclass(frozen=True)
+class Splits:
+    """Over how many shards the bigrams of a frequent first word go; others stay in one."""
+
+    shards: int
+    words: np.ndarray  # ascending hashes
+    parts: np.ndarray
+
+    def at(self, first: np.ndarray) -> np.ndarray:
+        """Position of each word in ``words``, -1 if it is not split."""
+        if not len(self.words):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.words, first), len(self.words) - 1)
+        return np.where(self.words[at] == first, at, -1)
+
+    def shard(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at = self.at(first)
+        over = np.where(at >= 0, self.parts[at] if len(self.parts) else 1, 1).astype(np.uint64)
+        return ((first % _U(self.shards) + mix64(second) % over) % _U(self.shards)).astype(np.int64)
+
+
+def shard_count(docs: DataFrame, words: int, least: int = 24) -> int:
+    """Shards of about ``words`` words each, by the bytes of all texts (six a word)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, math.ceil(size / 6 / words))
+
+
+def splits(docs: DataFrame, shards: int, words: int, sample: int = SAMPLE) -> Splits:
+    """Words that hold over half a shard's share of the bigrams of a sample: two a shard at most."""
+
+    def count(batches):
+        rows = ((b.column(0).to_pylist(), b.column(0).to_pylist(), np.ones(b.num_rows, bool)) for b in batches)
+        for _, _, hashes, texts in gather(rows, words):
+            word, n = np.unique(hashes, return_counts=True)
+            word, n = np.append(word, _U(BEGIN)).view(np.int64), np.append(n, len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+
+    part = max(1, -(-docs.count() // sample))
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(part)) == 0).select("text")
+    seen = staged(some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "sample")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    over = F.ceil(F.col("n") * (2 * shards) / max(total, 1))
+    top = seen.withColumn("over", F.least(over, F.lit(shards))).filter("over > 1").collect()
+    drop_staged(seen)
+    top = sorted((r["word"] & 0xFFFFFFFFFFFFFFFF, r["over"]) for r in top)
+    return Splits(shards, np.array([w for w, _ in top], _U), np.array([n for _, n in top], np.int64))
+
+
+def bigram_blocks(before, word, text, train: np.ndarray, split: Splits) -> tuple[list[tuple[int, bytes]], bytes]:
+    """(shard, block) of one batch, shards ascending, and its postings in the order of the blocks.
+
+    ``train`` marks the texts that are learned from.
+    """
     first, u = np.unique(before, return_inverse=True)
     del before
     u = u.astype(np.int32)
     second, w = np.unique(word, return_inverse=True)
     del word
-    shard_of = (first % _U(shards)).astype(np.int64)
-    rank = np.empty(len(first), np.int64)  # words before, by shard and then hash
-    order = np.lexsort((first, shard_of))
-    rank[order] = np.arange(len(first))
     n_texts = len(train)
-    key = rank[u]
+    key = u.astype(np.int64)
     del u
     key *= len(second)
     key += w
@@ -183,42 +243,145 @@ def bigram_blocks(before, word, text, train: np.ndarray, shards: int) -> Iterato
     learned = np.add.reduceat(times * train[doc], at) if len(at) else at
     postings = np.diff(np.append(at, len(pair)))
     pu, pw = pair[at] // len(second), pair[at] % len(second)
-    cuts = np.searchsorted(shard_of[order][pu], np.arange(shards + 1))
-    ends = np.append(at, len(pair))
-    for s in range(shards):
-        a, b = cuts[s], cuts[s + 1]
-        if a == b:
-            continue
-        own, runs = np.unique(pu[a:b], return_counts=True)
+    del pair
+    shard = split.shard(first[pu], second[pw])
+    order = np.argsort(shard, kind="stable")
+    pu, pw, learned, shard = pu[order], pw[order], learned[order], shard[order]
+    out = []
+    own, cuts = np.unique(shard, return_index=True)
+    for s, a, b in zip(own, cuts, np.append(cuts[1:], len(shard)), strict=True):
+        before_, runs = np.unique(pu[a:b], return_counts=True)
         vocabulary, wi = np.unique(pw[a:b], return_inverse=True)
-        x, y = ends[a], ends[b]
-        step = np.diff(doc[x:y], prepend=0)  # postings ascend within a bigram
-        heads = ends[a:b] - x
-        step[heads] = doc[x:y][heads]
-        yield s, pack(
-            gaps(first[order][own]), runs, gaps(second[vocabulary]), wi, learned[a:b], postings[a:b], step, times[x:y]
-        )
+        out.append((int(s), pack(gaps(first[before_]), runs, gaps(second[vocabulary]), wi, learned[a:b])))
+    postings, at = postings[order], at[order]
+    inside = np.arange(postings.sum()) - np.repeat(np.cumsum(postings) - postings, postings)
+    inside += np.repeat(at, postings)
+    doc, times = doc[inside], times[inside]
+    step = np.diff(doc, prepend=0)  # documents ascend within a bigram
+    heads = np.cumsum(postings) - postings
+    step[heads] = doc[heads]
+    return out, pack(postings, step, times)
 
 
 def read_block(data: bytes):
-    """(before, runs, vocabulary, word position, learned, postings, text, times)."""
-    u, runs, v, wi, learned, postings, step, times = unpack(data)
+    """(word before, how many bigrams each has, vocabulary, word of each bigram, learned)."""
+    u, runs, v, wi, learned = unpack(data)
+    return ungaps(u), runs, ungaps(v), wi, learned
+
+
+def read_postings(data: bytes):
+    """(bigram, document, times) of each posting of a batch."""
+    postings, step, times = unpack(data)
     heads = np.cumsum(postings, dtype=np.int64) - postings
     total = np.cumsum(step, dtype=np.int64)
     base = total[heads] - step[heads] if len(heads) else heads
-    text = (total - np.repeat(base, postings)).astype(np.int32)
-    return ungaps(u), runs, ungaps(v), wi, learned, postings, text, times
-
-
-def staged_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    return np.repeat(np.arange(len(postings)), postings), (total - np.repeat(base, postings)).astype(np.int32), times
+
+
+def bucket_keys(buckets: int) -> np.ndarray:
+    """An int for each bucket that Spark's hash puts there, so that every task gets one shard."""
+    found, start = np.full(buckets, -1, np.int64), 0
+    while (found < 0).any():
+        k = np.arange(start, start + 8 * buckets, dtype=np.uint64)
+        mask = _U(0xFFFFFFFF)
+        turn = lambda x, n: ((x << _U(n)) | (x >> _U(32 - n))) & mask
+        h = turn(k * _U(0xCC9E2D51) & mask, 15) * _U(0x1B873593) & mask
+        h = (turn(h ^ _U(42), 13) * _U(5) + _U(0xE6546B64)) & mask ^ _U(4)
+        h = (h ^ (h >> _U(16))) * _U(0x85EBCA6B) & mask
+        h = (h ^ (h >> _U(13))) * _U(0xC2B2AE35) & mask
+        at = (h ^ (h >> _U(16))).astype(np.uint32).view(np.int32).astype(np.int64) % buckets
+        where, first = np.unique(at, return_index=True)
+        new = found[where] < 0
+        found[where[new]] = k[first[new]].astype(np.int64)
+        start += 8 * buckets
+    return found
+
+
+def deal(docs: DataFrame, split: Splits, words: int, train: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of :data:`DEALT` for ``docs(doc_id, text, *extra)``, learned from where ``train`` is true
+    (everywhere without it). A head is ``(rows of doc_id and extra, words of each, learned)``."""
+    keys = bucket_keys(split.shards)
+    columns = ["doc_id", *extra]
+    flag = F.lit(True) if train is None else F.col(train)
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+
+        def rows():
+            for b in batches:
+                ids = list(zip(*[b.column(i + 2).to_pylist() for i in range(len(columns))], strict=True))
+                yield ids, b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), bool)
+
+        for n, (ids, flags, hashes, counts) in enumerate(gather(rows(), words)):
+            batch = (task << 32) + n
+            blocks, postings = bigram_blocks(*with_ends(hashes, counts), flags.astype(np.int64), split)
+            own = int(keys[int(mix64(np.array([batch], _U))[0] % _U(split.shards))])
+            out = [(int(keys[s]), KEYS, batch, block) for s, block in blocks]
+            out += [(own, POSTINGS, batch, postings), (own, HEAD, batch, pickle.dumps((ids, counts, flags)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _DEALT, strict=True)], schema=_DEALT)
+            del blocks, postings, out
+            trim()
+
+    return docs.select("text", flag.alias("_learned"), *columns).mapInArrow(run, DEALT)
+
+
+def staged_by(df: DataFrame, key: str, buckets: int, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder bucketed by ``key``: grouping or joining by it later
-    needs no shuffle of the blocks."""
+    needs no shuffle of the blocks. Rows of different ``by`` go to different files."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, key)
-        .write.bucketBy(buckets, key)
-        .option("path", f"{shared_dir(spark)}/{table}")
-        .saveAsTable(table, format="parquet")
-    )
+    out = df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}")
+    (out.partitionBy(by) if by else out).saveAsTable(table, format="parquet")
     return spark.table(table)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table written by :func:`staged_by` with its files."""
+    spark = df.sparkSession
+    names = {r for r in df.inputFiles()}
+    for root in {f.rpartition("/")[0].rpartition("/kind=")[0] or f.rpartition("/")[0] for f in names}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        spark.sql(f"drop table if exists `{root.rpartition('/')[2]}`")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Merged:
+    """The distinct bigrams of a shard over all batches, by word before and word."""
+
+    def __init__(self, blocks: list[bytes]):
+        parts = [read_block(b) for b in blocks]
+        self.first, u_at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        self.second, v_at = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        lengths = [len(p[3]) for p in parts]
+        keys, at, nu, nv = np.empty(sum(lengths), np.int64), 0, 0, 0
+        for p, n in zip(parts, lengths, strict=True):
+            u = np.repeat(u_at[nu : nu + len(p[0])], p[1])
+            keys[at : at + n] = u * len(self.second) + v_at[nv : nv + len(p[2])][p[3]]
+            nu, nv, at = nu + len(p[0]), nv + len(p[2]), at + n
+        learned = np.concatenate([p[4] for p in parts])
+        del parts
+        pair, where = np.unique(keys, return_inverse=True)
+        del keys
+        where = where.astype(np.int32)
+        self.count = np.bincount(where, learned, len(pair)).astype(np.int64)
+        self.u, self.w = (pair // len(self.second)).astype(np.int32), (pair % len(self.second)).astype(np.int32)
+        self.where = np.split(where, np.cumsum(lengths)[:-1])
+
+    def by_first(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.u, values, len(self.first)).astype(np.int64)
+
+    def by_second(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.w, values, len(self.second)).astype(np.int64)
+
+
+def targets(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard that keeps what is known of a word as such."""
+    return (mix64(words) % _U(shards)).astype(np.int64)
+
+
+def by_target(words: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Positions of ascending ``words`` by target, and the same cut into ``(target, positions)``."""
+    target = targets(words, shards)
+    order = np.argsort(target, kind="stable")
+    own, cuts = np.unique(target[order], return_index=True)
+    return order, [(int(t), p) for t, p in zip(own, np.split(order, cuts[1:]), strict=True)] if len(own) else []
