@@ -1,246 +1,302 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Vocabulary: the ``vocabulary`` most frequent words of the trusted training texts (a size of the
-model; every word of every text counts, the others as one unknown word whose probability is
-shared by the unknown types seen). Counts are gathered and merged in shards of the word before;
-documents meet the merged counts in the same shards (a sharded count join), each shard returns
-sums per document, and the sums give perplexities. Vectors over the vocabulary (contexts,
-continuations) are bounded by it and go to every task.
+    P(w|u) = (c_uw - D(c_uw)) / c_u + backoff(u) * P(w),  P(w) = (k_w - D'(k_w)) / sum k + rest / (V + 1)
+
+k_w is the number of words that w follows; both orders have three discounts, for 1, 2 and more. Every
+word of the trusted texts is in the model; what is left of the lower order is shared alike by its V
+words and one unknown word, which stands for all others.
+
+Counts are gathered and merged in shards of the word before (:mod:`shards`); what is known of a word as
+such lies in shards of the words. Documents meet the merged counts in the same shards (a sharded count
+join): a shard asks for the lower order of the words its documents hold and sends the probabilities of
+each batch's bigrams back to it. Only counts of counts and the totals of split contexts, two a shard
+at most, reach the driver. Documents go through in ``waves`` by hash, all of them, so that the
+exchange takes a part of the disk at a time.
 
 A document is accepted if its length-adjusted log perplexity is at most the threshold of its
-language: the ``quantile`` of trusted texts that were held out of training, with ``slack`` times
-its distance from their median. The adjustment draws short texts toward the median as if they
-had ``prior_words`` more words of it. Languages without held-out texts use all held-out texts.
+language: the ``quantile`` of trusted texts that were held out of training. The adjustment draws short
+texts toward their language's median as if they had ``prior_words`` more words of it. Languages without
+held-out texts use all held-out texts.
 
 Null or empty texts have no words and are rejected. Null languages form a language of their
 own. If nothing is trusted every non-empty document is accepted. Repeated label rows: trusted if
-any says so. Rows of equal doc_id are scored one by one. Extra columns are ignored.
+any says so. Rows are scored one by one, whatever their doc_id. Extra columns are ignored, and passed
+through by :func:`keep`.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import shards as S
-from prismgrid.llm.common import release, small_batches, staged
-
-VOCABULARY = 65_536
-QUANTILE, SLACK, PRIOR_WORDS = 0.995, 1.1, 20.0
-_BLOCKS = "shard int, batch long, block binary"
-_SCHEMA = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("block", pa.binary())])
-
-
-@dataclass
-class Words:
-    """The vocabulary: sorted hashes. Ids follow; then unknown, end and begin."""
-
-    hashes: np.ndarray
-
-    @property
-    def unknown(self) -> int:
-        return len(self.hashes)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        n = len(self.hashes)
-        out = np.searchsorted(self.hashes, h)
-        known = np.zeros(len(h), bool)
-        inside = out < n
-        known[inside] = self.hashes[out[inside]] == h[inside]
-        out[~known] = n
-        out[h == S.END], out[h == S.BEGIN] = n + 1, n + 2
-        return out.astype(np.uint64)
-
-
-def _rows(batches):
-    for b in batches:
-        flags = np.array(b.column(2).to_pylist(), bool) if b.num_columns > 2 else np.ones(b.num_rows, bool)
-        yield b.column(0).to_pylist(), b.column(1).to_pylist(), flags
-
-
-def word_counts(texts: DataFrame, words: int) -> DataFrame:
-    """``(word, n)`` over all texts, summed within batches before the shuffle."""
-
-    def count(batches):
-        for _, _, hashes, _ in S.gather(_rows(batches), words):
-            word, n = np.unique(hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    rows = texts.select("doc_id", "text").mapInArrow(count, "word long, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def deal(docs: DataFrame, vocabulary, shards: int, words: int, head: bool) -> DataFrame:
-    """Blocks of bigrams over the vocabulary by shard; with ``head`` also who is in a batch (shard -1)."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        known = vocabulary.value
+from prismgrid.llm.common import drop_staged, release, small_batches, staged
 
-        def rows():
-            for b in batches:
-                ids = list(zip(*[b.column(c).to_pylist() for c in ["doc_id", *extra]], strict=True))
-                yield ids, b.column("text").to_pylist(), np.ones(b.num_rows, bool)
+QUANTILE, PRIOR_WORDS = 0.999, 20.0
+#: What a message between shards holds: words with numbers, a piece of a split context, counts of counts,
+#: merged bigrams, values for a batch.
+WORDS, SPLIT, BINS, MODEL, VALUES = 0, 1, 2, 3, 4
+MESSAGE = "kind int, part int, source int, block binary, n long, n1 long, n2 long"
+_COLUMNS = ["kind", "part", "source", "block", "n", "n1", "n2"]
+_NONE = np.empty(0, np.int64)
 
-        for n, (ids, flags, hashes, counts) in enumerate(S.gather(rows(), words)):
-            before, word, text = S.with_ends(hashes, counts)
-            blocks = S.bigram_blocks(known.ids(before), known.ids(word), text, flags.astype(np.int64), shards)
-            out = [*([(-1, pickle.dumps((ids, counts)))] if head else []), *blocks]
-            for s, block in out:
-                yield pa.RecordBatch.from_pydict({"shard": [s], "batch": [(part << 32) + n], "block": [block]}, _SCHEMA)
 
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, _BLOCKS)
+def _messages(rows) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def merged_counts(group: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending pair keys (before x width + word) of a shard and their counts."""
-    keys, counts = [], []
-    for block in group["block"]:
-        u, runs, v, wi, learned, *_ = S.read_block(block)
-        keys.append(np.repeat(u.astype(np.int64), runs) * width + v.astype(np.int64)[wi])
-        counts.append(learned)
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-
-
-@dataclass
-class Vectors:
-    """What depends on one word: backoff weight of each context, log10 of lower-order probability."""
-
-    discounts: np.ndarray
-    context: np.ndarray
-    backoff: np.ndarray
-    lower: np.ndarray
-    share: float  # of one unknown type in the unknown word
-
-
-def vectors(sums: pd.DataFrame, width: int, unknown_types: int) -> Vectors:
-    """Model vectors from sums ``(kind, id, n)``: see :func:`_sums`."""
-    take = lambda k: np.bincount(sums.id[sums.kind == k], sums.n[sums.kind == k], width)
-    n = np.maximum(np.bincount(sums.id[sums.kind == 5], sums.n[sums.kind == 5], 6)[1:5], 0)
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Discounts for counts 0, 1, 2 and more from how many occur 1, 2, 3 and 4 times."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
     step = lambda k: k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * 0.5
-    discounts = np.array([0.0, *(min(max(step(k), 0.05), k - 0.05) for k in (1, 2, 3))])
-    context, ones, twos, more = take(1), take(2), take(3), take(4)
-    mass = discounts[1] * ones + discounts[2] * twos + discounts[3] * more
-    backoff = np.where(context > 0, mass / np.maximum(context, 1), 1.0)
-    kinds = take(0)
-    lower = np.maximum(kinds - 0.75, 0)
-    total, types = kinds.sum(), width - 1  # nothing follows as "begin"
-    lower = (lower + np.minimum(kinds, 0.75).sum() / types) / total if total else np.full(width, 1 / types)
-    return Vectors(discounts, context, backoff, lower, 1 / max(unknown_types, 1))
-
-
-def _sums(counts: DataFrame, width: int) -> DataFrame:
-    """``(kind, id, n)``: 0 contexts per word; per context 1 its count, 2-4 its words seen once,
-    twice, more; 5 pairs by count 1-4. At most 5 rows per word of the vocabulary."""
-
-    def each(frames):
-        for f in frames:
-            for block in f["block"]:
-                gap, n = S.unpack(block)
-                key = S.ungaps(gap).astype(np.int64)
-                n = n.astype(np.int64)
-                u, w = key // width, key % width
-                parts = [(0, np.bincount(w, minlength=width)), (1, np.bincount(u, n, width))]
-                parts += [(k + 1, np.bincount(u[n == k], minlength=width)) for k in (1, 2)]
-                parts += [(4, np.bincount(u[n > 2], minlength=width)), (5, np.bincount(np.minimum(n, 5), minlength=6))]
-                for kind, values in parts:
-                    at = np.flatnonzero(values)
-                    yield pd.DataFrame({"kind": kind, "id": at, "n": values[at].astype(np.int64)})
-
-    return counts.mapInPandas(each, "kind int, id int, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
-
-
-def log_probabilities(u, w, key, held: np.ndarray, count: np.ndarray, v: Vectors, unknown: int) -> np.ndarray:
-    """log10 P(w|u) of pairs against the merged counts of their shard."""
-    c = np.zeros(len(key), np.int64)
-    if len(held):
-        at = np.minimum(np.searchsorted(held, key), len(held) - 1)
-        same = held[at] == key
-        c[same] = count[at[same]]
-    seen = np.maximum(c - v.discounts[np.minimum(c, 3)], 0) / np.maximum(v.context[u], 1)
-    p = seen + v.backoff[u] * v.lower[w]
-    return np.log10(np.where(w == unknown, p * v.share, p))
-
-
-def perplexities(docs: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, words: int = 1_500_000) -> DataFrame:
+    return np.array([0.0, *(min(max(step(k), 0.05), k - 0.05) for k in (1, 2, 3))])
+
+
+@dataclass(frozen=True)
+class Knowledge:
+    """What all shards know of the model."""
+
+    keys: np.ndarray  # shard -> part
+    split: S.Splits
+    upper: np.ndarray | None = None  # discounts of bigrams
+    lower: np.ndarray | None = None  # and of words
+    total: int = 0  # distinct bigrams
+    types: int = 0
+    rest: float = 1.0  # what the lower order leaves to all words alike
+    contexts: np.ndarray | None = None  # of each split word: customers, and bigrams seen once, twice, more
+
+    def word(self, kinds: np.ndarray) -> np.ndarray:
+        """Lower-order probability of words that follow ``kinds`` others."""
+        even = self.rest / (self.types + 1)
+        if not self.total:
+            return np.full(len(kinds), even)
+        return np.maximum(kinds - self.lower[np.minimum(kinds, 3)], 0) / self.total + even
+
+    def asked(self, words: np.ndarray, part: int, values: list[np.ndarray]) -> list[tuple]:
+        """Ascending words with numbers, to where the words are kept."""
+        return [
+            (WORDS, int(self.keys[s]), part, S.pack(S.gaps(words[own]), *[v[own] for v in values]), 0, 0, 0)
+            for s, own in S.by_target(words, self.split.shards)[1]
+        ]
+
+    def answers(self, words: np.ndarray, messages: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(len(words), np.int64)
+        blocks = dict(zip(messages["source"], messages["block"], strict=True))
+        for s, at in S.by_target(words, self.split.shards)[1]:
+            out[at] = S.unpack(blocks[int(self.keys[s])])[0]
+        return out
+
+
+def _bins(n: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5]
+
+
+def _train(knowledge: Knowledge):
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        """A shard's merged bigrams, its words and contexts."""
+        part = int(key[0])
+        m = S.Merged(list(group.sort_values("batch")["block"]))
+        _, runs = np.unique(m.u, return_counts=True)
+        rows = [(MODEL, part, part, S.pack(S.gaps(m.first), runs, S.gaps(m.second), m.w, m.count), 0, 0, 0)]
+        rows += knowledge.asked(m.second, part, [np.bincount(m.w, minlength=len(m.second))])
+        rows += [(BINS, -1, part, b"", k + 1, int(n), 0) for k, n in enumerate(_bins(m.count))]
+        sums = _context(m.u, m.count, len(m.first))
+        at = knowledge.split.at(m.first)
+        rows += [(SPLIT, -1, part, b"", int(at[u]), k, int(sums[k, u])) for u in np.flatnonzero(at >= 0) for k in range(4)]
+        S.trim()
+        return _messages(rows)
+
+    return run
+
+
+def _context(u: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """Of each word before: customers, and bigrams seen once, twice, more."""
+    return np.stack([np.bincount(u, count, size)] + [np.bincount(u[np.minimum(count, 3) == k], minlength=size) for k in (1, 2, 3)]).astype(np.int64)
+
+
+def _words(key, group: pd.DataFrame) -> pd.DataFrame:
+    """How many words each word follows, over all shards, and counts of these counts."""
+    parts = [S.unpack(b) for b in group["block"]]
+    words, at = np.unique(np.concatenate([S.ungaps(p[0]) for p in parts]), return_inverse=True)
+    kinds = np.bincount(at, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+    rows = [(WORDS, int(key[0]), -1, S.pack(S.gaps(words), kinds), 0, 0, 0)]
+    rows += [(BINS, -1, -1, b"", k + 1, int(n), 0) for k, n in enumerate(_bins(kinds))]
+    rows.append((BINS, -1, -1, b"", 0, len(words), int(kinds.sum())))
+    S.trim()
+    return _messages(rows)
+
+
+def _ask(knowledge: Knowledge):
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        """The words that documents hold in a shard."""
+        words = np.unique(np.concatenate([S.ungaps(S.unpack(b)[2]) for b in group["block"]]))
+        S.trim()
+        return _messages(knowledge.asked(words, int(key[0]), []))
+
+    return run
+
+
+def _answer(key, asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+    known, kinds = _NONE.view(np.uint64), _NONE
+    if len(kept):
+        gap, kinds = S.unpack(kept["block"].iloc[0])
+        known = S.ungaps(gap)
+    rows = []
+    for source, block in zip(asked["source"], asked["block"], strict=True):
+        words = S.ungaps(S.unpack(block)[0])
+        rows.append((WORDS, int(source), int(key[0]), S.pack(_looked_up(known, kinds, words)), 0, 0, 0))
+    S.trim()
+    return _messages(rows)
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of ascending keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0).astype(np.int64)
+
+
+def _value(knowledge: Knowledge):
+    """log10 P of each bigram of each batch in a shard."""
+
+    def run(key, group: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return _messages([])
+        part, k = int(key[0]), knowledge
+        group = group.sort_values("batch")
+        words = np.unique(np.concatenate([S.ungaps(S.unpack(b)[2]) for b in group["block"]]))
+        lower = k.word(k.answers(words, messages[messages["kind"] == WORDS]))
+        model = messages.loc[messages["kind"] == MODEL, "block"]
+        first = second = _NONE.view(np.uint64)
+        pairs = count = _NONE
+        if len(model):
+            first, runs, second, w, count = S.unpack(model.iloc[0])
+            first, second, count = S.ungaps(first), S.ungaps(second), count.astype(np.int64)
+            u = np.repeat(np.arange(len(first)), runs)
+            pairs = u * len(second) + w
+            sums = _context(u, count, len(first))
+            at = k.split.at(first)
+            sums[:, at >= 0] = k.contexts[:, at[at >= 0]]
+            mass = (k.upper[1:, None] * sums[1:]).sum(axis=0) / np.maximum(sums[0], 1)
+        shards, rows = np.uint64(k.split.shards), []
+        for batch, block in zip(group["batch"], group["block"], strict=True):
+            before, runs, after, w, _ = S.read_block(block)
+            iu, iw = _looked_up(first, np.arange(1, len(first) + 1), before), _looked_up(second, np.arange(1, len(second) + 1), after)
+            u = np.repeat(iu, runs)
+            p = lower[np.searchsorted(words, after)][w]
+            known = np.flatnonzero(u)
+            if len(known):
+                own = u[known] - 1
+                c = np.where(iw[w[known]] > 0, _looked_up(pairs, count, own * len(second) + iw[w[known]] - 1), 0)
+                p[known] = np.maximum(c - k.upper[np.minimum(c, 3)], 0) / np.maximum(sums[0, own], 1) + mass[own] * p[known]
+            # A split word's context is known in all its shards, with or without bigrams there.
+            far = k.split.at(before)
+            far = np.repeat(np.where((far >= 0) & (iu == 0), far, -1), runs)
+            lone = np.flatnonzero(far >= 0)
+            if len(lone):
+                own = k.contexts[:, far[lone]]
+                p[lone] *= np.where(own[0] > 0, (k.upper[1:, None] * own[1:]).sum(axis=0) / np.maximum(own[0], 1), 1.0)
+            home = k.keys[int((S.mix64(np.array([batch], np.uint64)) % shards)[0])]
+            rows.append((VALUES, int(home), part, S.pack(np.log10(p).astype(np.float32)), int(batch), 0, 0))
+        S.trim()
+        return _messages(rows)
+
+    return run
+
+
+def _summed(extra: list[str], place: dict[int, int]):
+    def finish(key, own: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=["doc_id", *extra, "n_tokens", "log10_p"])]
+        for batch, mine in own.groupby("batch", sort=True):
+            ids, counts, _ = pickle.loads(mine.loc[mine["kind"] == S.HEAD, "block"].iloc[0])
+            pair, doc, times = S.read_postings(mine.loc[mine["kind"] == S.POSTINGS, "block"].iloc[0])
+            sent = values[values["n"] == batch]
+            sent = sent.iloc[np.argsort([place[k] for k in sent["source"]])]  # the batch wrote its shards in this order
+            logp = np.concatenate([S.unpack(b)[0] for b in sent["block"]]).astype(np.float64)
+            total = np.bincount(doc, logp[pair] * times, len(ids))
+            out.append(pd.DataFrame(ids, columns=["doc_id", *extra], dtype=object).assign(n_tokens=counts + 1, log10_p=total))
+        S.trim()
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    return finish
+
+
+def learn(train: DataFrame, split: S.Splits, words: int) -> tuple[Knowledge, DataFrame, DataFrame]:
+    """What is known of the model, its merged bigrams and its words by part."""
+    spark, shards = train.sparkSession, split.shards
+    knowledge = Knowledge(S.bucket_keys(shards), split)
+    dealt = S.deal(train, split, words).filter(F.col("kind") == S.KEYS)
+    seen = staged(dealt.groupBy("part").applyInPandas(_train(knowledge), MESSAGE), "counts")
+    release(spark)
+    kept = staged(seen.filter(F.col("kind") == WORDS).groupBy("part").applyInPandas(_words, MESSAGE), "words")
+    bins = lambda df: {r["n"]: (r["a"], r["b"]) for r in df.filter(F.col("kind") == BINS).groupBy("n").agg(F.sum("n1").alias("a"), F.sum("n2").alias("b")).collect()}
+    upper, lower = bins(seen), bins(kept)
+    of = lambda b: np.array([b.get(k, (0, 0))[0] for k in range(1, 5)])
+    types, total = lower.get(0, (0, 0))
+    contexts = np.zeros((4, len(split.words)), np.int64)
+    for r in seen.filter(F.col("kind") == SPLIT).groupBy("n", "n1").agg(F.sum("n2").alias("c")).collect():  # four numbers a split word
+        contexts[r["n1"], r["n"]] = r["c"]
+    low = discounts(of(lower))
+    once, twice = of(lower)[:2]
+    rest = (low[1] * once + low[2] * twice + low[3] * (types - once - twice)) / total if total else 1.0
+    knowledge = replace(knowledge, upper=discounts(of(upper)), lower=low, total=int(total), types=int(types), rest=float(rest), contexts=contexts)
+    return knowledge, seen, kept
+
+
+def perplexities(docs: DataFrame, train: DataFrame, words: int = 800_000, waves: int = 6, shards: int | None = None, shard_words: int = 3_000_000) -> DataFrame:
     """Log10 probability of every text of ``docs`` under a model of the texts of ``train``.
 
     ``docs(doc_id, text, *extra)`` gives ``doc_id, *extra, n_tokens, log10_p``.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    seen = staged(word_counts(train, words), "words")
-    top = seen.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toPandas()["word"].to_numpy(np.int64)
-    known = Words(np.sort(top.view(np.uint64)))
-    width, types = len(top) + 3, seen.count() - len(top)
-    sent = spark.sparkContext.broadcast(known)
-    shards = max(24, math.ceil(docs.count() / 10_000))
-
-    def merge(key, group):
-        key_, n = merged_counts(group, width)
-        return pd.DataFrame({"shard": [int(key[0])], "block": [S.pack(S.gaps(key_.astype(np.uint64)), n)]})
-
-    counts = deal(train.select("doc_id", "text"), sent, shards, words, head=False)
-    counts = staged(counts.groupBy("shard").applyInPandas(merge, "shard int, block binary"), "counts")
-    v = spark.sparkContext.broadcast(vectors(_sums(counts, width).toPandas(), width, types))
-    dealt = deal(docs, sent, shards, words, head=True)
-    unknown = known.unknown
-
-    def meet(key, group, model):
-        rows = []
-        held, n = (np.empty(0, np.int64),) * 2
-        if len(model):
-            gap, n = S.unpack(model["block"].iloc[0])
-            held, n = S.ungaps(gap).astype(np.int64), n.astype(np.int64)
-        for batch, block in zip(group["batch"], group["block"], strict=True):
-            if key[0] < 0:
-                rows.append((batch, True, block))
-                continue
-            u, runs, second, wi, _, postings, doc, times = S.read_block(block)
-            u, w = np.repeat(u.astype(np.int64), runs), second.astype(np.int64)[wi]
-            logp = log_probabilities(u, w, u * width + w, held, n, v.value, unknown)
-            here, at = np.unique(doc, return_inverse=True)
-            rows.append((batch, False, S.pack(here, np.bincount(at, np.repeat(logp, postings) * times, len(here)))))
-        return pd.DataFrame(rows, columns=["batch", "head", "block"])
-
-    partial = dealt.groupBy("shard").cogroup(counts.groupBy("shard")).applyInPandas(
-        meet, "batch long, head boolean, block binary"
-    )
+    shards = shards or S.shard_count(docs, shard_words)
+    split = S.splits(docs, shards, words)
+    knowledge, seen, kept = learn(train.select("doc_id", "text"), split, words)
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-
-    def finish(group):
-        ids, n = pickle.loads(group.loc[group["head"], "block"].iloc[0])
-        total = np.zeros(len(ids))
-        for block in sorted(group.loc[~group["head"], "block"]):
-            doc, part = S.unpack(block)
-            total[doc] += part
-        out = pd.DataFrame(ids, columns=["doc_id", *extra], dtype=object)
-        return out.assign(n_tokens=n + 1, log10_p=total)
-
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *extra])
-    return partial.groupBy("batch").applyInPandas(finish, f"{kept}, n_tokens long, log10_p double")
-
-
-def judge(
-    docs: DataFrame,
-    labels: DataFrame,
-    vocabulary: int = VOCABULARY,
-    quantile: float = QUANTILE,
-    slack: float = SLACK,
-    prior_words: float = PRIOR_WORDS,
-) -> DataFrame:
-    """Per document ``doc_id, lang, n_tokens, log10_p, perplexity, adjusted, threshold, accepted``."""
+    place = {int(k): i for i, k in enumerate(knowledge.keys)}
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *extra])
+    schema += ", n_tokens long, log10_p double"
+    model = seen.filter(F.col("kind") == MODEL)
+    known = kept.filter(F.col("kind") == WORDS)
+    scored = []
+    for wave in range(waves):
+        small_batches(spark)
+        own = docs.filter(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(waves)) == wave)
+        blocks = S.staged_by(S.deal(own, split, words, extra=tuple(extra)), "part", shards, "bigrams", by="kind")
+        release(spark)
+        small_batches(spark, 32)  # rows are blocks of tens of kilobytes from here on
+        held = blocks.filter(F.col("kind") == S.KEYS).select("part", "batch", "block")
+        asked = held.groupBy("part").applyInPandas(_ask(knowledge), MESSAGE)
+        told = staged(asked.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_answer, MESSAGE), "told")
+        sent = held.groupBy("part").cogroup(told.unionByName(model).groupBy("part")).applyInPandas(_value(knowledge), MESSAGE)
+        rest = blocks.filter(F.col("kind") != S.KEYS)
+        done = rest.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(_summed(extra, place), schema)
+        scored.append(staged(done, "scored"))
+        drop_staged(told), S.drop_table(blocks)
+        del blocks, held, asked, told, sent, rest, done
+        release(spark)
+    drop_staged(seen), drop_staged(kept)
+    out = scored[0]
+    for one in scored[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def _row_keys() -> list[F.Column]:
+    """128 bits that stand for a row: equal for rows of equal id, text and language alone."""
+    parts = [c for name in ("doc_id", "lang", "text") for c in (F.col(name).isNull(), F.col(name))]
+    return [F.xxhash64(F.lit(i), *parts).alias(f"_k{i}") for i in (1, 2)]
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior_words: float, **params) -> DataFrame:
+    """What :func:`judge` returns, with the row keys."""
     trusted = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     # A fifth of the trusted texts is held out and sets the thresholds.
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5))
@@ -249,28 +305,30 @@ def judge(
     train = staged(docs.select("doc_id", "text").join(learned.hint("merge"), "doc_id", "left_semi"), "train")
     release(docs.sparkSession)
     held_out = F.coalesce(F.col("trusted") & (part == 0), F.lit(False))
-    scored = staged(perplexities(docs.select("doc_id", "text", "lang"), train, vocabulary), "scored")
-    scored = scored.join(trusted, "doc_id", "left").withColumn("held_out", held_out).filter("n_tokens >= 1")
+    scored = staged(perplexities(docs.select("doc_id", "text", "lang", *_row_keys()), train, **params), "scored")
+    drop_staged(train)
     rate = -F.col("log10_p") / F.col("n_tokens")
-    usual = scored.filter("held_out and n_tokens > 1").withColumn("rate", rate)
+    scored = scored.join(trusted, "doc_id", "left").withColumn("held_out", held_out).withColumn("rate", rate)
+    usual = scored.filter("held_out and n_tokens > 1")
     middle = usual.groupBy("lang").agg(F.percentile_approx("rate", 0.5, F.lit(10_000)).alias("middle"))
-    whole = usual.agg(F.percentile_approx("rate", 0.5, F.lit(10_000)).alias("any_middle"))
-    adjust = lambda rate, middle: middle + (rate - middle) * F.col("n_tokens") / (F.col("n_tokens") + prior_words)
+    middle = staged(middle.withColumnRenamed("lang", "_lang"), "middle")
+    of_lang = F.col("lang").eqNullSafe(F.col("_lang"))
+    whole = usual.agg(F.percentile_approx("rate", 0.5, F.lit(10_000)).alias("any")).first()["any"]
+    weight = F.col("n_tokens") / (F.col("n_tokens") + prior_words)
     high = lambda c: F.percentile_approx(c, quantile, F.lit(10_000))
-    scored, middle = scored.withColumn("rate", rate), staged(middle, "middle")
-    near = lambda df: (
-        df.join(F.broadcast(whole)).join(middle.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        .withColumn("middle", F.coalesce("middle", "any_middle"))
-        .withColumn("adjusted", F.coalesce(adjust(F.col("rate"), F.col("middle")), F.col("rate")))
-        .drop("_lang")
-    )
-    bound = near(usual).groupBy("lang").agg(high("adjusted").alias("high"))
-    bound_any = near(usual).agg(high("adjusted").alias("any_high"))
-    judged = near(scored).join(bound.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    judged = judged.join(F.broadcast(bound_any))
-    high_ = F.coalesce("high", "any_high")
-    limit = F.col("middle") + slack * (high_ - F.col("middle"))
+
+    def near(df: DataFrame) -> DataFrame:
+        df = df.join(middle, of_lang, "left").withColumn("middle", F.coalesce("middle", F.lit(whole).cast("double"))).drop("_lang")
+        return df.withColumn("adjusted", F.coalesce(F.col("middle") + (F.col("rate") - F.col("middle")) * weight, F.col("rate")))
+
+    usual = near(usual)
+    bound = usual.groupBy("lang").agg(high("adjusted").alias("high")).withColumnRenamed("lang", "_lang")
+    bound_any = usual.agg(high("adjusted").alias("high")).first()["high"]
+    judged = near(scored).join(bound, of_lang, "left")
+    limit = F.coalesce("high", F.lit(bound_any).cast("double"))
     return judged.select(
+        "_k1",
+        "_k2",
         "doc_id",
         "lang",
         "n_tokens",
@@ -282,7 +340,13 @@ def judge(
     )
 
 
-def keep(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The accepted rows of ``docs``, same columns (rows of one doc_id stay if any is accepted)."""
-    good = judge(docs, labels, **params).filter("accepted").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_good")), "left_semi")
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_words: float = PRIOR_WORDS, **params) -> DataFrame:
+    """Per document ``doc_id, lang, n_tokens, log10_p, perplexity, adjusted, threshold, accepted``."""
+    return _judged(docs, labels, quantile, prior_words, **params).drop("_k1", "_k2")
+
+
+def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_words: float = PRIOR_WORDS, **params) -> DataFrame:
+    """The accepted rows of ``docs``, same columns. Rows are told apart by id, text and language."""
+    good = staged(_judged(docs, labels, quantile, prior_words, **params).filter("accepted").select("_k1", "_k2").distinct(), "good")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_row_keys())
+    return rows.join(good, ["_k1", "_k2"], "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
