@@ -178,32 +178,38 @@ def test_language_models_on_nothing(spark):
     assert quality_kn.judge(empty(spark), labels).count() == 0
 
 
-def test_kneser_ney_against_dictionaries(spark):
+@pytest.mark.parametrize("shards", [3, 40])
+def test_kneser_ney_against_dictionaries(spark, shards):
     texts = [prose(i, 25) for i in range(12)]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    probe = spark.createDataFrame([(1, texts[0] + " unseen words"), (2, "zebra the of")], "doc_id long, text string")
-    got = {r["doc_id"]: r["log10_p"] for r in quality_kn.perplexities(probe, train, vocabulary=10).collect()}
-    counts = Counter(w for t in texts for w in t.split())
-    order = sorted(counts, key=lambda w: (-counts[w], int(shards.word_hashes([w])[0].view(np.int64)[0])))
-    known = set(order[:10])
-    of = lambda t: ["<s>", *[w if w in known else "<unk>" for w in t.split()], "</s>"]
+    probe = spark.createDataFrame([(1, texts[0] + " unseen words"), (2, "zebra the of"), (3, None), (4, texts[3])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_kn.perplexities(probe, train, words=40, waves=2, shards=shards).collect()}
+    of = lambda t: ["<s>", *(t or "").split(), "</s>"]
     pairs = Counter(p for t in texts for p in zip(of(t), of(t)[1:], strict=False))
-    n = [sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3))]
-    kinds, types = Counter(w for _, w in pairs), 12
-    lower = lambda w: (max(kinds[w] - 0.75, 0) + sum(min(k, 0.75) for k in kinds.values()) / types) / sum(kinds.values())
+    kinds = Counter(w for _, w in pairs)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        return [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3))]
+
+    d, e = discounts(pairs.values()), discounts(kinds.values())
+    total = sum(kinds.values())
+    even = sum(e[min(k, 3)] for k in kinds.values()) / total / (len(kinds) + 1)
+    lower = lambda w: max(kinds[w] - e[min(kinds[w], 3)], 0) / total + even
 
     def p(u, w):
-        total = sum(c for (a, _), c in pairs.items() if a == u)
-        back = sum(d[min(c, 3)] for (a, _), c in pairs.items() if a == u) / total if total else 1.0
+        own = [c for (a, _), c in pairs.items() if a == u]
         c = pairs[u, w]
-        v = (max(c - d[min(c, 3)], 0) / total if total else 0) + back * lower(w)
-        return v / max(len(counts) - 10, 1) if w == "<unk>" else v
+        if not own:
+            return lower(w)
+        return (c - d[min(c, 3)]) / sum(own) + sum(d[min(k, 3)] for k in own) / sum(own) * lower(w)
 
+    every = [*kinds, "zebra"]
+    assert abs(sum(p("the", w) for w in every) - 1) < 1e-9
     for r in probe.collect():
         want = sum(math.log10(p(u, w)) for u, w in zip(of(r["text"]), of(r["text"])[1:], strict=False))
-        assert abs(got[r["doc_id"]] - want) < 1e-9
+        assert abs(got[r["doc_id"]]["log10_p"] - want) < 1e-5 and got[r["doc_id"]]["n_tokens"] == len(of(r["text"])) - 1
 
 
 def test_quality_keeps_prose_and_drops_junk(spark):
