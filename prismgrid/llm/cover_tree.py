@@ -1,22 +1,24 @@
 """Exact pairs of embeddings above a cosine threshold by a dual traversal of cover trees.
 
 Vectors are scaled to length one, so a cosine is a distance and metric bounds hold. Equal vectors
-are one point with a weight. The tree has nested levels: pivots (a farthest-first net of a
-bounded sample, each point under its nearest), and below them nets of radius 1/2 and 1/4 with
-halving radii, each node with its true covering radius. Two nodes are compared by their centres:
-farther apart than both radii and the threshold they are pruned with all below; so close that even
-their farthest points link, all pairs are counted without a look. What remains goes down a level,
-and points are verified in double precision.
-
-Pivot cells are dealt in blocks of at most ``block`` points and block pairs are the tasks; a hot
-cell only makes more blocks. A task writes one row per point that it found linked, with the number
+are one point with a weight. Points lie in pivot cells (pivots: a farthest-first net of a bounded
+sample) and cells in blocks of about ``block`` points. Each block's tree is built once and kept as one
+packed row: nested nets with halving radii down to the points, each node with its true covering radius.
+
+Two nodes are compared by their centres: farther apart than both radii and the threshold they are
+pruned with all below, so cells, then nodes of each level; so close that even their farthest points
+link, all pairs are counted without a look. What remains goes down a level; a level at which hardly
+anything is pruned is passed by one matrix product of the next. Points are verified in double precision.
+
+The pairs of blocks that the cells' radii leave are the tasks, a hot cell only makes more blocks, and a
+block travels as one row a pair. A task writes one row per point that it found linked, with the number
 of links and one partner that stands for its group, never the pairs themselves; components are
 those of these rows.
 
 Null, empty, zero vectors and vectors with null or non-finite components link with nothing, and
-so do vectors of different lengths. Rows that repeat a vec_id are vectors of their own in the
-counts. Null vec_ids take part but name a component only if nothing else does. Extra columns are
-ignored. In high dimensions with no structure no bound prunes and the cost is that of comparing
+so do vectors of different lengths, however many lengths there are. Rows that repeat a vec_id are vectors
+of their own in the counts. Null vec_ids take part but name a component only if nothing else does. Extra
+columns are ignored. In high dimensions with no structure no bound prunes and the cost is that of comparing
 all centres; the bounds never cost a pair.
 """
 
@@ -30,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismgrid.llm.common import components, small_batches, staged
+from prismgrid.llm import shards as S
+from prismgrid.llm.common import components, drop_staged, release, small_batches, staged
+from prismgrid.llm.simhash import merge_labels
 
 THRESHOLD = 0.9
 BLOCK, SAMPLE, PIVOTS = 4096, 4096, 256
 #: Radii of the levels below the pivots, halving.
-RADII = (0.5, 0.25)
+RADII = (1.0, 0.5, 0.25, 0.125)
+#: Share of pairs left above which a level is passed.
+DENSE = 0.1
 _EDGE = 1e-6  # what single precision may be off when centres are compared
 
 
@@ -77,29 +83,38 @@ class Net:
         return self.order[self.start[node] : self.start[node + 1]]
 
 
-def nets(x: np.ndarray, radii=RADII) -> list[Net]:
-    """Nested levels of a block, coarse to fine; the finest has points as members."""
+def owners(x: np.ndarray, radii=RADII) -> list[np.ndarray]:
+    """The centre of each point on nested nets of halving radii, coarse to fine. A node's first member is
+    its centre, and stays one on finer levels."""
     near = np.asarray(x, np.float32)
-    cover = near @ near.T
-    owners = [np.zeros(len(x), np.int64)]
-    for radius in radii:  # a node's first member is its centre, and stays one on finer levels
-        least = 1 - radius * radius / 2
-        owner = np.full(len(x), -1)
-        for i in range(len(x)):
-            if owner[i] < 0:
-                owner[(owner < 0) & (cover[i] >= least) & (owners[-1] == owners[-1][i])] = i
-                owner[i] = i
-        owners.append(owner)
+    out, above = [], np.zeros(len(x), np.int64)
+    for radius in radii:
+        least, owner = 1 - radius * radius / 2, np.full(len(x), -1)
+        for node in np.split(np.argsort(above, kind="stable"), np.flatnonzero(np.diff(np.sort(above))) + 1):
+            left = np.sort(node)
+            while len(left):  # the first point left is the next centre
+                inside = near[left] @ near[left[0]] >= least
+                inside[0] = True
+                owner[left[inside]] = left[0]
+                left = left[~inside]
+        out.append(owner)
+        above = owner
+    return out
+
+
+def nets(x: np.ndarray, owned: list[np.ndarray] | None = None) -> list[Net]:
+    """Nested levels of a block, coarse to fine; the finest has points as members."""
+    owned = owners(x) if owned is None else owned
     levels = []
-    for k in range(len(radii), 0, -1):
-        heads = np.unique(owners[k])
-        node = np.searchsorted(heads, owners[k])
+    for k, owner in enumerate(owned):
+        heads = np.unique(owner)
+        node = np.searchsorted(heads, owner)
         apart = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, x[heads[node]]), 0))
         radius = np.zeros(len(heads))
         np.maximum.at(radius, node, apart + 1e-12)
-        finer = np.unique(owners[k + 1]) if k < len(radii) else np.arange(len(x))
+        finer = np.unique(owned[k + 1]) if k + 1 < len(owned) else np.arange(len(x))
         levels.append(Net(x[heads], radius, node[finer]))
-    return levels[::-1]
+    return levels
 
 
 def _products(a: Net, b: Net, pairs: np.ndarray, most: int):
@@ -126,42 +141,61 @@ class Links:
         self.weight, self.count, self.label = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        from prismgrid.llm.simhash import merge_labels
-
-        np.add.at(self.count, i, self.weight[j])
-        np.add.at(self.count, j, self.weight[i])
+        """Point i[k] with j[k]."""
+        size = len(self.weight)
+        self.count += np.bincount(i, self.weight[j], size).astype(np.int64) + np.bincount(j, self.weight[i], size).astype(np.int64)
         self.label = merge_labels(self.label, i, j)
 
     def add_all(self, i: np.ndarray, j: np.ndarray) -> None:
         """Every point of ``i`` with every other of ``j``."""
-        from prismgrid.llm.simhash import merge_labels
-
         self.count[i] += self.weight[j].sum()
         self.count[j] += self.weight[i].sum()
         both = np.concatenate([i, j])
         self.label = merge_labels(self.label, np.full(len(both), both.min()), both)
 
+    def compare(self, x, z, i: np.ndarray, j: np.ndarray, shift: int, cosine: float, once: bool) -> None:
+        """Points ``i`` of x with ``j`` of z by matrix products; ``once``: only with i before j."""
+        for at in range(0, len(i), 512):
+            own = i[at : at + 512]
+            hit = x[own] @ z[j].T >= cosine
+            if once:
+                hit &= own[:, None] < j[None, :]
+            u, v = np.nonzero(hit)
+            if len(u):
+                self.add(own[u], j[v] + shift)
+
+
+def _near_nodes(a: Net, b: Net, reach: float, once: bool, most: float) -> np.ndarray | None:
+    """Pairs of nodes that the bounds leave, or None if these are more than the share ``most`` of all."""
+    ca, cb = a.centre.astype(np.float32), b.centre.astype(np.float32)
+    found, count = [], 0
+    for at in range(0, len(ca), 512):
+        limit = np.minimum(a.radius[at : at + 512, None] + b.radius[None, :] + reach, 2)
+        p = np.argwhere(ca[at : at + 512] @ cb.T >= 1 - limit**2 / 2 - _EDGE)
+        p[:, 0] += at
+        found.append(p[p[:, 0] <= p[:, 1]] if once else p)
+        count += len(found[-1])
+        if count > most * len(ca) * len(cb) + 100_000:
+            return None
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
 
-def traverse(x: np.ndarray, y: np.ndarray | None, weight: np.ndarray, cosine: float, most: int = 60_000) -> Links:
+def traverse(
+    x: np.ndarray, y: np.ndarray | None, weight: np.ndarray, cosine: float, left: list[Net] | None = None, right: list[Net] | None = None, most: int = 60_000
+) -> Links:
     """Links between the points of two blocks, or within one if ``y`` is None."""
     same = y is None
     reach = math.sqrt(2 - 2 * cosine)
-    left = nets(x)
-    right, shift = (left, 0) if same else (nets(y), len(x))
+    left = left or nets(x)
+    right, shift = (left, 0) if same else (right or nets(y), len(x))
     found, points, z = Links(weight), x, x if same else y
     # Within one block only a node's pairs with itself come in both orders; members of two nodes
     # come once, in either order, as numbers are not those of the nodes.
-    top_a, top_b = left[0], right[0]
-    ca, cb = top_a.centre.astype(np.float32), top_b.centre.astype(np.float32)
-    pairs = []
-    for at in range(0, len(ca), 1024):
-        limit = top_a.radius[at : at + 1024, None] + top_b.radius[None, :] + reach
-        least = 1 - np.minimum(limit, 2) ** 2 / 2 - _EDGE
-        p = np.argwhere(ca[at : at + 1024] @ cb.T >= least)
-        p[:, 0] += at
-        pairs.append(p[p[:, 0] <= p[:, 1]] if same else p)
-    pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-    for level in range(1, len(left)):
+    pairs = None
+    for level in range(len(left)):
+        if pairs is None:
+            pairs = _near_nodes(left[level], right[level], reach, same, DENSE)
+            continue
         finer = []
         for p, twice in _products(left[level - 1], right[level - 1], pairs, most):
             p = p[~twice | (p[:, 0] <= p[:, 1])] if same else p
@@ -169,6 +203,9 @@ def traverse(x: np.ndarray, y: np.ndarray | None, weight: np.ndarray, cosine: fl
             limit = np.minimum(left[level].radius[p[:, 0]] + right[level].radius[p[:, 1]] + reach, 2)
             finer.append(p[np.einsum("ij,ij->i", a, b) >= 1 - limit**2 / 2 - _EDGE])
         pairs = np.unique(np.concatenate(finer), axis=0) if finer else np.empty((0, 2), np.int64)
+    if pairs is None:  # nothing was pruned: all points
+        found.compare(points, z, np.arange(len(points)), np.arange(len(z)), shift, cosine, same)
+        return found
     a, b = left[-1], right[-1]
     size = np.diff(a.start)[pairs[:, 0]] * np.diff(b.start)[pairs[:, 1]]
     # Small node pairs: their points together.
@@ -183,87 +220,110 @@ def traverse(x: np.ndarray, y: np.ndarray | None, weight: np.ndarray, cosine: fl
         far = math.sqrt(max(2 - 2 * float(a.centre[m] @ b.centre[n]), 0)) + a.radius[m] + b.radius[n]
         if far < reach - _EDGE and not (same and m == n):
             found.add_all(i, j + shift)
-            continue
-        for at in range(0, len(i), 512):
-            hit = np.argwhere(points[i[at : at + 512]] @ z[j].T >= cosine)
-            u, v = i[at : at + 512][hit[:, 0]], j[hit[:, 1]]
-            keep = u < v if same and m == n else np.ones(len(u), bool)
-            if keep.any():
-                found.add(u[keep], v[keep] + shift)
+        else:
+            found.compare(points, z, i, j, shift, cosine, same and m == n)
     return found
 
 
-def _pairs_of_one_length(points: DataFrame, cosine: float, block: int) -> DataFrame:
-    """``(cid, partner, links)`` from ``points(cid, embedding, weight)`` of equal length."""
+def _pivots(points: DataFrame, block: int) -> dict[int, np.ndarray]:
+    """Pivots of each length that has more than a block of points; others are one cell."""
+    many = points.groupBy("size").count().filter(F.col("count") > block).collect()  # a block of points for each
+    out = {}
+    for size, n in sorted((r["size"], r["count"]) for r in many):
+        part = max(1, -(-n * len(many) // SAMPLE))
+        some = points.filter((F.col("size") == size) & (F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(part)) == 0))
+        x = unit(some.orderBy("cid").limit(2 * SAMPLE).select("embedding").toPandas()["embedding"].tolist())
+        out[size] = x[farthest_first(x, min(PIVOTS, max(1, n // block)))]
+    return out
+
+
+def near_cells(pivots: dict[int, np.ndarray], cells: dict[tuple, tuple], cosine: float, block: int) -> list[tuple]:
+    """``(size, cell, its blocks, [(cell, its blocks), ...])``: cells whose covering radii leave a pair, at most
+    PIVOTS squared for each length. ``cells`` has rows and covering radius by (size, cell)."""
+    reach = math.sqrt(2 - 2 * cosine)
+    parts = {k: max(1, math.ceil(n / block)) for k, (n, _) in cells.items()}
+    plan = []
+    for (size, a), (_, radius) in sorted(cells.items()):
+        apart = np.sqrt(np.maximum(2 - 2 * pivots[size] @ pivots[size][a], 0))
+        near = [
+            (b, parts[size, b])
+            for b in range(len(apart))
+            if (size, b) in cells and apart[b] <= radius + cells[size, b][1] + 2e-9 + reach + _EDGE
+        ]
+        plan.append((size, a, parts[size, a], near))
+    return plan
+
+
+def _linked(points: DataFrame, cosine: float, block: int) -> DataFrame:
+    """``(cid, partner, links)`` from ``points(cid, embedding, weight, size)``."""
     spark = points.sparkSession
-    total = points.count()
-    sample = points.orderBy(F.xxhash64(F.lit(3), "cid"), "cid").limit(SAMPLE).select("embedding").toPandas()
-    x = unit(sample["embedding"].tolist())
-    pivots = x[farthest_first(x, min(PIVOTS, max(1, total // block)))]
+    pivots = _pivots(points, block)
 
     def place(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            y = unit(b.column(1).to_pylist())
-            cosines = y @ pivots.T
-            pivot = cosines.argmax(axis=1).astype(np.int32)
-            far = np.sqrt(np.maximum(2 - 2 * cosines.max(axis=1), 0))
+            size = b.column(3).to_numpy(zero_copy_only=False)
+            pivot, far = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for s in np.unique(size):
+                if s in pivots:
+                    own = np.flatnonzero(size == s)
+                    cosines = unit(b.column(1).take(pa.array(own)).to_pylist()) @ pivots[s].T
+                    pivot[own] = cosines.argmax(axis=1)
+                    far[own] = np.sqrt(np.maximum(2 - 2 * cosines.max(axis=1), 0))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(pivot), pa.array(far)],
-                ["cid", "embedding", "weight", "pivot", "far"],
+                [*b.columns, pa.array(pivot), pa.array(far)], ["cid", "embedding", "weight", "size", "pivot", "far"]
             )
 
-    schema = "cid long, embedding array<double>, weight long, pivot int, far double"
-    placed = staged(points.select("cid", "embedding", "weight").mapInArrow(place, schema), "placed")
-    cells = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
-    parts = {r["pivot"]: max(1, math.ceil(r["n"] / block)) for r in cells}
-    radius = {r["pivot"]: r["radius"] + 1e-9 for r in cells}
-    reach = math.sqrt(2 - 2 * cosine)
-    # Node pairs of the top level that the covering radii leave; at most PIVOTS squared.
-    rows = []
-    for a in parts:
-        near = [
-            b
-            for b in parts
-            if math.sqrt(max(2 - 2 * float(pivots[a] @ pivots[b]), 0)) <= radius[a] + radius[b] + reach + _EDGE
-        ]
-        rows.append((a, parts[a], [(b, parts[b]) for b in near]))
-    plan = spark.createDataFrame(rows, "pivot int, own int, near array<struct<pivot:int,parts:int>>")
-    mine = F.pmod(F.xxhash64(F.lit(9), "cid"), F.col("own")).cast("int")
-    other = F.flatten(
+    schema = "cid long, embedding array<double>, weight long, size int, pivot int, far double"
+    placed = staged(points.select("cid", "embedding", "weight", "size").mapInArrow(place, schema), "placed")
+    cells = placed.groupBy("size", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+    split = {(r["size"], r["pivot"]): r for r in cells.filter(F.col("size").isin(list(pivots))).collect()}
+    plan = near_cells(pivots, {k: (r["n"], r["radius"]) for k, r in split.items()}, cosine, block)
+    plan = F.broadcast(spark.createDataFrame(plan, "size int, pivot int, own int, near array<struct<pivot:int,parts:int>>"))
+    part = F.pmod(F.xxhash64(F.lit(9), "cid"), F.coalesce("own", F.lit(1))).cast("int")
+    dealt = placed.join(plan.select("size", "pivot", "own"), ["size", "pivot"], "left").withColumn("part", part)
+
+    def build(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cid")
+        x = unit(group["embedding"].tolist())
+        blob = S.pack(group["cid"].to_numpy(np.uint64), group["weight"].to_numpy(np.int64), x.ravel(), *owners(x))
+        return pd.DataFrame([[*map(int, key), blob]], columns=["size", "pivot", "part", "tree"])
+
+    # A length without pivots is one block; many of them share a task.
+    trees = dealt.groupBy("size", "pivot", "part").applyInPandas(build, "size int, pivot int, part int, tree binary")
+    trees = staged(trees, "trees")
+    drop_staged(placed)
+    release(spark)
+    small_batches(spark, 16)  # rows are blocks of a megabyte from here on
+    here = F.struct(F.col("pivot"), F.col("part"))
+    partners = F.flatten(
         F.transform(
             "near",
-            lambda b: F.transform(
-                F.sequence(F.lit(0), b["parts"] - 1), lambda k: F.struct(b["pivot"].alias("pivot"), k.alias("part"))
-            ),
+            lambda b: F.transform(F.sequence(F.lit(0), b["parts"] - 1), lambda k: F.struct(b["pivot"].alias("pivot"), k.alias("part"))),
         )
     )
-    here = F.struct(F.col("pivot"), F.col("part"))
-    dealt = (
-        placed.join(F.broadcast(plan), "pivot")
-        .withColumn("part", mine)
-        .withColumn("o", F.explode(other))
-        .select("cid", "embedding", "weight", F.least(here, "o").alias("a"), F.greatest(here, "o").alias("b"), here.alias("h"))
-        .withColumn("left", F.col("h") == F.col("a"))
-        .drop("h")
+    pairs = (
+        trees.join(plan, ["size", "pivot"], "left")
+        .withColumn("o", F.explode(F.coalesce(partners, F.array(here))))
+        .select("size", "tree", F.least(here, "o").alias("a"), F.greatest(here, "o").alias("b"), (here == F.least(here, "o")).alias("left"))
     )
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("left", ascending=False, kind="stable")
-        z = unit(group["embedding"].tolist())
-        n = int(group["left"].sum())
-        same = bool((group["a"].iloc[0] == group["b"].iloc[0]))
-        if same:
-            found = traverse(z, None, group["weight"].to_numpy(), cosine)
-        elif 0 < n < len(z):
-            found = traverse(z[:n], z[n:], group["weight"].to_numpy(), cosine)
+        blobs = [S.unpack(b) for b in group.sort_values("left", ascending=False, kind="stable")["tree"]]
+        cid = np.concatenate([b[0] for b in blobs]).astype(np.int64)
+        weight = np.concatenate([b[1] for b in blobs]).astype(np.int64)
+        xs = [b[2].reshape(len(b[0]), -1) for b in blobs]
+        levels = [nets(x, [o.astype(np.int64) for o in b[3:]]) for x, b in zip(xs, blobs, strict=True)]
+        if len(blobs) == 1:
+            if group["a"].iloc[0] != group["b"].iloc[0]:  # the other block is empty
+                return pd.DataFrame({"cid": [], "partner": [], "links": []})
+            found = traverse(xs[0], None, weight, cosine, levels[0])
         else:
-            return pd.DataFrame({"cid": [], "partner": [], "links": []})
-        cid, hit = group["cid"].to_numpy(), np.flatnonzero(found.count)
+            found = traverse(*xs, weight, cosine, *levels)
+        hit = np.flatnonzero(found.count)
+        S.trim()
         return pd.DataFrame({"cid": cid[hit], "partner": cid[found.label[hit]], "links": found.count[hit]})
 
-    return dealt.groupBy("a", "b").applyInPandas(meet, "cid long, partner long, links long")
+    return pairs.groupBy("size", "a", "b").applyInPandas(meet, "cid long, partner long, links long")
 
 
 def near_pairs(vectors: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -274,22 +334,13 @@ def near_pairs(vectors: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK
     rows = rows.withColumn("ok", usable(F.col("embedding"))).select("*", *key)
     alone = rows.filter(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rows = staged(rows.filter("ok"), "vectors")
-    points = staged(
-        rows.groupBy("k1", "k2").agg(
-            F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding")
-        ).withColumn("cid", F.xxhash64("k1", "k2")),
-        "points",
+    points = rows.groupBy("k1", "k2").agg(
+        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding")
     )
-    lengths = [r[0] for r in points.select(F.size("embedding")).distinct().limit(1001).collect()]
-    if len(lengths) > 1000:
-        raise ValueError("vectors of more than 1000 different lengths")
-    found = None
-    for n in sorted(lengths):
-        part = _pairs_of_one_length(points.filter(F.size("embedding") == n), cosine, block)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return alone.withColumn("kept", F.lit(True))
-    found = staged(found, "found")
+    points = points.withColumn("size", F.size("embedding"))
+    points = staged(points.withColumn("cid", F.monotonically_increasing_id()), "points")
+    found = staged(_linked(points, cosine, block), "found")
+    small_batches(vectors.sparkSession, 4096)
     member = components(found.filter("cid <> partner").select(F.col("cid").alias("src"), F.col("partner").alias("dst")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     light = points.select("k1", "k2", "cid", "first_id", "weight")
