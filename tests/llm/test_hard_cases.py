@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prismgrid.llm import bpe, langid_crf, mixing, pii, url_filter
+from prismgrid.llm import bpe, cover_tree, langid_crf, mixing, pii, url_filter
 
 
 def test_url_filter_passes_columns_of_any_name(spark):
@@ -71,3 +71,29 @@ def test_personal_data_in_a_text_of_many_spans(spark):
     assert sum(s["base"] for s in got[1]) == 2 * n and len(got[1]) == 3 * n and got[None] == []
     assert masked[1]["text"] == " ".join(["mail <EMAIL>, call <PHONE> or <PHONE>"] * n)
     assert (masked[2]["text"], masked[2]["spans"], masked[None]["text"]) == ("é <EMAIL>", "old", None)
+
+
+def test_pairs_among_vectors_of_many_lengths(spark):
+    rows = [(2 * n + k, [1.0] * n) for n in range(1, 1006) for k in (0, 1)] + [(9999, [1.0, 1.001])]
+    got = {r["vec_id"]: r for r in cover_tree.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows) and got[9999]["component_id"] == 4 and got[4]["n_links"] == 2
+    assert all(got[2 * n + 1]["component_id"] == 2 * n and got[2 * n]["n_links"] == 1 for n in range(3, 1006))
+
+
+def test_clustered_vectors_leave_few_block_pairs(spark):
+    """Blocks compared grow with the clusters, not with their square."""
+    seen = []
+    for clusters in (8, 32):
+        rng = np.random.default_rng(3)
+        centre = np.linalg.qr(rng.normal(size=(64, 64)))[0][:clusters]
+        x = centre.repeat(40, axis=0) + 0.02 * rng.normal(size=(clusters * 40, 64))
+        u = cover_tree.unit(x)
+        pivots = u[cover_tree.farthest_first(u, clusters)]
+        own = (u @ pivots.T).argmax(axis=1)
+        cells = {(64, k): (40, max(np.linalg.norm(u[own == k] - pivots[k], axis=1))) for k in range(clusters)}
+        seen.append(sum(len(near) for *_, near in cover_tree.near_cells({64: pivots}, cells, 0.9, 4096)))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = cover_tree.near_pairs(df, block=10).collect()
+        near = cover_tree.unit(x) @ cover_tree.unit(x).T >= 0.9
+        assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(i, int(near[i].sum()) - 1) for i in range(len(x))]
+    assert seen == [8, 32]
