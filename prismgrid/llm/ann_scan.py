@@ -8,9 +8,15 @@ to all dimensions, exceeds the query's bound by more than chance allows (``doubt
 errors over the root of the dimensions seen). Survivors get their inner product on the original
 vectors in double precision.
 
-Each query first scans its nearest lists in full; its k-th result there is the bound for the
-remaining probed lists. Lists are dealt in blocks of at most ``block`` candidates and ``block``
-queries, so a hot list only makes more blocks, and a block returns at most k rows per query.
+Each query first scans its nearest lists in full; its k-th result there is the bound for the rest.
+Which lists it then probes is a test too: by the list's centre and the spread of its members the
+number of candidates above the bound is estimated, and lists are probed, most promising first, until
+those left hold less than ``miss`` of the k in all. A query without a bound, as it has met fewer than
+k candidates, probes all lists, so every query gets k results if there are as many candidates.
+
+Lists are dealt in blocks of at most about ``block`` candidates and queries, each packed in one row, so a hot
+list only makes more blocks; blocks meet where a query of one probes the list of the other, and a meeting
+returns at most k rows per query.
 
 Rows with a null, empty or zero vector, or with null or non-finite components, take no part, nor
 do vectors of another length than the most frequent one. Ties go to the smaller id; a query's own
@@ -21,6 +27,7 @@ repeated queries are searched once. Null ids take no part. An empty table gives
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismgrid.llm.common import small_batches, staged
+from prismgrid.llm import shards as S
+from prismgrid.llm.common import drop_staged, small_batches, staged
 from prismgrid.llm.cover_tree import usable
 
 SAMPLE, LISTS = 20_000, 1024
-#: Share of the lists that a query probes; vectors without clusters need many.
-PROBE = 0.8
+#: Share of its k results that a query may expect in the lists it leaves out.
+MISS = 0.02
 FIRST = 3
 BLOCK = 4096
 COLUMNS = 16
@@ -97,11 +105,42 @@ def scan(q: np.ndarray, y: np.ndarray, bound: np.ndarray, columns: int = COLUMNS
     return i, j
 
 
+def upper_tail(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution above z (to 1e-7)."""
+    x = np.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    half = 0.5 * poly * np.exp(-x * x)
+    return np.where(z >= 0, half, 1 - half)
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What is known of the lists: rows, mean and spread (per coordinate) of their members."""
+
+    n: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+
+    def probes(self, q: np.ndarray, bound: np.ndarray, done: np.ndarray, k: int, miss: float) -> list[np.ndarray]:
+        """The lists that each query has still to probe. ``bound`` nan: all."""
+        norm = np.sqrt((q * q).sum(axis=1))
+        gap = np.nan_to_num(bound, nan=-np.inf)[:, None] - q @ self.centre.T
+        hits = self.n[None, :] * upper_tail(gap / np.maximum(norm[:, None] * self.spread[None, :], 1e-12))
+        np.put_along_axis(hits, done, -1, axis=1)
+        order = np.argsort(-hits, axis=1, kind="stable")
+        ranked = np.maximum(np.take_along_axis(hits, order, axis=1), 0)
+        left = ranked.sum(axis=1, keepdims=True) - np.cumsum(ranked, axis=1) + ranked  # from this list on
+        left_out = (left <= miss * k) & ~np.isnan(bound)[:, None]
+        visited = (~left_out) & (np.take_along_axis(hits, order, axis=1) >= 0)
+        return [o[v].astype(np.int32) for o, v in zip(order, visited, strict=True)]
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    probe: float = PROBE,
+    miss: float = MISS,
     lists: int = LISTS,
     block: int = BLOCK,
 ) -> DataFrame:
@@ -128,55 +167,75 @@ def search(
     asks = clean(queries).filter(F.size("embedding") == size).dropDuplicates(["vec_id"])
     some = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
     sample = np.array(some["embedding"].tolist(), np.float64) / scale
-    count = min(lists, max(1, int(math.sqrt(total) / 2)))
-    centres = fit_lists(lengthen(sample, 1.0, False), count)
+    centres = fit_lists(lengthen(sample, 1.0, False), min(lists, max(1, int(math.sqrt(total) / 2))))
     count = len(centres)
-    probes = max(min(FIRST, count), math.ceil(probe * count))
+    first = min(FIRST, count)
     turn = rotation(size + 1)
+    vectors_of = lambda column: np.array(column.to_pylist(), np.float64) / scale
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                x = lengthen(np.array(b.column(1).to_pylist(), np.float64) / scale, 1.0, False)
-                own = nearest(x, centres, 1)[:, 0].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own)], ["vec_id", "embedding", "list"])
+                x = vectors_of(b.column(1))
+                own = nearest(lengthen(x, 1.0, False), centres, 1)[:, 0]
+                gap = x - centres[own, :size]
+                columns = [b.column(0), b.column(1), pa.array(own.astype(np.int32)), pa.array(np.einsum("ij,ij->i", gap, gap))]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "embedding", "list", "far"])
 
-    placed = staged(rows.mapInArrow(place, "vec_id long, embedding array<double>, list int"), "listed")
-    parts = {r[0]: max(1, math.ceil(r[1] / block)) for r in placed.groupBy("list").count().collect()}
+    placed = staged(rows.mapInArrow(place, "vec_id long, embedding array<double>, list int, far double"), "listed")
+    held = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.avg("far").alias("far")).collect()
+    n, far = np.zeros(count), np.zeros(count)
+    for r in held:  # a row per list
+        n[r["list"]], far[r["list"]] = r["n"], r["far"]
+    known = Lists(n, centres[:, :size], np.sqrt(far / size))
+    table = spark.createDataFrame([(r["list"], max(1, math.ceil(r["n"] / block))) for r in held], "list int, parts int")
+    mine = lambda over, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), over).cast("int")
+
+    def packed(group: pd.DataFrame) -> bytes:
+        group = group.sort_values("vec_id", kind="stable")
+        x = np.array(group["embedding"].tolist(), np.float64)
+        bound = [group["bound"].to_numpy(np.float64)] if "bound" in group else []
+        return S.pack(group["vec_id"].to_numpy(np.int64).view(np.uint64), x.ravel(), *bound)
+
+    def pack(key, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[int(key[0]), int(key[1]), packed(group)]], columns=["list", "part", "block"])
+
+    data = placed.join(F.broadcast(table), "list").select("vec_id", "embedding", "list", mine(F.col("parts"), 5).alias("part"))
+    data = staged(data.groupBy("list", "part").applyInPandas(pack, "list int, part int, block binary"), "blocks")
 
     def aim(batches):
         for b in batches:
             if b.num_rows:
-                x = lengthen(np.array(b.column(1).to_pylist(), np.float64) / scale, 1.0, True)
-                to = nearest(x, centres, probes)
+                to = nearest(lengthen(vectors_of(b.column(1)), 1.0, True), centres, first)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(to.astype(np.int32)))], ["vec_id", "embedding", "lists"])
 
     aimed = staged(asks.mapInArrow(aim, "vec_id long, embedding array<double>, lists array<int>"), "aimed")
-    half = [F.lit(None).cast("double").alias("bound"), F.lit(False).alias("asks")]
-    data = placed.select("vec_id", "embedding", *half, "list")
-    table = spark.createDataFrame([(a, n) for a, n in sorted(parts.items())], "list int, parts int")
     share = max(1, math.ceil(aimed.count() / block))  # query blocks
 
     def run(which: DataFrame) -> DataFrame:
-        """Scan the lists of ``which(vec_id, embedding, bound, list)``."""
-        mine = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), n).cast("int")
-        held = data.join(F.broadcast(table), "list")
-        held = held.withColumn("part", mine(F.col("parts"), 5)).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(share - 1))))
-        sent = which.withColumn("asks", F.lit(True)).join(F.broadcast(table), "list")
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("ask", mine(F.lit(share), 6))
-        names = ["vec_id", "embedding", "bound", "asks", "list", "part", "ask"]
-        both = held.select(*names).unionByName(sent.select(*names))
-        return both.groupBy("list", "part", "ask").applyInPandas(meet, "query_id long, vec_id long, score double")
+        """Scan the lists of ``which(vec_id, embedding, bound, lists)``."""
+        small_batches(spark, 2048)
+        each = which.select("vec_id", "embedding", "bound", F.explode("lists").alias("list"), mine(F.lit(share), 6).alias("ask"))
+        sent = staged(each.groupBy("list", "ask").applyInPandas(pack, "list int, part int, block binary"), "asked")
+        sent = sent.withColumnRenamed("part", "ask")
+        wanted = sent.select("list", "ask")
+        left = data.join(wanted, "list").select("list", "part", "ask", "block", F.lit(False).alias("asks"))
+        right = sent.join(F.broadcast(table), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = left.unionByName(right.select("list", "part", "ask", "block", F.lit(True).alias("asks")))
+        small_batches(spark, 64)  # rows are blocks of a megabyte here
+        found = staged(both.groupBy("list", "part", "ask").applyInPandas(meet, "query_id long, vec_id long, score double"), "found")
+        small_batches(spark, 2048)
+        drop_staged(sent)
+        return found
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        is_query = group["asks"].to_numpy()
         nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not is_query.any() or is_query.all():
+        if len(group) < 2:
             return nothing
-        x = np.array(group["embedding"].tolist(), np.float64)
-        ids = group["vec_id"].to_numpy()
-        q, y, qid, yid = x[is_query], x[~is_query], ids[is_query], ids[~is_query]
-        bound = group["bound"].to_numpy(np.float64)[is_query]
+        group = group.sort_values("asks")
+        (yid, y), (qid, q, bound) = map(S.unpack, group["block"])
+        yid, qid = yid.astype(np.uint64).view(np.int64), qid.astype(np.uint64).view(np.int64)
+        y, q = y.reshape(len(yid), -1), q.reshape(len(qid), -1)
         # A bound is an inner product; as a distance: |q|^2 + largest - 2 q.y.
         norm = (q * q).sum(axis=1) / scale**2
         limit = np.where(np.isnan(bound), np.inf, np.maximum(norm + 1 - 2 * bound / scale**2, 0) + 1e-9)
@@ -190,18 +249,26 @@ def search(
             score = np.einsum("ij,ij->i", q[part][i], y[j])
             order = np.lexsort((yid[j], -score, i))
             i, j, score = i[order], j[order], score[order]
-            first = np.searchsorted(i, i)
-            best = np.arange(len(i)) - first < k
+            heads = np.searchsorted(i, i)
+            best = np.arange(len(i)) - heads < k
             out.append(pd.DataFrame({"query_id": qid[part][i[best]], "vec_id": yid[j[best]], "score": score[best]}))
+        S.trim()
         return pd.concat(out) if out else nothing
 
     each = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(each)).filter(F.col("rank") <= k)
-    now = aimed.select("vec_id", "embedding", F.lit(None).cast("double").alias("bound"), F.explode(F.slice("lists", 1, FIRST)).alias("list"))
-    first = staged(best(run(now)), "first")
-    bounds = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
-    later = aimed.join(bounds, "vec_id", "left").select(
-        "vec_id", "embedding", "bound", F.explode(F.slice("lists", FIRST + 1, count)).alias("list")
-    )
-    both = first.select("query_id", "vec_id", "score").union(run(later))
+    near = staged(best(run(aimed.withColumn("bound", F.lit(None).cast("double")))), "first")
+    bounds = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+
+    def widen(batches):
+        for b in batches:
+            if b.num_rows:
+                bound = b.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+                to = known.probes(vectors_of(b.column(1)), bound / scale**2, np.array(b.column(2).to_pylist(), np.int64), k, miss)
+                columns = [b.column(0), b.column(1), pa.array(bound, from_pandas=True), pa.array(to, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "embedding", "bound", "lists"])
+
+    later = aimed.join(bounds, "vec_id", "left").select("vec_id", "embedding", "lists", "bound")
+    later = later.mapInArrow(widen, "vec_id long, embedding array<double>, bound double, lists array<int>")
+    both = near.select("query_id", "vec_id", "score").union(run(later))
     return best(both).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
