@@ -38,6 +38,7 @@ from prismgrid.llm import shards as S
 from prismgrid.llm.common import drop_staged, release, small_batches, staged
 
 QUANTILE, PRIOR_WORDS = 0.999, 20.0
+WAVE = 1 << 25
 #: What a message between shards holds: words with numbers, a piece of a split context, counts of counts,
 #: merged bigrams, values for a batch.
 WORDS, SPLIT, BINS, MODEL, VALUES = 0, 1, 2, 3, 4
@@ -249,16 +250,23 @@ def learn(train: DataFrame, split: S.Splits, words: int) -> tuple[Knowledge, Dat
     return knowledge, seen, kept
 
 
-def perplexities(docs: DataFrame, train: DataFrame, words: int = 800_000, waves: int = 6, shards: int | None = None, shard_words: int = 3_000_000) -> DataFrame:
+def perplexities(
+    docs: DataFrame, train: DataFrame, words: int = 800_000, waves: int = 10, shards: int | None = None, shard_words: int = 3_000_000, drop_train: bool = False
+) -> DataFrame:
     """Log10 probability of every text of ``docs`` under a model of the texts of ``train``.
 
-    ``docs(doc_id, text, *extra)`` gives ``doc_id, *extra, n_tokens, log10_p``.
+    ``docs(doc_id, text, *extra)`` gives ``doc_id, *extra, n_tokens, log10_p``. A wave takes ``WAVE`` bytes of text
+    at least; with ``drop_train`` the staged table ``train`` is deleted once it is learned from.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shards = shards or S.shard_count(docs, shard_words)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    waves = min(waves, max(1, size // WAVE))
     split = S.splits(docs, shards, words)
     knowledge, seen, kept = learn(train.select("doc_id", "text"), split, words)
+    if drop_train:
+        drop_staged(train)
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
     place = {int(k): i for i, k in enumerate(knowledge.keys)}
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *extra])
@@ -305,8 +313,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior_words: fl
     train = staged(docs.select("doc_id", "text").join(learned.hint("merge"), "doc_id", "left_semi"), "train")
     release(docs.sparkSession)
     held_out = F.coalesce(F.col("trusted") & (part == 0), F.lit(False))
-    scored = staged(perplexities(docs.select("doc_id", "text", "lang", *_row_keys()), train, **params), "scored")
-    drop_staged(train)
+    scored = staged(perplexities(docs.select("doc_id", "text", "lang", *_row_keys()), train, drop_train=True, **params), "scored")
     rate = -F.col("log10_p") / F.col("n_tokens")
     scored = scored.join(trusted, "doc_id", "left").withColumn("held_out", held_out).withColumn("rate", rate)
     usual = scored.filter("held_out and n_tokens > 1")
