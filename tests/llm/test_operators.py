@@ -179,7 +179,8 @@ def test_language_models_on_nothing(spark):
 
 
 @pytest.mark.parametrize("shards", [3, 40])
-def test_kneser_ney_against_dictionaries(spark, shards):
+def test_kneser_ney_against_dictionaries(spark, shards, monkeypatch):
+    monkeypatch.setattr(quality_kn, "WAVE", 100)
     texts = [prose(i, 25) for i in range(12)]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     probe = spark.createDataFrame([(1, texts[0] + " unseen words"), (2, "zebra the of"), (3, None), (4, texts[3])], "doc_id long, text string")
