@@ -222,6 +222,7 @@ def score(
     words: int = 800_000,
     seed: int = 7,
     shard_words: int = 2_000_000,
+    waves: int = 4,
 ) -> DataFrame:
     """Score all texts with a model of those whose boolean column ``train`` is true.
 
@@ -232,12 +233,13 @@ def score(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or S.shard_count(docs, shard_words)
+    size = S.text_bytes(docs)
+    shards, waves = shards or S.shard_count(size, shard_words), S.wave_count(size, waves)
     split = S.splits(docs, shards, words)
     corpus = Corpus(S.bucket_keys(shards), split)
     place = {int(k): i for i, k in enumerate(corpus.keys)}
-    blocks = S.staged_by(S.deal(docs, split, words, train), "part", shards, "bigrams", by="kind")
-    release(spark)
+    dealt = (S.deal(S.in_wave(docs, wave, waves), split, words, train, wave=wave) for wave in range(waves))
+    blocks = S.staged_by(dealt, "part", shards, "bigrams", by="kind")
     small_batches(spark, 32)  # rows are blocks of tens of kilobytes from here on
     held = blocks.filter(F.col("kind") == S.KEYS).select("part", "batch", "block")
 

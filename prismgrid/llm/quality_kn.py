@@ -38,7 +38,6 @@ from prismgrid.llm import shards as S
 from prismgrid.llm.common import drop_staged, release, small_batches, staged
 
 QUANTILE, PRIOR_WORDS = 0.999, 20.0
-WAVE = 1 << 25
 #: What a message between shards holds: words with numbers, a piece of a split context, counts of counts,
 #: merged bigrams, values for a batch.
 WORDS, SPLIT, BINS, MODEL, VALUES = 0, 1, 2, 3, 4
@@ -255,14 +254,12 @@ def perplexities(
 ) -> DataFrame:
     """Log10 probability of every text of ``docs`` under a model of the texts of ``train``.
 
-    ``docs(doc_id, text, *extra)`` gives ``doc_id, *extra, n_tokens, log10_p``. A wave takes ``WAVE`` bytes of text
-    at least; with ``drop_train`` the staged table ``train`` is deleted once it is learned from.
+    ``docs(doc_id, text, *extra)`` gives ``doc_id, *extra, n_tokens, log10_p``. With ``drop_train`` the staged table ``train`` is deleted once it is learned from.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or S.shard_count(docs, shard_words)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    waves = min(waves, max(1, size // WAVE))
+    size = S.text_bytes(docs)
+    shards, waves = shards or S.shard_count(size, shard_words), S.wave_count(size, waves)
     split = S.splits(docs, shards, words)
     knowledge, seen, kept = learn(train.select("doc_id", "text"), split, words)
     if drop_train:
@@ -276,9 +273,8 @@ def perplexities(
     scored = []
     for wave in range(waves):
         small_batches(spark)
-        own = docs.filter(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(waves)) == wave)
-        blocks = S.staged_by(S.deal(own, split, words, extra=tuple(extra)), "part", shards, "bigrams", by="kind")
-        release(spark)
+        dealt = S.deal(S.in_wave(docs, wave, waves), split, words, extra=tuple(extra))
+        blocks = S.staged_by([dealt], "part", shards, "bigrams", by="kind")
         small_batches(spark, 32)  # rows are blocks of tens of kilobytes from here on
         held = blocks.filter(F.col("kind") == S.KEYS).select("part", "batch", "block")
         asked = held.groupBy("part").applyInPandas(_ask(knowledge), MESSAGE)
@@ -288,7 +284,7 @@ def perplexities(
         done = rest.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(_summed(extra, place), schema)
         scored.append(staged(done, "scored"))
         drop_staged(told), S.drop_table(blocks)
-        del blocks, held, asked, told, sent, rest, done
+        del dealt, blocks, held, asked, told, sent, rest, done
         release(spark)
     drop_staged(seen), drop_staged(kept)
     out = scored[0]

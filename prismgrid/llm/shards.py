@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismgrid.llm.common import drop_staged, shared_dir, staged
+from prismgrid.llm.common import drop_staged, release, shared_dir, staged
 
 _U = np.uint64
 #: Words that stand for the borders of a text; hashes of words are never these by more than chance.
 BEGIN, END = 1, 2
 WINDOW = 1 << 19
+#: Bytes of text that a wave takes at least.
+WAVE = 1 << 25
 #: What a row of :func:`deal` holds: bigrams for a shard, a batch's postings, who is in a batch.
 KEYS, POSTINGS, HEAD = 0, 1, 2
 DEALT = "part int, kind int, batch long, block binary"
@@ -186,12 +188,25 @@ class Splits:
         return ((first % _U(self.shards) + mix64(second) % over) % _U(self.shards)).astype(np.int64)
 
 
-def shard_count(docs: DataFrame, words: int, least: int = 24) -> int:
-    """Shards of about ``words`` words each, by the bytes of all texts (six a word)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def shard_count(size: int, words: int, least: int = 8) -> int:
+    """Shards of about ``words`` words each for ``size`` bytes of text (six a word)."""
     return max(least, math.ceil(size / 6 / words))
 
 
+def wave_count(size: int, most: int) -> int:
+    """Waves that documents go through in: what is exchanged takes a part of the disk at a time."""
+    return min(most, max(1, size // WAVE))
+
+
+def in_wave(docs: DataFrame, wave: int, waves: int) -> DataFrame:
+    """A wave's documents by hash."""
+    return docs if waves == 1 else docs.filter(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(waves)) == wave)
+
+
 def splits(docs: DataFrame, shards: int, words: int, sample: int = SAMPLE) -> Splits:
     """Words that hold over half a shard's share of the bigrams of a sample: two a shard at most."""
 
@@ -297,7 +312,7 @@ def bucket_keys(buckets: int) -> np.ndarray:
     return found
 
 
-def deal(docs: DataFrame, split: Splits, words: int, train: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+def deal(docs: DataFrame, split: Splits, words: int, train: str | None = None, extra: tuple[str, ...] = (), wave: int = 0) -> DataFrame:
     """Rows of :data:`DEALT` for ``docs(doc_id, text, *extra)``, learned from where ``train`` is true
     (everywhere without it). A head is ``(rows of doc_id and extra, words of each, learned)``."""
     keys = bucket_keys(split.shards)
@@ -313,7 +328,7 @@ def deal(docs: DataFrame, split: Splits, words: int, train: str | None = None, e
                 yield ids, b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), bool)
 
         for n, (ids, flags, hashes, counts) in enumerate(gather(rows(), words)):
-            batch = (task << 32) + n
+            batch = (wave << 56) + (task << 28) + n
             blocks, postings = bigram_blocks(*with_ends(hashes, counts), flags.astype(np.int64), split)
             own = int(keys[int(mix64(np.array([batch], _U))[0] % _U(split.shards))])
             out = [(int(keys[s]), KEYS, batch, block) for s, block in blocks]
@@ -325,13 +340,16 @@ def deal(docs: DataFrame, split: Splits, words: int, train: str | None = None, e
     return docs.select("text", flag.alias("_learned"), *columns).mapInArrow(run, DEALT)
 
 
-def staged_by(df: DataFrame, key: str, buckets: int, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder bucketed by ``key``: grouping or joining by it later
-    needs no shuffle of the blocks. Rows of different ``by`` go to different files."""
-    spark = df.sparkSession
+def staged_by(parts: Iterable[DataFrame], key: str, buckets: int, name: str, by: str | None = None) -> DataFrame:
+    """Write ``parts`` one after the other to one table in the shared folder, bucketed by ``key``: grouping
+    or joining by it later needs no shuffle of the blocks. Rows of different ``by`` go to different files."""
     table = f"{name}_{uuid.uuid4().hex}"
-    out = df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}")
-    (out.partitionBy(by) if by else out).saveAsTable(table, format="parquet")
+    for df in parts:
+        spark = df.sparkSession
+        out = df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}")
+        (out.partitionBy(by) if by else out).saveAsTable(table, format="parquet", mode="append")
+        del out, df
+        release(spark)
     return spark.table(table)
 
 
