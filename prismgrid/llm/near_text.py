@@ -1,10 +1,12 @@
-"""Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Groups of texts: SimHash links first, then all pairs of five-word shingle sets with a Jaccard similarity of 0.8.
 
-No bound on differing SimHash bits covers such pairs, so candidates come from the shingles and none
-is lost. In any one order of all shingles the prefixes (a fifth of a set, and one) of two similar
-sets meet; their first common shingle also bounds what they can share by the places it has in both.
-The order is that of the hashes with shingles that are frequent in a sample last, which keeps common
-passages out of the prefixes; whatever the sample, the order is one.
+SimHash fingerprints of five-word shingles within 3 bits link almost equal texts cheaply
+(:mod:`simhash`). At a similarity of 0.8 fingerprints differ in about ten bits and more, where no index of them
+is selective, so the rest of the links comes from the shingles, and none is lost. In any one order of all
+shingles the prefixes (a fifth of a set, and one) of two similar sets meet; their first common shingle also
+bounds what they can share by the places it has in both. The order puts shingles that many texts hold last,
+which keeps common passages out of the prefixes: shingles are counted, all of them, in a table of fixed size by
+their hash. Whatever the collisions there, the order is one.
 
 Candidates are verified on the whole sets, in two rounds: first each text with one other of each
 prefix shingle, then the candidates that are still in different components, so that a large group
@@ -22,12 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismgrid.llm import shards as S
 from prismgrid.llm.common import components, drop_staged, release, small_batches, staged, words_of
-from prismgrid.llm.simhash import keep_one, text_keys
+from prismgrid.llm.simhash import LINK_BITS, fingerprints, keep_one, links, text_keys
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: Texts sampled for the order, and how many of them hold a frequent shingle.
-SAMPLE, FREQUENT = 20_000, 8
+#: Counters of shingles (a byte each, sent to every worker), and the slices they are summed in.
+COUNTERS, SLICES = 1 << 24, 256
+#: Bytes of text in a bucket of the table of texts.
+TABLE = 1 << 25
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -38,10 +43,35 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(words[i : i + size]), SEED) for i in range(count)], np.uint64))
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    late = np.isin(own, frequent, assume_unique=True)
+def counters(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each hash bucket, as the number of bits of that count. The driver gets
+    ``COUNTERS`` bytes, whatever the texts."""
+
+    def count(batches):
+        held = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            own = np.concatenate([np.empty(0, np.uint64), *map(shingles, batch.column(0).to_pylist())])
+            held += np.bincount((own % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        blocks = [S.pack(x) for x in held.reshape(SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(blocks)], ["slice", "block"])
+        S.trim()
+
+    def add(key, group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(S.unpack(b)[0].astype(np.int64) for b in group["block"])
+        return pd.DataFrame({"slice": [int(key[0])], "block": [np.frexp(total.astype(np.float64))[1].astype(np.uint8).tobytes()]})
+
+    kind = "slice int, block binary"
+    sums = texts.select("text").mapInArrow(count, kind).groupBy("slice").applyInPandas(add, kind).collect()
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for r in sums:
+        out[r["slice"]] = np.frombuffer(r["block"], np.uint8)
+    return out.ravel()
+
+
+def prefix(own: np.ndarray, held: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set in the order of (counter, hash)."""
     most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
-    return np.concatenate([own[~late], own[late]])[:most]
+    return own[np.argsort(held[(own % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")][:most]
 
 
 def meetings(h, cid, n, at, group, star: bool, similarity: float = SIMILARITY, chunk: int = 1 << 20) -> np.ndarray:
@@ -69,8 +99,9 @@ def meetings(h, cid, n, at, group, star: bool, similarity: float = SIMILARITY, c
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Candidates that are similar. ``texts`` is bucketed by cid: one text a pair travels."""
     left, right = (texts.select(F.col("cid").alias(c), F.col("text").alias(f"t_{c}")) for c in ("a", "b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b")
+    both = pairs.hint("merge").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "t_a", "t_b")
 
     def check(batches):
         last, x = None, None
@@ -78,9 +109,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             a, b, ta, tb = batch.columns
             keep = []
             for k in range(batch.num_rows):
-                if (now := a[k].as_py()) != last:
-                    last, x = now, shingles(ta[k].as_py())
-                y = shingles(tb[k].as_py())
+                if (now := b[k].as_py()) != last:
+                    last, x = now, shingles(tb[k].as_py())
+                y = shingles(ta[k].as_py())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             keep = pa.array(keep, pa.bool_())
@@ -89,23 +120,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(check, "src long, dst long")
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, sample: int = SAMPLE, bucket_rows: int = 150_000) -> DataFrame:
+def _fingerprint_links(texts: DataFrame, bits: int) -> DataFrame:
+    """Links that connect all texts whose fingerprints SimHash connects: to one text of each fingerprint,
+    and between these."""
+    own = staged(fingerprints(texts, to="fp", shingle=SHINGLE).select("cid", "fp"), "fps")
+    first = staged(own.groupBy("fp").agg(F.min("cid").alias("first")), "distinct")
+    found = staged(links(first, bits), "fp-links")
+    small_batches(texts.sparkSession)
+    near = found.join(first.withColumnRenamed("first", "a"), found["src"] == F.col("fp")).drop("fp")
+    near = near.join(first.withColumnRenamed("first", "b"), near["dst"] == F.col("fp")).select("a", "b")
+    same = own.join(first, "fp").filter("cid <> first").select("cid", "first")
+    out = staged(same.union(near).toDF("src", "dst"), "simhash-links")
+    for old in (own, first, found):
+        drop_staged(old)
+    return out
+
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BITS, bucket_rows: int = 150_000) -> DataFrame:
     """``(_k1, _k2, component)`` of each distinct text of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(*text_keys(), "text").groupBy("_k1", "_k2").agg(F.any_value("text").alias("text"))
-    texts = staged(texts.withColumn("cid", F.xxhash64("_k1", "_k2")), "texts")
-    total = texts.count()
-
-    def each(batches):
-        for batch in batches:
-            sets = [shingles(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
-
-    part = max(1, -(-total // sample))
-    picked = texts.filter(F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(part)) == 0).select("text")
-    often = picked.mapInArrow(each, "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT).select("h").toPandas()
-    sent = spark.sparkContext.broadcast(np.sort(often["h"].to_numpy(np.int64).view(np.uint64)))
+    buckets = max(8, -(-S.text_bytes(docs) // TABLE))
+    rows = docs.select(*text_keys(), "text")
+    texts = rows.groupBy("_k1", "_k2").agg(F.any_value("text").alias("text")).withColumn("cid", F.col("_k1"))
+    texts = S.staged_by([texts], "cid", buckets, "texts")
+    linked = _fingerprint_links(texts, bits)
+    sent = spark.sparkContext.broadcast(counters(texts))
 
     def deal(batches):
         for batch in batches:
@@ -132,8 +172,10 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, sample: int = SAMPLE
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
         return staged(rows.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct(), "candidates")
 
-    def links(rows: DataFrame, star: bool) -> DataFrame:
-        pairs = candidates(rows, star)
+    def similar(member: DataFrame, star: bool) -> DataFrame:
+        """Links between texts that are in different groups of ``member`` so far."""
+        rows = dealt.join(member, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
+        pairs = candidates(rows.select("h", "cid", "n", "at", "grp"), star)
         if not star:
             drop_staged(dealt)
         release(spark)
@@ -142,14 +184,15 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, sample: int = SAMPLE
         release(spark)
         return out
 
-    found = links(dealt.withColumn("grp", F.col("cid")), True)
-    member = staged(components(found).select(F.col("node").alias("cid"), F.col("component").alias("grp")), "first-groups")
-    rest = dealt.join(member, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
-    rest = links(rest.select("h", "cid", "n", "at", "grp"), False)
-    member = components(found.union(rest)).select(F.col("node").alias("cid"), "component")
-    return texts.select("_k1", "_k2", "cid").join(member, "cid", "left").select("_k1", "_k2", F.coalesce("component", "cid").alias("component"))
+    grouped = lambda found: staged(components(found).select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups")
+    for star in (True, False):
+        member = grouped(linked)
+        linked = linked.union(similar(member, star))
+        drop_staged(member)
+    member = grouped(linked)
+    return texts.select("_k1", "_k2", "cid").join(member, "cid", "left").select("_k1", "_k2", F.coalesce("grp", "cid").alias("component"))
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BITS) -> DataFrame:
     """One row of each group, as :func:`simhash.keep_one` picks it; same columns."""
-    return keep_one(docs, staged(groups(docs, similarity), "groups"))
+    return keep_one(docs, staged(groups(docs, similarity, bits), "groups"))
