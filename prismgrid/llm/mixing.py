@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismgrid.llm.common import WORD, staged
+from prismgrid.llm.common import WORD, small_batches, staged
 
 _MASK = (1 << 64) - 1
 
@@ -124,6 +124,7 @@ def _keys() -> list[F.Column]:
 def _units(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, group_rows: int) -> DataFrame:
     """``k1, k2, doc_id, source, size, source_size, target, rows, whole, extra``: ``rows`` equal rows take
     ``whole`` copies each and ``extra`` more in all. More than ``group_rows`` equal rows are several units."""
+    small_batches(docs.sparkSession, 4096)
     sized = docs.select(*_keys(), "doc_id", "source", _size().alias("size")).groupBy("k1", "k2")
     units = sized.agg(*[F.any_value(c).alias(c) for c in ("doc_id", "source", "size")], F.count(F.lit(1)).alias("n"))
     slices = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / group_rows))
