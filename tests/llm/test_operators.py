@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from prismgrid.llm import shards as shards_module
 from prismgrid.llm import ann_scan, bpe, common, cover_tree, hpylm, langid_crf, mixing, near_text, pii, quality_kn, shards, simhash, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
@@ -180,7 +181,7 @@ def test_language_models_on_nothing(spark):
 
 @pytest.mark.parametrize("shards", [3, 40])
 def test_kneser_ney_against_dictionaries(spark, shards, monkeypatch):
-    monkeypatch.setattr(quality_kn, "WAVE", 100)
+    monkeypatch.setattr(shards_module, "WAVE", 100)
     texts = [prose(i, 25) for i in range(12)]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     probe = spark.createDataFrame([(1, texts[0] + " unseen words"), (2, "zebra the of"), (3, None), (4, texts[3])], "doc_id long, text string")
