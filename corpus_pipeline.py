@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: five operators, each on all its predecessor kept.
 
 Quality by Kneser-Ney perplexity drops rejected documents; one document of each group of
-near-duplicates (five-word shingles, Jaccard 0.8 or more, all pairs) is kept; personal data is masked; sources are mixed to their target weights by
+near-duplicates is kept (SimHash of five-word shingles within 3 bits, and all pairs whose shingle sets have a
+Jaccard similarity of 0.8 or more); personal data is masked; sources are mixed to their target weights by
 repeating or leaving out documents; byte-level BPE encodes what is left.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs``, the last one adds
@@ -23,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of five-word shingles."""
+    """One document of each group linked by SimHash or by a similarity of 0.8 or more of five-word shingles."""
     return near_text.deduplicate(docs)
 
 
