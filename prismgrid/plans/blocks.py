@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from prismgrid.operators.finish import DEFAULT, Params
 from prismgrid.plans import kernels as K
+from prismgrid.sources.shared import barrier
 
 FRAMES = "frame_id long, width int, height int, rgb binary"
 
@@ -137,6 +138,132 @@ def render_bokeh(frames: DataFrame, scaled: bool = True) -> DataFrame:
     return frames.mapInPandas(run, kept)
 
 
+def bokeh_tiles(frames: DataFrame, scaled: bool = True, tile: int = 384) -> DataFrame:
+    """Depth of field with one task per tile: ``frame_id, ty, tx, y0, x0, width, height, rgb``.
+
+    Tiles are cut where the rows are, with a halo of what a pixel looks at, and dealt evenly.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                f = decode(r.rgb, r.width, r.height)
+                mask = np.frombuffer(r.mask, np.float32).reshape(r.height, r.width)
+                p = K.bokeh_params(r.width) if scaled else {}
+                edge = K.bokeh_halo(**p)
+                for y0, x0, own in _tiles(r.height, r.width, tile, edge):
+                    part = f[own]
+                    place = (r.frame_id, y0 // tile, x0 // tile, y0, x0, own[0].start, own[1].start, part.shape[1], part.shape[0], r.width, r.height)
+                    row = (*place, encode(part), np.ascontiguousarray(mask[own]).tobytes())
+                    yield pd.DataFrame([row], columns=names)
+
+    schema = "frame_id long, ty int, tx int, y0 int, x0 int, py int, px int, pw int, ph int, iw int, ih int, rgb binary, mask binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    tiles = frames.select("frame_id", "width", "height", "rgb", "mask").mapInPandas(cut, schema).repartition("frame_id", "ty", "tx")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                p = K.bokeh_params(r.iw) if scaled else {}
+                mask = np.frombuffer(r.mask, np.float32).reshape(r.ph, r.pw)
+                done = K.bokeh(decode(r.rgb, r.pw, r.ph), mask, **p)
+                core = done[r.y0 - r.py : min(r.y0 + tile, r.ih) - r.py, r.x0 - r.px : min(r.x0 + tile, r.iw) - r.px]
+                out.append((r.frame_id, r.ty, r.tx, r.y0, r.x0, core.shape[1], core.shape[0], encode(core)))
+            yield pd.DataFrame(out, columns=["frame_id", "ty", "tx", "y0", "x0", "width", "height", "rgb"])
+
+    return tiles.mapInPandas(work, TILES)
+
+
+TILES = "frame_id long, ty int, tx int, y0 int, x0 int, width int, height int, rgb binary"
+
+
+def _tiles(height: int, width: int, tile: int, edge: int):
+    """``(y0, x0, (rows, columns) with the halo)`` of a frame's tiles."""
+    for y0 in range(0, height, tile):
+        for x0 in range(0, width, tile):
+            rows = slice(max(0, y0 - edge), min(y0 + tile + edge, height))
+            yield y0, x0, (rows, slice(max(0, x0 - edge), min(x0 + tile + edge, width)))
+
+
+def merge_tiles(frames: DataFrame, night: bool = False, tile: int = 512) -> DataFrame:
+    """A burst as one frame, by tiles: ``burst_id, used, ty, tx, y0, x0, width, height, rgb``.
+
+    Each frame is aligned on its burst's reference (the smallest ``frame_id``) in a task of its own; the
+    offsets and spreads, a few numbers a frame, decide which frames are used; every frame is then cut
+    into the pieces that a tile of the reference needs of it, and a tile's pieces meet in one task.
+    """
+    burst = frames.schema["burst_id"].dataType.simpleString()
+    rows = frames.select("burst_id", "frame_id", "width", "height", "rgb")
+    first = rows.groupBy("burst_id").agg(F.min("frame_id").alias("first"))
+    rows = rows.join(first, "burst_id")
+    ref = rows.filter("frame_id = first").select("burst_id", F.col("rgb").alias("ref"))
+
+    def measure_pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                f, own = decode(r.rgb, r.width, r.height), decode(r.ref, r.width, r.height)
+                gain = K.brightness_gain(f, own) if night else 1.0
+                f = K.code(f * gain) if night else f
+                a, b = K.luma_int(own), K.luma_int(f)
+                dx, dy, mad = K.pair_offset(a, b)
+                grid = K.tile_offsets(a, b, dx, dy)
+                s, sl = K.spread(own, f, grid)
+                blob = np.stack(grid).tobytes()
+                yield pd.DataFrame([(r.burst_id, r.frame_id, gain, mad, s, sl, grid[0].shape[0], grid[0].shape[1], blob)], columns=kept)
+
+    found = f"burst_id {burst}, frame_id long, gain double, mad double, s double, sl double, gh int, gw int, grid binary"
+    kept = [c.split()[0] for c in found.split(", ")]
+    others = rows.filter("frame_id <> first").join(ref, "burst_id").repartition("burst_id", "frame_id")
+    facts = barrier(others.mapInPandas(measure_pair, found), "pairs")
+    # Acceptance and the usual spread are medians over a burst's few frames.
+    limit = facts.groupBy("burst_id").agg((4 * F.greatest(F.median("mad"), F.lit(1.0))).alias("most"))
+    used = facts.join(limit, "burst_id").filter("mad <= most").drop("most")
+    usual = used.groupBy("burst_id").agg(F.median("s").alias("usual"), F.count(F.lit(1)).cast("int").alias("others"))
+    used = rows.join(used, ["burst_id", "frame_id"], "left").join(usual, "burst_id", "left")
+    used = used.filter("frame_id = first or mad is not null")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                f, is_ref = decode(r.rgb, r.width, r.height), r.frame_id == r.first
+                grid = None if is_ref else np.frombuffer(r.grid, np.float64).reshape(2, int(r.gh), int(r.gw))
+                low, high = ([0, 0], [0, 0]) if is_ref else (np.floor(grid.min((1, 2))), np.ceil(grid.max((1, 2))))
+                for y0 in range(0, r.height, tile):
+                    for x0 in range(0, r.width, tile):
+                        # Four pixels around for the smoothing and the reads between pixels.
+                        span = lambda at, k, size: (min(max(0, at + int(low[k]) - 5), size - 1), max(min(at + tile + int(high[k]) + 5, size), 1))
+                        (a, b), (c, d) = span(y0, 1, r.height), span(x0, 0, r.width)
+                        part = f[a:b, c:d] if is_ref or not night else K.code(f[a:b, c:d] * r.gain)
+                        facts_ = (0.0, 0.0, 1.0, 0, 0, None) if is_ref else (r.s, r.sl, r.usual, int(r.gh), int(r.gw), r.grid)
+                        count = 0 if pd.isna(r.others) else int(r.others)
+                        yield pd.DataFrame([(r.burst_id, y0 // tile, x0 // tile, y0, x0, r.frame_id, is_ref, a, c, d - c, b - a, r.width, r.height, count, *facts_, encode(part))], columns=names)
+
+    schema = (
+        f"burst_id {burst}, ty int, tx int, y0 int, x0 int, frame_id long, is_ref boolean, py int, px int, pw int, ph int, iw int, ih int, "
+        "others int, s double, sl double, usual double, gh int, gw int, grid binary, rgb binary"
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("frame_id")
+        own = group[group["is_ref"]].iloc[0]
+        y0, x0 = int(own["y0"]), int(own["x0"])
+        y1, x1 = min(y0 + tile, int(own["ih"])), min(x0 + tile, int(own["iw"]))
+        moved = [
+            (decode(r.rgb, r.pw, r.ph), r.py, r.px, np.frombuffer(r.grid, np.float64).reshape(2, r.gh, r.gw), r.s, r.sl, r.usual)
+            for r in group[~group["is_ref"]].itertuples(index=False)
+        ]
+        core = (int(own["py"]), int(own["px"]), y0, x0, y1, x1)
+        out = K.merge_region(decode(own["rgb"], own["pw"], own["ph"]), core, moved, night, K.scales_of(night))
+        row = (own["burst_id"], int(own["others"]) + 1, int(own["ty"]), int(own["tx"]), y0, x0, x1 - x0, y1 - y0, encode(out))
+        return pd.DataFrame([row], columns=["burst_id", "used", *[c.split()[0] for c in TILES.split(", ")[1:]]])
+
+    pieces = used.mapInPandas(cut, schema)
+    kind = f"burst_id {burst}, used int, " + TILES.partition(", ")[2]
+    return pieces.groupBy("burst_id", "ty", "tx").applyInPandas(merge, kind)
+
+
 def apply_look(frames: DataFrame, lut: np.ndarray) -> DataFrame:
     """A 3-D lookup table (``lut[b, g, r]``, float32) on every frame."""
     return map_frames(frames, lambda f: K.code(K.lut_sample(lut, f / np.float32(255)).astype(np.float64) * 255))
@@ -181,20 +308,23 @@ def finish_tiles(frames: DataFrame, params: Params = DEFAULT, tile: int = 512) -
                 out.append((r.frame_id, r.ty, r.tx, r.y0, r.x0, core.shape[1], core.shape[0], encode(core)))
             yield pd.DataFrame(out, columns=["frame_id", "ty", "tx", "y0", "x0", "width", "height", "rgb"])
 
-    return tiles.mapInPandas(work, "frame_id long, ty int, tx int, y0 int, x0 int, width int, height int, rgb binary")
+    return tiles.mapInPandas(work, TILES)
 
 
-def assemble(tiles: DataFrame) -> DataFrame:
-    """Finished tiles as a frame table again."""
+def assemble(tiles: DataFrame, key: str = "frame_id") -> DataFrame:
+    """Finished tiles as a frame table again, one row for each ``key``; ``used`` stays if it is there."""
+    more = [c for c in ("used",) if c in tiles.columns]
 
     def paste(group: pd.DataFrame) -> pd.DataFrame:
         w, h = int((group["x0"] + group["width"]).max()), int((group["y0"] + group["height"]).max())
         f = np.zeros((h, w, 3), np.uint8)
         for r in group.itertuples(index=False):
             f[r.y0 : r.y0 + r.height, r.x0 : r.x0 + r.width] = decode(r.rgb, r.width, r.height)
-        return pd.DataFrame({"frame_id": [group["frame_id"].iloc[0]], "width": [w], "height": [h], "rgb": [encode(f)]})
+        row = {key: [group[key].iloc[0]]} | {c: [group[c].iloc[0]] for c in more}
+        return pd.DataFrame(row | {"width": [w], "height": [h], "rgb": [encode(f)]})
 
-    return tiles.groupBy("frame_id").applyInPandas(paste, FRAMES)
+    kept = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in (key, *more))
+    return tiles.groupBy(key).applyInPandas(paste, f"{kept}, width int, height int, rgb binary")
 
 
 def measure(frames: DataFrame, truth: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -486,25 +486,32 @@ def _coarse(ref, frame, radius: int = 8):
     return _search(ref, frame, dx, dy, 0)
 
 
-def align(lumas: list[np.ndarray]) -> list[tuple[int, int, float, bool]]:
-    """(dx, dy, difference, accepted) of each frame on the first."""
-    lumas = [p.astype(np.int32) for p in lumas]
+def pair_offset(ref: np.ndarray, other: np.ndarray) -> tuple[int, int, float]:
+    """(dx, dy, difference) of a plane on another, over a pyramid."""
 
     def pyramid(p):
-        out = [p]
+        out = [p.astype(np.int32)]
         while len(out) < 3 and min(out[-1].shape) >= 2:
             out.append(half(out[-1]))
         return out
 
-    ref, found = pyramid(lumas[0]), []
-    for other in lumas[1:]:
-        own = pyramid(other)
-        mad, dy, dx = _coarse(ref[-1], own[-1])
-        for k in range(len(ref) - 2, -1, -1):
-            mad, dy, dx = _search(ref[k], own[k], 2 * dx, 2 * dy, 2)
-        found.append((dx, dy, mad))
-    limit = 4 * max(float(np.median([m for _, _, m in found])), 1.0) if found else 0
-    return [(0, 0, 0.0, True), *((dx, dy, mad, not mad > limit) for dx, dy, mad in found)]
+    levels, own = pyramid(ref), pyramid(other)
+    mad, dy, dx = _coarse(levels[-1], own[-1])
+    for k in range(len(levels) - 2, -1, -1):
+        mad, dy, dx = _search(levels[k], own[k], 2 * dx, 2 * dy, 2)
+    return dx, dy, mad
+
+
+def accepted(differences: list[float]) -> list[bool]:
+    """Which frames of a burst fit the reference, by the median of their differences."""
+    limit = 4 * max(float(np.median(differences)), 1.0) if differences else 0
+    return [not d > limit for d in differences]
+
+
+def align(lumas: list[np.ndarray]) -> list[tuple[int, int, float, bool]]:
+    """(dx, dy, difference, accepted) of each frame on the first."""
+    found = [pair_offset(lumas[0], other) for other in lumas[1:]]
+    return [(0, 0, 0.0, True), *((*f, ok) for f, ok in zip(found, accepted([m for *_, m in found]), strict=True))]
 
 
 def tile_offsets(ref: np.ndarray, frame: np.ndarray, dx: int, dy: int, tile: int = 32, dead: float = 0.1):
@@ -546,30 +553,50 @@ def ghost(diff, sigma: float, lo: float = 3.0, hi: float = 8.0):
     return np.clip((hi * s - np.abs(diff)) / (hi * s - lo * s), 0, 1)
 
 
-def merge_aligned(frames, offsets, scales=(3.0, 8.0), night: bool = False) -> np.ndarray:
-    """Weighted mean on the first frame; ``offsets`` are tile grids or None."""
-    ref = frames[0]
+def spread(ref: np.ndarray, f: np.ndarray, offset) -> tuple[float, float]:
+    """Robust spreads of the differences between a moved frame and the reference, plain and smoothed, on every
+    fourth pixel of every fourth row."""
     h, w = ref.shape[:2]
-    y, x = np.mgrid[0:h, 0:w]
-    rl = luma_int(ref).astype(np.float64)
-    rlp = box(rl, 3)
-    got = []
-    for f, o in zip(frames[1:], offsets[1:], strict=True):
-        if o is None:
-            continue
-        sx, sy = x + field(o[0], x, y), y + field(o[1], x, y)
+    y, x = np.mgrid[0:h:4, 0:w:4]
+    sx, sy = x + field(offset[0], x, y), y + field(offset[1], x, y)
+    rl, soft = luma_int(ref).astype(np.float64), box(luma_int(f).astype(np.float64), 3)
+    plain = luma(bilinear(f, sx, sy)) - rl[::4, ::4]
+    return robust_sigma(plain), robust_sigma(bilinear(soft, sx, sy) - box(rl, 3)[::4, ::4])
+
+
+def merge_region(ref: np.ndarray, core, frames, night: bool, scales) -> np.ndarray:
+    """Weighted mean on a region of the reference. ``ref`` is cut at ``(y, x)`` and its core is the last four of
+    ``core = (y, x, y0, x0, y1, x1)``, in places of the whole frame; ``frames`` holds ``(cut, y, x, offset,
+    spread, smoothed spread, usual spread)`` of the others."""
+    ry, rx, y0, x0, y1, x1 = core
+    y, x = np.mgrid[y0:y1, x0:x1]
+    inner = (slice(y0 - ry, y1 - ry), slice(x0 - rx, x1 - rx))
+    soft = luma_int(ref).astype(np.float64)
+    rl, rlp, own_ref = soft[inner], box(soft, 3)[inner], ref[inner]
+    total, weight = own_ref.astype(np.float64), np.ones(rl.shape)
+    for f, fy, fx, o, s, sl, usual in frames:
+        sx, sy = x + field(o[0], x, y) - fx, y + field(o[1], x, y) - fy
         rgb = bilinear(f, sx, sy)
         d = luma(rgb) - rl
         dl = bilinear(box(luma_int(f).astype(np.float64), 3), sx, sy) - rlp
-        got.append((rgb, d, dl, robust_sigma(d[::4, ::4]), robust_sigma(dl[::4, ::4])))
-    usual = float(np.median([g[3] for g in got])) if got else 1.0
-    total, weight = ref.astype(np.float64), np.ones((h, w))
-    for rgb, d, dl, s, sl in got:
         own = 1 / (1 + max(s - usual, 0) / max(usual, 1.0)) if night else 1.0
         k = own * np.minimum(ghost(d, s, *scales), ghost(dl, sl, *scales))
-        total = total + k[..., None] * rgb
-        weight = weight + k
-    return np.where((weight <= 1.001)[..., None], ref, code(total / weight[..., None]))
+        total += k[..., None] * rgb
+        weight += k
+    return np.where((weight <= 1.001)[..., None], own_ref, code(total / weight[..., None]))
+
+
+def merge_aligned(frames, offsets, scales=(3.0, 8.0), night: bool = False) -> np.ndarray:
+    """Weighted mean on the first frame; ``offsets`` are tile grids or None."""
+    ref, kept = frames[0], [(f, o) for f, o in zip(frames[1:], offsets[1:], strict=True) if o is not None]
+    sigmas = [spread(ref, f, o) for f, o in kept]
+    usual = float(np.median([s for s, _ in sigmas])) if kept else 1.0
+    others = [(f, 0, 0, o, s, sl, usual) for (f, o), (s, sl) in zip(kept, sigmas, strict=True)]
+    return merge_region(ref, (0, 0, 0, 0, *ref.shape[:2]), others, night, scales)
+
+
+def scales_of(night: bool) -> tuple[float, float]:
+    return (4.0, 12.0) if night else (3.0, 8.0)
 
 
 def brightness_gain(f: np.ndarray, ref: np.ndarray) -> float:
@@ -591,7 +618,7 @@ def merge(frames: list[np.ndarray], night: bool = False):
     lumas = [luma_int(f) for f in frames]
     found = align(lumas)
     tiles = [None, *(tile_offsets(lumas[0], p, a[0], a[1]) if a[3] else None for p, a in zip(lumas[1:], found[1:], strict=True))]
-    merged = merge_aligned(frames, tiles, (4.0, 12.0) if night else (3.0, 8.0), night)
+    merged = merge_aligned(frames, tiles, scales_of(night), night)
     return merged, sum(a[3] for a in found), [(a[0], a[1]) for a in found]
 
 
@@ -741,21 +768,64 @@ def bokeh_params(width: int) -> dict[str, int]:
     return {"max_radius": scaled(12, 1), "feather": scaled(12, 1), "smooth": scaled(2, 0)}
 
 
+def bokeh_halo(max_radius: int = 12, feather: int = 12, smooth: int = 2) -> int:
+    """How far the rendering of a pixel looks."""
+    return max_radius + 2 + 2 * feather + smooth
+
+
 def disc_taps(n: int) -> np.ndarray:
     i = np.arange(n)
     r, a = np.sqrt((i + 0.5) / n), i * math.pi * (3 - math.sqrt(5))
     return np.stack([r * np.cos(a), r * np.sin(a)], 1)
 
 
+def _even_blur(flat: np.ndarray, radius: float, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the taps at one radius everywhere: shifted planes instead of reads by place."""
+    h, w = flat.shape[:2]
+    edge = int(math.ceil(radius)) + 1
+    wide = np.pad(flat, ((edge, edge + 1), (edge, edge + 1), (0, 0)), mode="edge")
+    total, plain = np.zeros((h, w, 4), np.float32), np.zeros((h, w, 3), np.float32)
+    for dx, dy in taps:
+        x0, y0 = math.floor(dx * radius), math.floor(dy * radius)
+        fx, fy = np.float32(dx * radius - x0), np.float32(dy * radius - y0)
+        rows = wide[edge + y0 : edge + y0 + h + 1, edge + x0 : edge + x0 + w + 1]
+        v = (1 - fx) * rows[:, :-1] + fx * rows[:, 1:]
+        v = (1 - fy) * v[:-1] + fy * v[1:]
+        plain += v[..., :3]
+        v[..., :3] *= v[..., 3:]
+        total += v
+    return total, plain
+
+
 def disc_blur(rgb: np.ndarray, radius: np.ndarray, weight: np.ndarray | None, taps: np.ndarray, least: float = 0.5) -> np.ndarray:
-    """Mean over the taps of a disc of varying radius, weighted; single precision."""
+    """Mean over the taps of a disc of varying radius, weighted; single precision. Where the radius is the
+    largest one, as in all of a background, planes are shifted as a whole."""
     h, w = radius.shape
     k = np.ones((h, w), np.float32) if weight is None else weight.astype(np.float32)
-    flat = np.dstack([rgb.astype(np.float32), k]).reshape(-1, 4)  # colour and weight in one read
+    image = np.dstack([rgb.astype(np.float32), k])  # colour and weight in one read
+    flat = image.reshape(-1, 4)
     out = rgb.astype(np.float32).copy()
-    at = np.argwhere(radius >= least)
-    for s in range(0, len(at), 65_536):
-        py, px = at[s : s + 65_536].T
+
+    def mean(total, plain, mass):
+        enough = mass > 1e-4
+        return np.where(enough, total / np.where(enough, mass, 1), plain / np.float32(len(taps)))
+
+    top = float(radius.max()) if radius.size else 0.0
+    even = (radius == np.float32(top)) & (top >= least)
+    if even.sum() > 4096:
+        rows, columns = np.flatnonzero(even.any(1)), np.flatnonzero(even.any(0))
+        edge = int(math.ceil(top)) + 2  # the part of the frame that is wanted, and what it reads
+        y0, y1, x0, x1 = rows[0], rows[-1] + 1, columns[0], columns[-1] + 1
+        py, px = max(0, y0 - edge), max(0, x0 - edge)
+        sums, plain = _even_blur(image[py : y1 + edge, px : x1 + edge], top, taps)
+        at = np.argwhere(even)
+        here = (at[:, 0] - py, at[:, 1] - px)
+        out[even] = mean(sums[here][:, :3], plain[here], sums[here][:, 3:])
+    else:
+        even[:] = False
+    at = np.argwhere((radius >= least) & ~even)
+    for s in range(0, len(at), 16_384):
+        py, px = at[s : s + 16_384].T
         r = radius[py, px].astype(np.float64)
         total, plain = np.zeros((len(r), 3), np.float32), np.zeros((len(r), 3), np.float32)
         mass = np.zeros((len(r), 1), np.float32)
@@ -769,8 +839,7 @@ def disc_blur(rgb: np.ndarray, radius: np.ndarray, weight: np.ndarray | None, ta
             total += v[:, 3:] * v[:, :3]
             plain += v[:, :3]
             mass += v[:, 3:]
-        enough = mass > 1e-4
-        out[py, px] = np.where(enough, total / np.where(enough, mass, 1), plain / np.float32(len(taps)))
+        out[py, px] = mean(total, plain, mass)
     return out
 
 

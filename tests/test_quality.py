@@ -112,3 +112,43 @@ def test_frames_round_trip(spark):
 def test_empty_pixels(spark):
     px = S.pixels(spark, [S.clean("edges")[:4, :4]]).filter(F.lit(False))
     assert P.denoise_chroma(px, 0.6).count() == 0
+
+
+def test_bokeh_tiles_agree_with_the_whole(spark):
+    f, mask = S.disc_scene(300, 220)
+    frames = B.from_arrays(spark, [f]).withColumn("mask", F.lit(np.ascontiguousarray(mask).tobytes()))
+    whole = B.decode(B.render_bokeh(frames).first()["rgb"], 300, 220)
+    tiled = B.decode(B.assemble(B.bokeh_tiles(frames, tile=96)).first()["rgb"], 300, 220)
+    away = np.abs(whole.astype(int) - tiled)
+    assert away.max() <= 1 and (away > 0).mean() < 1e-3
+
+
+def test_even_radius_blurs_as_reads_by_place():
+    rng = np.random.default_rng(5)
+    rgb, radius, weight = rng.uniform(0, 255, (90, 70, 3)), np.full((90, 70), 6.3, np.float32), rng.uniform(0, 1, (90, 70))
+    radius[20:40, 10:60] = rng.uniform(0, 6, (20, 50))
+    whole = K.disc_blur(rgb, radius, weight, K.disc_taps(24))
+    slow = K.disc_blur(rgb, np.where(radius == np.float32(6.3), radius, radius), weight, K.disc_taps(24)[::-1])
+    one = np.empty_like(whole)
+    for y, x in [(0, 0), (5, 69), (50, 30), (89, 0), (30, 30)]:
+        total, mass = np.zeros(3), 0.0
+        for dx, dy in K.disc_taps(24):
+            px, py = np.clip(x + dx * radius[y, x], 0, 69), np.clip(y + dy * radius[y, x], 0, 89)
+            v = K.bilinear(np.dstack([rgb, weight]), np.array([[px]]), np.array([[py]]))[0, 0]
+            total, mass = total + v[3] * v[:3], mass + v[3]
+        one[y, x] = total / mass if radius[y, x] >= 0.5 else rgb[y, x]
+        assert np.allclose(whole[y, x], one[y, x], atol=0.01) and np.allclose(slow[y, x], one[y, x], atol=0.01)
+
+
+@pytest.mark.parametrize("night", [False, True])
+def test_merge_tiles_agree_with_the_whole(spark, night):
+    bursts = [S.burst(S.clean("edges")[:80, :100], 7, 4), S.burst(S.clean("texture")[:80, :100], 3, 3)]
+    bursts[0][2] = S.shift(bursts[0][2], 4, -3)
+    frames = B.from_arrays(spark, [f for b in bursts for f in b], burst_id=["a"] * 4 + ["b"] * 3)
+    got = {r["burst_id"]: r for r in B.assemble(B.merge_tiles(frames, night, tile=48), "burst_id").collect()}
+    for key, burst in zip("ab", bursts, strict=True):
+        want, used, _ = K.merge(burst, night)
+        away = np.abs(want.astype(int) - B.decode(got[key]["rgb"], 100, 80))
+        assert got[key]["used"] == used and away.max() <= 1 and (away > 0).mean() < 1e-3
+    alone = B.assemble(B.merge_tiles(frames.limit(1)), "burst_id").first()
+    assert alone["used"] == 1 and np.array_equal(B.decode(alone["rgb"], 100, 80), bursts[0][0])
