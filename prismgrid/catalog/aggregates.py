@@ -24,7 +24,7 @@ BAG = f"SELECT CAST(0 AS BIGINT) AS frame_id, r, g, b FROM ({sql.LINES})"
 
 def cues(spark, sf_dir):
     """The three cues of the white balance, one row each."""
-    px = bag(spark, sf_dir)
+    px = stats.colours(bag(spark, sf_dir))
     parts = (("gray", stats.gray_cue(px)), ("highlight", stats.highlight_cue(px)), ("probe", stats.probe_cue(px)))
     rows = [c.select(F.lit(n).alias("cue"), *_R("r", "g", "b"), "n") for n, c in parts]
     return rows[0].union(rows[1]).union(rows[2])
@@ -116,7 +116,7 @@ ORACLE_SQL["f01_gray_world_admission"] = f"SELECT {C.mid_luma(0.6)} AS admitted,
 
 
 def band(spark, sf_dir):
-    return stats.highlight_cue(bag(spark, sf_dir)).select("n")
+    return stats.highlight_cue(stats.colours(bag(spark, sf_dir))).select("n")
 
 
 QUERIES["f03_highlight_band"] = band

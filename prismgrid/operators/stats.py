@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismgrid.functions import color
+from prismgrid.sources.shared import barrier
 
 
 def counts(df: DataFrame, value: Column | str, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
@@ -78,33 +79,41 @@ PROBE_SHARE, PROBE_SLACK = 0.08, 0.005
 USABLE_SHARE, CUE_FLOOR = 0.01, 32.0
 
 
-def gray_cue(px: DataFrame) -> DataFrame:
-    """``frame_id, r, g, b, n``: trimmed channel means over near-neutral pixels of middle luma."""
-    own = px.filter(color.mid_luma(0.6))
+def colours(px: DataFrame) -> DataFrame:
+    """``frame_id, r, g, b, n``: how often each colour occurs, 2^24 rows a frame at most. Written once, as the
+    three cues and their ranks all read it."""
+    return barrier(px.groupBy("frame_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")), "colours")
+
+
+def gray_cue(bag: DataFrame) -> DataFrame:
+    """``frame_id, r, g, b, n``: trimmed channel means over near-neutral pixels of middle luma, from counted colours."""
+    own = bag.filter(color.mid_luma(0.6))
     channels = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in "rgb"]))
-    hist = own.select("frame_id", channels.alias("s")).groupBy("frame_id", F.col("s.c").alias("c"), F.col("s.v").alias("v"))
-    means = trimmed_mean(hist.agg(F.count(F.lit(1)).alias("n")), 0.1, "mean", ("frame_id", "c"))
+    hist = own.select("frame_id", "n", channels.alias("s")).groupBy("frame_id", F.col("s.c").alias("c"), F.col("s.v").alias("v"))
+    means = trimmed_mean(hist.agg(F.sum("n").alias("n")), 0.1, "mean", ("frame_id", "c"))
     wide = means.groupBy("frame_id").agg(*[F.max(F.when(F.col("c") == c, F.col("mean"))).alias(c) for c in "rgb"])
-    return wide.join(own.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")), "frame_id")
+    return wide.join(own.groupBy("frame_id").agg(F.sum("n").alias("n")), "frame_id")
 
 
-def probe_cue(px: DataFrame) -> DataFrame:
-    """``frame_id, r, g, b, n``: plain means over strictly neutral pixels."""
-    return _means(px.filter(color.mid_luma(0.10)))
+def probe_cue(bag: DataFrame) -> DataFrame:
+    """``frame_id, r, g, b, n``: plain means over strictly neutral pixels, from counted colours."""
+    return _means(bag.filter(color.mid_luma(0.10)))
 
 
-def highlight_cue(px: DataFrame) -> DataFrame:
-    """``frame_id, r, g, b, n``: means over the unclipped pixels between the 90th and 99th percentile of luma."""
+def highlight_cue(bag: DataFrame) -> DataFrame:
+    """``frame_id, r, g, b, n``: means over the unclipped pixels between the 90th and 99th percentile of luma,
+    from counted colours."""
     milli = F.expr(color.luma_milli())
-    hist = counts(px, milli)
-    low, high = value_at_rank(hist, 0.90, "low"), value_at_rank(hist, 0.99, "high")
-    band = px.join(F.broadcast(low.join(high, "frame_id")), "frame_id")
+    hist = running(bag.groupBy("frame_id", milli.alias("v")).agg(F.sum("n").alias("n")))
+    at = lambda p: F.min(F.when(F.col("upto") > F.expr(color.whole(f"{color.num(p)} * (total - 1)")), F.col("v")))
+    marks = hist.groupBy("frame_id").agg(at(0.90).alias("low"), at(0.99).alias("high"))
+    band = bag.join(F.broadcast(marks), "frame_id")
     return _means(band.filter((milli >= F.col("low")) & (milli <= F.col("high"))).filter(color.unclipped()))
 
 
-def _means(px: DataFrame) -> DataFrame:
-    sums = [(F.sum(F.col(c).cast("long")) / F.count(F.lit(1))).alias(c) for c in "rgb"]
-    return px.groupBy("frame_id").agg(*sums, F.count(F.lit(1)).alias("n"))
+def _means(bag: DataFrame) -> DataFrame:
+    sums = [(F.sum(F.col(c).cast("long") * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"]
+    return bag.groupBy("frame_id").agg(*sums, F.sum("n").alias("n"))
 
 
 def combine_sql(raw: str) -> str:
@@ -120,10 +129,11 @@ def white_balance_gains(px: DataFrame) -> DataFrame:
     The two cues vote by their counts; where enough strictly neutral pixels exist no gain may push
     them past neutral.
     """
-    sizes = px.groupBy("frame_id").agg(F.count(F.lit(1)).alias("size"))
+    bag = colours(px)
+    sizes = bag.groupBy("frame_id").agg(F.sum("n").alias("size"))
     named = lambda df, p: df.select("frame_id", *[F.col(c).alias(f"{p}_{c}") for c in ("r", "g", "b", "n")])
     all_ = sizes
-    for cue, p in ((gray_cue(px), "gray"), (highlight_cue(px), "high"), (probe_cue(px), "probe")):
+    for cue, p in ((gray_cue(bag), "gray"), (highlight_cue(bag), "high"), (probe_cue(bag), "probe")):
         all_ = all_.join(named(cue, p), "frame_id", "left")
     return gains_from(all_.fillna(0))
 
