@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismgrid.functions import color
+
 #: From this radius on sums come from running totals instead of sliding frames.
 RUNNING_FROM = 16
 
@@ -186,3 +188,18 @@ def sample(points: DataFrame, image: DataFrame, columns: list[str], sx: str = "s
     mix = lambda c, j: F.col(f"_{c}{j}0") + (F.col(f"_{c}{j}1") - F.col(f"_{c}{j}0")) * F.col("_fx")
     p = p.withColumns({c: mix(c, 0) + (mix(c, 1) - mix(c, 0)) * F.col("_fy") for c in columns})
     return p.drop(*[c for c in p.columns if c.startswith("_")])
+
+
+def disc_mean(px: DataFrame, columns: list[str], weight: str, radius: Column, taps: int) -> DataFrame:
+    """``frame_id, y, x, columns``: weighted mean over the taps of a disc of a radius that varies by pixel.
+
+    Taps lie on a spiral and are read between pixels, clamped to the frame; without weight the plain mean counts.
+    """
+    dx, dy = color.vogel("tap", taps)
+    spiral = px.sparkSession.range(taps).select(F.col("id").alias("tap")).select("tap", F.expr(dx).alias("dx"), F.expr(dy).alias("dy"))
+    at = px.select("frame_id", F.col("y").alias("py"), F.col("x").alias("px"), radius.alias("radius")).crossJoin(F.broadcast(spiral))
+    at = at.select("frame_id", "py", "px", (F.col("px") + F.col("radius") * F.col("dx")).alias("sx"), (F.col("py") + F.col("radius") * F.col("dy")).alias("sy"))
+    read = sample(at, px, [*columns, weight])
+    mass = F.sum(weight)
+    mean = lambda c: F.when(mass > 1e-4, F.sum(F.col(c) * F.col(weight)) / mass).otherwise(F.avg(c)).alias(c)
+    return read.groupBy("frame_id", "py", "px").agg(*map(mean, columns)).withColumnsRenamed({"py": "y", "px": "x"})

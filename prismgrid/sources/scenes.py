@@ -199,6 +199,33 @@ def cast(f: np.ndarray, r: float, g: float, b: float) -> np.ndarray:
     return K.code(f * np.array([r, g, b]))
 
 
+def cast_pixels(px: DataFrame, r: float, g: float, b: float) -> DataFrame:
+    """A colour cast on pixel rows."""
+    by = {"r": r, "g": g, "b": b}
+    return px.withColumns({c: F.expr(color.gain(c, color.num(k))) for c, k in by.items()})
+
+
+def drift_pixels(px: DataFrame, frames: int, across: float, down: float) -> DataFrame:
+    """Frame i of ``frames`` moved by its share of ``across`` and ``down``, edges repeated."""
+    share = lambda far: F.floor(F.col("frame_id") * (far / max(frames - 1, 1)) + 0.5).cast("int")
+    return _shifted(px, share(across), share(down))
+
+
+def shift_pixels(px: DataFrame, dx: int, dy: int) -> DataFrame:
+    """Pixel rows moved by (dx, dy), edges repeated."""
+    return _shifted(px, F.lit(dx), F.lit(dy))
+
+
+def _shifted(px: DataFrame, dx, dy) -> DataFrame:
+    """Every place takes the pixel that lies (dx, dy) before it: an equi-join on clamped places."""
+    size = px.groupBy("frame_id").agg(F.max("y").alias("_my"), F.max("x").alias("_mx"))
+    inside = lambda at, most: F.least(F.greatest(at, F.lit(0)), F.col(most))
+    place = px.select("frame_id", F.col("y").alias("_y"), F.col("x").alias("_x")).join(F.broadcast(size), "frame_id")
+    place = place.select("frame_id", "_y", "_x", inside(F.col("_y") - dy, "_my").alias("y"), inside(F.col("_x") - dx, "_mx").alias("x"))
+    moved = place.join(px, ["frame_id", "y", "x"]).drop("y", "x")
+    return moved.withColumnsRenamed({"_y": "y", "_x": "x"})
+
+
 def burst(f: np.ndarray, seed: int, count: int, **noise) -> list[np.ndarray]:
     return [noisy(f, seed + i * FRAME_STEP, **noise) for i in range(count)]
 

@@ -106,6 +106,36 @@ def compare_steps(events: DataFrame) -> DataFrame:
     return done.select("session", step.alias("step"))
 
 
+def acquired(shots: DataFrame, timeout: int = 5000, waiting: int = 2) -> DataFrame:
+    """``burst, kept, span, frames`` of ``shots(burst, i, take, work, failed)``: captures of a burst in order.
+
+    A capture starts when the one before is over and fewer than ``waiting`` (2) frames wait for decoding, which goes
+    one by one; it is dropped if that takes longer than ``timeout`` milliseconds, if it takes longer itself, or if it
+    fails. ``frames`` are the survivors in order, ``span`` ends with the last capture or decoding. A fold over
+    the few shots of a burst.
+    """
+    if waiting != 2:
+        raise ValueError("the fold keeps the last two decodings")
+    own = F.array_sort(F.collect_list(F.struct("i", "take", "work", "failed")))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("free"), zero.alias("done"), zero.alias("before"), F.expr("cast(array() as array<long>)").alias("frames"))
+    limit = F.lit(timeout).cast("long")
+
+    def step(s, e):
+        go = F.greatest(s["free"], s["before"])
+        late = go - s["free"] > limit
+        good = ~late & (e["take"] <= limit) & ~e["failed"]
+        return F.struct(
+            F.when(late, s["free"] + limit).otherwise(go + F.least(e["take"], limit)).alias("free"),
+            F.when(good, F.greatest(s["done"], go + e["take"]) + e["work"]).otherwise(s["done"]).alias("done"),
+            F.when(good, s["done"]).otherwise(s["before"]).alias("before"),
+            F.when(good, F.array_append(s["frames"], e["i"])).otherwise(s["frames"]).alias("frames"),
+        )
+
+    done = shots.groupBy("burst").agg(own.alias("shots")).withColumn("s", F.aggregate("shots", start, step))
+    return done.select("burst", F.size("s.frames").alias("kept"), F.greatest("s.free", "s.done").alias("span"), F.col("s.frames").alias("frames"))
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 
