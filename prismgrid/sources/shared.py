@@ -6,6 +6,7 @@ a barrier writes the pixels once, cuts the lineage and survives lost executors.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,7 @@ def folder(spark: SparkSession) -> str:
     executors elsewhere would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="prismgrid-")
         spark.conf.set("spark.checkpoint.dir", where)
