@@ -7,6 +7,7 @@ tables go to the folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share. Where the session names none: a temporary one, on a local master only,
+    as executors elsewhere would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="prismgrid-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -102,5 +106,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
+    drop_staged(both)
     return label.select("node", F.col("parent").alias("component"))
 

@@ -302,7 +302,9 @@ def score(
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    done = own.groupBy("part").cogroup(values.groupBy("part")).applyInPandas(finish, schema)
+    done = staged(own.groupBy("part").cogroup(values.groupBy("part")).applyInPandas(finish, schema), "scores")
+    drop_staged(up), S.drop_table(blocks)
+    release(spark)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return done.select(
         "doc_id",

@@ -8,9 +8,9 @@ bounds what they can share by the places it has in both. The order puts shingles
 which keeps common passages out of the prefixes: shingles are counted, all of them, in a table of fixed size by
 their hash. Whatever the collisions there, the order is one.
 
-Candidates are verified on the whole sets, in two rounds: first each text with one other of each
-prefix shingle, then the candidates that are still in different components, so that a large group
-of copies is not compared pair by pair. Distinct texts are nodes; texts without words are one group.
+Candidates are verified on the whole sets, in two rounds: first each text with one other that has one of its
+``FIRST`` smallest hashes in common, which connects most copies, then the prefixes' candidates that are still in
+different components, so that a large group of copies is not compared pair by pair. Distinct texts are nodes; texts without words are one group.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from prismgrid.llm.common import components, drop_staged, release, small_batches
 from prismgrid.llm.simhash import LINK_BITS, fingerprints, keep_one, links, text_keys
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: Smallest hashes of a text that the first round looks at.
+FIRST = 4
 #: Counters of shingles (a byte each, sent to every worker), and the slices they are summed in.
 COUNTERS, SLICES = 1 << 24, 256
 #: Bytes of text in a bucket of the table of texts.
@@ -150,31 +152,30 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BIT
     def deal(batches):
         for batch in batches:
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
-            heads = [prefix(x, sent.value, similarity) for x in sets]
-            size = np.array([len(x) for x in heads], np.int64)
-            cid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
-            n = np.repeat(np.array([len(x) for x in sets], np.int32), size)
-            at = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
-            h = np.concatenate([*heads, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(cid), pa.array(n), pa.array(at.astype(np.int32))], ["h", "cid", "n", "at"]
-            )
-
-    dealt = texts.select("cid", "text").mapInArrow(deal, "h long, cid long, n int, at int")
+            cids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, heads in ((True, [x[:FIRST] for x in sets]), (False, [prefix(x, sent.value, similarity) for x in sets])):
+                size = np.array([len(x) for x in heads], np.int64)
+                n = np.repeat(np.array([len(x) for x in sets], np.int32), size)
+                at = (np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+                h = np.concatenate([*heads, np.empty(0, np.uint64)]).view(np.int64)
+                columns = [h, np.repeat(cids, size), n, at, np.full(len(n), first)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "cid", "n", "at", "first"])
+
+    dealt = texts.select("cid", "text").mapInArrow(deal, "h long, cid long, n int, at int, first boolean")
     dealt = staged(dealt, "prefixes")
-    buckets = max(48, -(-dealt.count() // bucket_rows))
 
     def candidates(rows: DataFrame, star: bool) -> DataFrame:
         def meet(group: pd.DataFrame) -> pd.DataFrame:
             pairs = meetings(*(group[c].to_numpy() for c in ("h", "cid", "n", "at", "grp")), star, similarity)
             return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
+        buckets = max(48, -(-rows.count() // bucket_rows))
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
         return staged(rows.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct(), "candidates")
 
     def similar(member: DataFrame, star: bool) -> DataFrame:
         """Links between texts that are in different groups of ``member`` so far."""
-        rows = dealt.join(member, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
+        rows = dealt.filter(F.col("first") == star).join(member, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
         pairs = candidates(rows.select("h", "cid", "n", "at", "grp"), star)
         if not star:
             drop_staged(dealt)
@@ -190,9 +191,13 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BIT
         linked = linked.union(similar(member, star))
         drop_staged(member)
     member = grouped(linked)
-    return texts.select("_k1", "_k2", "cid").join(member, "cid", "left").select("_k1", "_k2", F.coalesce("grp", "cid").alias("component"))
+    named = texts.select("_k1", "_k2", "cid").join(member, "cid", "left").select("_k1", "_k2", F.coalesce("grp", "cid").alias("component"))
+    named = staged(named, "named")
+    drop_staged(member), S.drop_table(texts)
+    release(spark)
+    return named
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BITS) -> DataFrame:
     """One row of each group, as :func:`simhash.keep_one` picks it; same columns."""
-    return keep_one(docs, staged(groups(docs, similarity, bits), "groups"))
+    return keep_one(docs, groups(docs, similarity, bits))
