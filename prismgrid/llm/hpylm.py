@@ -269,10 +269,12 @@ def score(
         state = _Round(corpus, seed, turn, turn == rounds - 1, sweeps, samples)
         told = down.filter(F.col("kind") == WORDS).unionByName(up.filter(F.col("kind") == STATE))
         told = told.select(F.col("to").alias("part"), "kind", "source", "block")
-        new = staged(held.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(state.runner(), MESSAGE), "up")
-        drop_staged(up), drop_staged(down)
-        up = new
-    values = up.select(F.col("to").alias("part"), F.col("n").alias("batch"), "source", F.lit(-1).alias("kind"), "block")
+        new = held.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(state.runner(), MESSAGE)
+        if not state.last:
+            new = staged(new, "up")
+            drop_staged(up), drop_staged(down)
+            up = new
+    values = new.select(F.col("to").alias("part"), F.col("n").alias("batch"), "source", F.lit(-1).alias("kind"), "block")
     own = blocks.filter(F.col("kind") != S.KEYS)
 
     def finish(key, own: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
@@ -303,7 +305,7 @@ def score(
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     done = staged(own.groupBy("part").cogroup(values.groupBy("part")).applyInPandas(finish, schema), "scores")
-    drop_staged(up), S.drop_table(blocks)
+    drop_staged(up), drop_staged(down), S.drop_table(blocks)
     release(spark)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return done.select(
