@@ -11,6 +11,10 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,36 @@ def drop_staged(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Bits of an id filter; a parameter of the plan, whatever the ids.
+FILTER_BITS = 1 << 24
+
+
+def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS):
+    """A condition that holds for every value in ``ids.column`` and for few others: a bitmap of hashes of fixed
+    size (two megabytes), to thin a table before the exact join. With ever more ids it thins less."""
+    at = lambda c: F.pmod(F.xxhash64(F.lit(31), F.col(c)), F.lit(bits))
+
+    def mark(batches):
+        seen = np.zeros(bits, bool)
+        for b in batches:
+            seen[b.column(0).to_numpy(zero_copy_only=False)] = True
+        yield pa.RecordBatch.from_pydict({"one": [0], "map": [zstandard.compress(np.packbits(seen).tobytes(), 1)]})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(bits // 8, np.uint8)
+        for m in group["map"]:
+            out |= np.frombuffer(zstandard.decompress(m), np.uint8)
+        return pd.DataFrame({"map": [out.tobytes()]})
+
+    marks = ids.select(at(column).alias("at")).mapInArrow(mark, "one long, map binary")
+    found = marks.groupBy("one").applyInPandas(merge, "map binary").collect()
+    if not found:
+        return F.lit(False)
+    whole = F.lit(bytes(found[0]["map"]))
+    byte = F.conv(F.hex(F.substring(whole, (at(column) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (F.floor(byte / F.pow(F.lit(2.0), 7 - at(column) % 8)) % 2) == 1
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced."""
     gc.collect()

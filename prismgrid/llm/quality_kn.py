@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import shards as S
-from prismgrid.llm.common import drop_staged, release, small_batches, staged
+from prismgrid.llm.common import drop_staged, may_hold, release, small_batches, staged
 
 QUANTILE, PRIOR_WORDS = 0.999, 20.0
 #: What a message between shards holds: words with numbers, a piece of a split context, counts of counts,
@@ -305,8 +305,9 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, prior_words: fl
     # A fifth of the trusted texts is held out and sets the thresholds.
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5))
     learned = trusted.filter(part != 0).select("doc_id")
-    # One shuffle of the texts at any size of the labels; both training passes read what it leaves.
-    train = staged(docs.select("doc_id", "text").join(learned.hint("merge"), "doc_id", "left_semi"), "train")
+    # Texts are thinned by a bitmap of ids before the exact join shuffles them, at any size of the labels.
+    some = docs.select("doc_id", "text").filter(may_hold(learned, "doc_id"))
+    train = staged(some.join(learned.hint("merge"), "doc_id", "left_semi"), "train")
     release(docs.sparkSession)
     held_out = F.coalesce(F.col("trusted") & (part == 0), F.lit(False))
     scored = staged(perplexities(docs.select("doc_id", "text", "lang", *_row_keys()), train, drop_train=True, **params), "scored")
