@@ -250,7 +250,7 @@ def learn(train: DataFrame, split: S.Splits, words: int) -> tuple[Knowledge, Dat
 
 
 def perplexities(
-    docs: DataFrame, train: DataFrame, words: int = 800_000, waves: int = 10, shards: int | None = None, shard_words: int = 3_000_000, drop_train: bool = False
+    docs: DataFrame, train: DataFrame, words: int = 800_000, waves: int = 6, shards: int | None = None, shard_words: int = 3_000_000, drop_train: bool = False
 ) -> DataFrame:
     """Log10 probability of every text of ``docs`` under a model of the texts of ``train``.
 
