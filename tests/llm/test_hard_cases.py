@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prismgrid.llm import bpe, cover_tree, langid_crf, mixing, pii, url_filter
+from prismgrid.llm import bpe, common, cover_tree, langid_crf, mixing, pii, url_filter
 
 
 def test_url_filter_passes_columns_of_any_name(spark):
@@ -97,3 +97,12 @@ def test_clustered_vectors_leave_few_block_pairs(spark):
         near = cover_tree.unit(x) @ cover_tree.unit(x).T >= 0.9
         assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(i, int(near[i].sum()) - 1) for i in range(len(x))]
     assert seen == [8, 32]
+
+
+def test_a_bitmap_of_ids_loses_none(spark):
+    ids = spark.range(0, 3000, 3).select(F.col("id").alias("doc_id"))
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"))
+    wide = {r[0] for r in rows.filter(common.may_hold(ids, "doc_id")).collect()}
+    assert wide >= set(range(0, 3000, 3)) and len(wide) < 1010
+    assert {r[0] for r in rows.filter(common.may_hold(ids, "doc_id", 64)).collect()} >= set(range(0, 3000, 3))
+    assert rows.filter(common.may_hold(ids.limit(0), "doc_id")).count() == 0
