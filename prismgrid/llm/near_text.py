@@ -53,7 +53,8 @@ def counters(texts: DataFrame) -> np.ndarray:
         held = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             own = np.concatenate([np.empty(0, np.uint64), *map(shingles, batch.column(0).to_pylist())])
-            held += np.bincount((own % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            at, times = np.unique((own % np.uint64(COUNTERS)).astype(np.int64), return_counts=True)
+            held[at] += times.astype(np.uint32)
         blocks = [S.pack(x) for x in held.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(blocks)], ["slice", "block"])
         S.trim()
