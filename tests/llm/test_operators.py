@@ -124,7 +124,8 @@ def test_pack_round_trip():
         assert np.array_equal(a, b)
 
 
-def test_pitman_yor_base_score_and_order(spark):
+def test_pitman_yor_base_score_and_order(spark, monkeypatch):
+    monkeypatch.setattr(shards_module, "WAVE", 100)  # several waves into one table
     docs = corpus(spark).withColumn("train", F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True)))
     rows, got = docs.collect(), hpylm.score(docs, "train", shards=3, words=200).collect()
     counts = Counter()
