@@ -8,9 +8,10 @@ bounds what they can share by the places it has in both. The order puts shingles
 which keeps common passages out of the prefixes: shingles are counted, all of them, in a table of fixed size by
 their hash. Whatever the collisions there, the order is one.
 
-Candidates are verified on the whole sets, in two rounds: first each text with one other that has one of its
-``FIRST`` smallest hashes in common, which connects most copies, then the prefixes' candidates that are still in
-different components, so that a large group of copies is not compared pair by pair. Distinct texts are nodes; texts without words are one group.
+Candidates are verified on the whole sets, in three rounds, each only between components of those before: each text
+with one other that has one of its ``FIRST`` smallest hashes in common, which connects most copies; with ``PARTNERS``
+others of each of these, as in a large group of loose copies only some pairs are similar; at last all that share a
+prefix shingle. A large group of copies is thus not compared pair by pair. Distinct texts are nodes; texts without words are one group.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from prismgrid.llm.common import components, drop_staged, release, small_batches
 from prismgrid.llm.simhash import LINK_BITS, fingerprints, keep_one, links, text_keys
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: Smallest hashes of a text that the first round looks at.
-FIRST = 4
+#: Smallest hashes of a text that the first rounds look at, and how many partners each of them gives in the second.
+FIRST, PARTNERS = 4, 8
 #: Counters of shingles (a byte each, sent to every worker), and the slices they are summed in.
 COUNTERS, SLICES = 1 << 24, 256
 #: Bytes of text in a bucket of the table of texts.
@@ -77,23 +78,24 @@ def prefix(own: np.ndarray, held: np.ndarray, similarity: float = SIMILARITY) ->
     return own[np.argsort(held[(own % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")][:most]
 
 
-def meetings(h, cid, n, at, group, star: bool, similarity: float = SIMILARITY, chunk: int = 1 << 20) -> np.ndarray:
+def meetings(h, cid, n, at, group, partners: int | None, similarity: float = SIMILARITY, chunk: int = 1 << 20) -> np.ndarray:
     """Distinct pairs of ``cid`` that share ``h``, lie in different ``group`` and can be similar.
 
-    ``star``: only those with the first of each shingle.
+    ``partners``: how many others of a shingle each one is paired with, those before it by cid (a hash); 0: with
+    the first of the shingle; None: with all.
     """
     order = np.lexsort((cid, h))
     h, cid, n, at, group = h[order], cid[order], n[order], at[order], group[order]
     first = np.searchsorted(h, h, "left")
-    partners = np.arange(len(h)) - first  # rows before this one in its shingle
-    if star:
-        partners = np.minimum(partners, 1)
-    ends = np.cumsum(partners)
+    before = np.arange(len(h)) - first  # rows before this one in its shingle
+    if partners is not None:
+        before = np.minimum(before, max(partners, 1))
+    ends = np.cumsum(before)
     found = [np.empty((0, 2), np.int64)]
     for done in range(0, int(ends[-1]) if len(ends) else 0, chunk):
         numbers = np.arange(done, min(done + chunk, int(ends[-1])))
         j = np.searchsorted(ends, numbers, "right")
-        i = first[j] + partners[j] - (ends[j] - numbers)
+        i = first[j] if partners == 0 else j - (ends[j] - numbers)
         most = np.minimum(n[i] - at[i], n[j] - at[j])  # shared from here on, if this is the first
         ok = most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
         ok &= (group[i] != group[j]) & (cid[i] != cid[j])
@@ -139,7 +141,7 @@ def _fingerprint_links(texts: DataFrame, bits: int) -> DataFrame:
     return out
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BITS, bucket_rows: int = 150_000) -> DataFrame:
+def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BITS, bucket_rows: int = 1_000_000) -> DataFrame:
     """``(_k1, _k2, component)`` of each distinct text of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -165,20 +167,20 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BIT
     dealt = texts.select("cid", "text").mapInArrow(deal, "h long, cid long, n int, at int, first boolean")
     dealt = staged(dealt, "prefixes")
 
-    def candidates(rows: DataFrame, star: bool) -> DataFrame:
+    def candidates(rows: DataFrame, partners: int | None) -> DataFrame:
         def meet(group: pd.DataFrame) -> pd.DataFrame:
-            pairs = meetings(*(group[c].to_numpy() for c in ("h", "cid", "n", "at", "grp")), star, similarity)
+            pairs = meetings(*(group[c].to_numpy() for c in ("h", "cid", "n", "at", "grp")), partners, similarity)
             return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-        buckets = max(48, -(-rows.count() // bucket_rows))
+        buckets = max(12, -(-rows.count() // bucket_rows))
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
         return staged(rows.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct(), "candidates")
 
-    def similar(member: DataFrame, star: bool) -> DataFrame:
+    def similar(member: DataFrame, first: bool, partners: int | None) -> DataFrame:
         """Links between texts that are in different groups of ``member`` so far."""
-        rows = dealt.filter(F.col("first") == star).join(member, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
-        pairs = candidates(rows.select("h", "cid", "n", "at", "grp"), star)
-        if not star:
+        rows = dealt.filter(F.col("first") == first).join(member, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
+        pairs = candidates(rows.select("h", "cid", "n", "at", "grp"), partners)
+        if partners is None:
             drop_staged(dealt)
         release(spark)
         out = staged(_verified(pairs, texts, similarity), "found")
@@ -187,9 +189,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BIT
         return out
 
     grouped = lambda found: staged(components(found).select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups")
-    for star in (True, False):
+    for first, partners in ((True, 0), (True, PARTNERS), (False, None)):
         member = grouped(linked)
-        linked = linked.union(similar(member, star))
+        linked = linked.union(similar(member, first, partners))
         drop_staged(member)
     member = grouped(linked)
     named = texts.select("_k1", "_k2", "cid").join(member, "cid", "left").select("_k1", "_k2", F.coalesce("grp", "cid").alias("component"))
