@@ -163,3 +163,15 @@ def test_merge_tiles_of_frames_of_other_sizes(spark, tile):
     want, used, _ = K.merge(burst)
     away = np.abs(want.astype(int) - B.decode(got["rgb"], got["width"], got["height"]))
     assert want.shape == (65, 100, 3) and got["used"] == used and away.max() <= 1 and (away > 0).mean() < 1e-3
+
+
+def test_super_resolution_of_frames_of_other_sizes(spark):
+    whole = S.burst(S.clean("edges")[:128, :64], 7, 3)
+    burst = [whole[0][:127], whole[1][:126], whole[2]]
+    frames = B.from_arrays(spark, burst, burst_id=["a"] * 3)
+    got = B.merge_bursts(frames, "super").first()
+    want = K.super_resolve([f[:126] for f in whole])[0]
+    f = B.decode(got["rgb"], got["width"], got["height"])
+    assert f.shape == (254, 128, 3)
+    # Far from the rows that only some frames have it is the result of equal frames.
+    assert (np.abs(f[:128].astype(int) - want[:128]) > 2).mean() < 0.01
