@@ -58,12 +58,13 @@ def merge_weights(px: DataFrame, tiles: DataFrame, scales: tuple[float, float] =
     return got.select("frame_id", "y", "x", "r", "g", "b", F.expr(weight).alias("weight"))
 
 
-def weighted_merge(reference: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Weighted mean with the reference at weight 1; unsupported pixels keep the reference."""
+def weighted_merge(reference: DataFrame, weighted: DataFrame, lone: bool = True) -> DataFrame:
+    """Weighted mean with the reference at weight 1; unsupported pixels keep the reference. Pixels that
+    ``weighted`` has no row for are left out unless ``lone``."""
     sums = weighted.groupBy("y", "x").agg(
         *[F.sum(F.col("weight") * F.col(c)).alias(f"s{c}") for c in "rgb"], F.sum("weight").alias("sw")
     )
-    both = reference.join(sums, ["y", "x"], "left").fillna(0.0, ["sr", "sg", "sb", "sw"])
+    both = reference.join(sums, ["y", "x"], "left" if lone else "inner").fillna(0.0, ["sr", "sg", "sb", "sw"])
     mean = lambda c: F.expr(f"CASE WHEN sw <= 1e-3 THEN {c} ELSE {color.code(f'({c} + s{c}) / (1e0 + sw)')} END").alias(c)
     return both.select("frame_id", "y", "x", *[mean(c) for c in "rgb"])
 

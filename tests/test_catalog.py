@@ -44,3 +44,11 @@ def test_runs(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+@pytest.mark.parametrize(("name", "count"), [("a13_weighted_merge", 301)])
+def test_bursts_whose_rows_do_not_divide(spark, tmp_path, name, count):
+    spark.read.parquet(f"{SF}/embeddings.parquet").filter(f"vec_id < {count}").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(catalog.ORACLE_SQL[name]).df())
