@@ -211,7 +211,8 @@ QUERIES["a22_rendition_report"] = lambda spark, sf_dir: R.rounded(R.rendition_qu
 
 
 def fuse_rows(spark, sf_dir):
-    h = raster.read(spark, sf_dir, "embeddings").count() // 5
+    last = raster.read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    h = 0 if last is None else last // 5 + 1  # of the first frame, which is as high as any
     return merge.fuse_pyramid(ev_burst(spark, sf_dir), (64, h))
 
 

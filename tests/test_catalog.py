@@ -46,7 +46,7 @@ def test_every_sql_has_a_query():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
-@pytest.mark.parametrize(("name", "count"), [("a13_weighted_merge", 301)])
+@pytest.mark.parametrize(("name", "count"), [("a13_weighted_merge", 301), ("c07_pyramid_fusion", 303)])
 def test_bursts_whose_rows_do_not_divide(spark, tmp_path, name, count):
     spark.read.parquet(f"{SF}/embeddings.parquet").filter(f"vec_id < {count}").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
