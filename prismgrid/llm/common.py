@@ -73,12 +73,10 @@ def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS):
         return pd.DataFrame({"map": [out.tobytes()]})
 
     marks = ids.select(at(column).alias("at")).mapInArrow(mark, "one long, map binary")
-    found = marks.groupBy("one").applyInPandas(merge, "map binary").collect()
-    if not found:
-        return F.lit(False)
-    whole = F.lit(bytes(found[0]["map"]))
+    # A subquery of one row: as a literal the map would be spelt out in every description of every plan that the driver keeps.
+    whole = staged(marks.groupBy("one").applyInPandas(merge, "map binary"), "bitmap").scalar()
     byte = F.conv(F.hex(F.substring(whole, (at(column) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (F.floor(byte / F.pow(F.lit(2.0), 7 - at(column) % 8)) % 2) == 1
+    return F.coalesce((F.floor(byte / F.pow(F.lit(2.0), 7 - at(column) % 8)) % 2) == 1, F.lit(False))
 
 
 def release(spark: SparkSession) -> None:

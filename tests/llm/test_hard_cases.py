@@ -106,3 +106,10 @@ def test_a_bitmap_of_ids_loses_none(spark):
     assert wide >= set(range(0, 3000, 3)) and len(wide) < 1010
     assert {r[0] for r in rows.filter(common.may_hold(ids, "doc_id", 64)).collect()} >= set(range(0, 3000, 3))
     assert rows.filter(common.may_hold(ids.limit(0), "doc_id")).count() == 0
+
+
+def test_a_bitmap_of_ids_is_not_spelt_out_in_plans(spark):
+    ids = spark.range(0, 3000, 3).select(F.col("id").alias("doc_id"))
+    rows = spark.range(3000).select(F.col("id").alias("doc_id")).filter(common.may_hold(ids, "doc_id"))
+    rows.collect()
+    assert len(rows._jdf.queryExecution().toString()) < 100_000
