@@ -10,9 +10,10 @@ pruned with all below, so cells, then nodes of each level; so close that even th
 link, all pairs are counted without a look. What remains goes down a level; a level at which hardly
 anything is pruned is passed by one matrix product of the next. Points are verified in double precision.
 
-The pairs of blocks that the cells' radii leave are the tasks, a hot cell only makes more blocks, and a
-block travels as one row a pair. A task writes one row per point that it found linked, with the number
-of links and one partner that stands for its group, never the pairs themselves; components are
+Tasks take the pairs of blocks that the cells' radii leave from a product of the stored blocks with
+themselves, which reads them again and writes nothing; a hot cell only makes more blocks. Blocks hold the
+vectors as they were given, in their own precision. A task writes one row per point that it found linked, with
+the number of links and one partner that stands for its group, never the pairs themselves; components are
 those of these rows.
 
 Null, empty, zero vectors and vectors with null or non-finite components link with nothing, and
@@ -255,9 +256,11 @@ def near_cells(pivots: dict[int, np.ndarray], cells: dict[tuple, tuple], cosine:
 
 
 def _linked(points: DataFrame, cosine: float, block: int) -> DataFrame:
-    """``(cid, partner, links)`` from ``points(cid, embedding, weight, size)``."""
+    """``(cid, partner, links)`` from ``points(cid, embedding, weight, size)``, a staged table that is deleted."""
     spark = points.sparkSession
     pivots = _pivots(points, block)
+    kind = points.schema["embedding"].dataType.simpleString()
+    raw = np.float32 if kind == "array<float>" else np.float64
 
     def place(batches):
         for b in batches:
@@ -273,8 +276,9 @@ def _linked(points: DataFrame, cosine: float, block: int) -> DataFrame:
                 [*b.columns, pa.array(pivot), pa.array(far)], ["cid", "embedding", "weight", "size", "pivot", "far"]
             )
 
-    schema = "cid long, embedding array<double>, weight long, size int, pivot int, far double"
+    schema = f"cid long, embedding {kind}, weight long, size int, pivot int, far double"
     placed = staged(points.select("cid", "embedding", "weight", "size").mapInArrow(place, schema), "placed")
+    drop_staged(points)
     cells = placed.groupBy("size", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
     split = {(r["size"], r["pivot"]): r for r in cells.filter(F.col("size").isin(list(pivots))).collect()}
     plan = near_cells(pivots, {k: (r["n"], r["radius"]) for k, r in split.items()}, cosine, block)
@@ -284,66 +288,73 @@ def _linked(points: DataFrame, cosine: float, block: int) -> DataFrame:
 
     def build(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cid")
-        x = unit(group["embedding"].tolist())
-        blob = S.pack(group["cid"].to_numpy(np.uint64), group["weight"].to_numpy(np.int64), x.ravel(), *owners(x))
+        own = np.array(group["embedding"].tolist(), raw)
+        blob = S.pack(group["cid"].to_numpy(np.uint64), group["weight"].to_numpy(np.int64), own.ravel(), *owners(unit(own)))
         return pd.DataFrame([[*map(int, key), blob]], columns=["size", "pivot", "part", "tree"])
 
     # A length without pivots is one block; many of them share a task.
-    trees = dealt.groupBy("size", "pivot", "part").applyInPandas(build, "size int, pivot int, part int, tree binary")
+    # As many files as there are partitions: the product of the blocks has a task for each two of them.
+    cut = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "size", "pivot", "part")
+    trees = cut.groupBy("size", "pivot", "part").applyInPandas(build, "size int, pivot int, part int, tree binary")
     trees = staged(trees, "trees")
     drop_staged(placed)
     release(spark)
-    small_batches(spark, 16)  # rows are blocks of a megabyte from here on
-    here = F.struct(F.col("pivot"), F.col("part"))
-    partners = F.flatten(
-        F.transform(
-            "near",
-            lambda b: F.transform(F.sequence(F.lit(0), b["parts"] - 1), lambda k: F.struct(b["pivot"].alias("pivot"), k.alias("part"))),
-        )
-    )
-    pairs = (
-        trees.join(plan, ["size", "pivot"], "left")
-        .withColumn("o", F.explode(F.coalesce(partners, F.array(here))))
-        .select("size", "tree", F.least(here, "o").alias("a"), F.greatest(here, "o").alias("b"), (here == F.least(here, "o")).alias("left"))
-    )
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        blobs = [S.unpack(b) for b in group.sort_values("left", ascending=False, kind="stable")["tree"]]
-        cid = np.concatenate([b[0] for b in blobs]).astype(np.int64)
-        weight = np.concatenate([b[1] for b in blobs]).astype(np.int64)
-        xs = [b[2].reshape(len(b[0]), -1) for b in blobs]
-        levels = [nets(x, [o.astype(np.int64) for o in b[3:]]) for x, b in zip(xs, blobs, strict=True)]
-        if len(blobs) == 1:
-            if group["a"].iloc[0] != group["b"].iloc[0]:  # the other block is empty
-                return pd.DataFrame({"cid": [], "partner": [], "links": []})
-            found = traverse(xs[0], None, weight, cosine, levels[0])
-        else:
-            found = traverse(*xs, weight, cosine, *levels)
-        hit = np.flatnonzero(found.count)
-        S.trim()
-        return pd.DataFrame({"cid": cid[hit], "partner": cid[found.label[hit]], "links": found.count[hit]})
-
-    return pairs.groupBy("size", "a", "b").applyInPandas(meet, "cid long, partner long, links long")
+    small_batches(spark, 4)  # rows are two blocks of a megabyte from here on
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "16")
+    # A length without pivots is one block and meets itself alone.
+    single = trees.filter(~F.col("size").isin(list(pivots))).select("tree", F.lit(None).cast("binary").alias("other"))
+    left, right = trees.join(plan.select("size", "pivot", "near"), ["size", "pivot"]).alias("a"), trees.alias("b")
+    a, b = F.struct("a.pivot", "a.part"), F.struct("b.pivot", "b.part")
+    met = (F.col("a.size") == F.col("b.size")) & (a <= b) & F.exists("a.near", lambda n: n["pivot"] == F.col("b.pivot"))
+    pairs = left.join(right.hint("shuffle_replicate_nl"), met)
+    pairs = pairs.select("a.tree", F.when(a != b, F.col("b.tree")).alias("other"))
+
+    def opened(blob: bytes):
+        cid, weight, own, *owned = S.unpack(blob)
+        x = unit(own.reshape(len(cid), -1))
+        return cid.astype(np.int64), weight.astype(np.int64), x, nets(x, [o.astype(np.int64) for o in owned])
+
+    def meet(batches):
+        last, held = None, None  # pairs of one block come one after the other
+        for batch in batches:
+            for tree, other in zip(batch["tree"], batch["other"], strict=True):
+                if tree != last:
+                    last, held = tree, opened(tree)
+                if other is None:
+                    cid, weight, x, levels = held
+                    found = traverse(x, None, weight, cosine, levels)
+                else:
+                    (cid, weight, x, levels), more = held, opened(other)
+                    cid, weight = np.concatenate([cid, more[0]]), np.concatenate([weight, more[1]])
+                    found = traverse(x, more[2], weight, cosine, levels, more[3])
+                hit = np.flatnonzero(found.count)
+                S.trim()
+                yield pd.DataFrame({"cid": cid[hit], "partner": cid[found.label[hit]], "links": found.count[hit]})
+
+    return pairs.unionByName(single).mapInPandas(meet, "cid long, partner long, links long")
 
 
 def near_pairs(vectors: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Per row of ``vectors(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``."""
     small_batches(vectors.sparkSession, 2048)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    # Vectors are kept as they are given, in single precision or double; what is compared is double.
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
     key = [F.xxhash64(F.lit(1), "embedding").alias("k1"), F.xxhash64(F.lit(2), "embedding").alias("k2")]
     rows = rows.withColumn("ok", usable(F.col("embedding"))).select("*", *key)
     alone = rows.filter(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    rows = staged(rows.filter("ok"), "vectors")
-    points = rows.groupBy("k1", "k2").agg(
+    points = rows.filter("ok").groupBy("k1", "k2").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding")
     )
     points = points.withColumn("size", F.size("embedding"))
     points = staged(points.withColumn("cid", F.monotonically_increasing_id()), "points")
+    light = staged(points.select("k1", "k2", "cid", "first_id", "weight"), "light")
+    rows = staged(rows.filter("ok").select("vec_id", "k1", "k2"), "vectors")
+    release(vectors.sparkSession)
     found = staged(_linked(points, cosine, block), "found")
     small_batches(vectors.sparkSession, 4096)
     member = components(found.filter("cid <> partner").select(F.col("cid").alias("src"), F.col("partner").alias("dst")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    light = points.select("k1", "k2", "cid", "first_id", "weight")
     named = light.join(links, "cid", "left").join(member.withColumnRenamed("node", "cid"), "cid", "left")
     named = staged(
         named.select("k1", "k2", "first_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")),

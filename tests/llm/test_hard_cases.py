@@ -113,3 +113,15 @@ def test_a_bitmap_of_ids_is_not_spelt_out_in_plans(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id")).filter(common.may_hold(ids, "doc_id"))
     rows.collect()
     assert len(rows._jdf.queryExecution().toString()) < 100_000
+
+
+def test_blocks_meet_without_being_shuffled(spark):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 1, 8) for i, v in enumerate(x)], "cid long, embedding array<float>, weight long, size int")
+    found = cover_tree._linked(common.staged(df, "points"), 0.9, 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange hashpartitioning" not in plan
+    got = {r["cid"]: r["n"] for r in found.groupBy("cid").agg(F.sum("links").alias("n")).collect()}
+    u = cover_tree.unit(x.astype(np.float32))
+    near = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert got == {i: n for i, n in enumerate(near.tolist()) if n}
