@@ -8,6 +8,12 @@ bounds what they can share by the places it has in both. The order puts shingles
 which keeps common passages out of the prefixes: shingles are counted, all of them, in a table of fixed size by
 their hash. Whatever the collisions there, the order is one.
 
+Rows of a shingle that many texts hold carry a sketch of the text's whole set: a bit is the parity of the shingles
+that fall on it. Two sketches differ in no more bits than the sets in shingles, so pairs whose sketches differ in more
+than a similarity allows are left out for certain, where they meet, and never become rows. A large group of loose
+copies thus costs a row for each prefix shingle, and one for each pair that comes near the similarity. Sketches of
+some thousand words and more are half full whatever the set and leave little out; nothing is lost by that.
+
 Candidates are verified on the whole sets, in three rounds, each only between components of those before: each text
 with one other that has one of its ``FIRST`` smallest hashes in common, which connects most copies; with ``PARTNERS``
 others of each of these, as in a large group of loose copies only some pairs are similar; at last all that share a
@@ -34,6 +40,9 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 FIRST, PARTNERS = 4, 8
 #: Counters of shingles (a byte each, sent to every worker), and the slices they are summed in.
 COUNTERS, SLICES = 1 << 24, 256
+#: Bits of a sketch, and the least number of bits of the count of a shingle whose rows carry one (16 texts); in a
+#: table so full that most counters are above that, ``ABOVE`` bits over the middle one.
+SKETCH, MANY, ABOVE = 1024, 5, 3
 #: Bytes of text in a bucket of the table of texts.
 TABLE = 1 << 25
 
@@ -78,11 +87,43 @@ def prefix(own: np.ndarray, held: np.ndarray, similarity: float = SIMILARITY) ->
     return own[np.argsort(held[(own % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")][:most]
 
 
-def meetings(h, cid, n, at, group, partners: int | None, similarity: float = SIMILARITY, chunk: int = 1 << 20) -> np.ndarray:
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the shingles on each bit. Bits are taken by the upper half of a hash, its order by the whole."""
+    at = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % SKETCH
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sketches and sizes of some of the texts."""
+
+    def __init__(self, cid: np.ndarray, n: np.ndarray, sketch: np.ndarray):
+        """Rows; a text's rows may repeat it, and ``sketch`` is None in those that carry none."""
+        held = np.flatnonzero(pd.notna(sketch))
+        self.cid, first = np.unique(cid[held], return_index=True)
+        self.n = n[held[first]].astype(np.int64)
+        self.words = np.array(sketch[held[first]].tolist(), f"S{SKETCH // 8}").view(np.uint64).reshape(len(first), SKETCH // 64)
+
+    def near(self, pairs: np.ndarray, similarity: float, chunk: int = 1 << 16) -> np.ndarray:
+        """Which pairs can be similar, as far as both have a sketch."""
+        out = np.ones(len(pairs), bool)
+        if not len(self.cid):
+            return out
+        at = np.minimum(np.searchsorted(self.cid, pairs), len(self.cid) - 1)
+        known = np.flatnonzero((self.cid[at] == pairs).all(axis=1))
+        for part in np.split(known, range(chunk, len(known), chunk)):
+            a, b = at[part].T
+            apart = np.bitwise_count(self.words[a] ^ self.words[b]).sum(axis=1, dtype=np.int64)  # at most as far as the sets
+            out[part] = apart * (1 + similarity) <= (1 - similarity) * (self.n[a] + self.n[b]) + 1e-6
+        return out
+
+
+def meetings(
+    h, cid, n, at, group, partners: int | None, similarity: float = SIMILARITY, chunk: int = 1 << 20, sketches: Sketches | None = None
+) -> np.ndarray:
     """Distinct pairs of ``cid`` that share ``h``, lie in different ``group`` and can be similar.
 
     ``partners``: how many others of a shingle each one is paired with, those before it by cid (a hash); 0: with
-    the first of the shingle; None: with all.
+    the first of the shingle; None: with all. ``sketches``: of some texts.
     """
     order = np.lexsort((cid, h))
     h, cid, n, at, group = h[order], cid[order], n[order], at[order], group[order]
@@ -99,7 +140,8 @@ def meetings(h, cid, n, at, group, partners: int | None, similarity: float = SIM
         most = np.minimum(n[i] - at[i], n[j] - at[j])  # shared from here on, if this is the first
         ok = most * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
         ok &= (group[i] != group[j]) & (cid[i] != cid[j])
-        found.append(np.unique(np.stack([cid[i[ok]], cid[j[ok]]], axis=1), axis=0))
+        pairs = np.unique(np.stack([cid[i[ok]], cid[j[ok]]], axis=1), axis=0)
+        found.append(pairs[sketches.near(pairs, similarity)] if sketches else pairs)
     return np.unique(np.concatenate(found), axis=0)
 
 
@@ -150,26 +192,31 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BIT
     texts = rows.groupBy("_k1", "_k2").agg(F.any_value("text").alias("text")).withColumn("cid", F.col("_k1"))
     texts = S.staged_by([texts], "cid", buckets, "texts")
     linked = _fingerprint_links(texts, bits)
-    sent = spark.sparkContext.broadcast(counters(texts))
+    held = counters(texts)
+    sent, many = spark.sparkContext.broadcast(held), max(MANY, int(np.median(held)) + ABOVE)
 
     def deal(batches):
         for batch in batches:
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
+            sketches = pa.array([sketch(x) for x in sets], pa.binary())
             cids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, heads in ((True, [x[:FIRST] for x in sets]), (False, [prefix(x, sent.value, similarity) for x in sets])):
                 size = np.array([len(x) for x in heads], np.int64)
                 n = np.repeat(np.array([len(x) for x in sets], np.int32), size)
                 at = (np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-                h = np.concatenate([*heads, np.empty(0, np.uint64)]).view(np.int64)
-                columns = [h, np.repeat(cids, size), n, at, np.full(len(n), first)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "cid", "n", "at", "first"])
+                h = np.concatenate([*heads, np.empty(0, np.uint64)])
+                few = sent.value[(h % np.uint64(COUNTERS)).astype(np.int64)] < many
+                columns = [h.view(np.int64), np.repeat(cids, size), n, at, np.full(len(n), first)]
+                columns = [*map(pa.array, columns), sketches.take(pa.array(np.repeat(np.arange(len(sets)), size), mask=few))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "cid", "n", "at", "first", "sketch"])
 
-    dealt = texts.select("cid", "text").mapInArrow(deal, "h long, cid long, n int, at int, first boolean")
+    dealt = texts.select("cid", "text").mapInArrow(deal, "h long, cid long, n int, at int, first boolean, sketch binary")
     dealt = staged(dealt, "prefixes")
 
     def candidates(rows: DataFrame, partners: int | None) -> DataFrame:
         def meet(group: pd.DataFrame) -> pd.DataFrame:
-            pairs = meetings(*(group[c].to_numpy() for c in ("h", "cid", "n", "at", "grp")), partners, similarity)
+            h, cid, n, at, grp, sketched = (group[c].to_numpy() for c in ("h", "cid", "n", "at", "grp", "sketch"))
+            pairs = meetings(h, cid, n, at, grp, partners, similarity, sketches=Sketches(cid, n, sketched))
             return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
         buckets = max(12, -(-rows.count() // bucket_rows))
@@ -179,7 +226,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bits: int = LINK_BIT
     def similar(member: DataFrame, first: bool, partners: int | None) -> DataFrame:
         """Links between texts that are in different groups of ``member`` so far."""
         rows = dealt.filter(F.col("first") == first).join(member, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
-        pairs = candidates(rows.select("h", "cid", "n", "at", "grp"), partners)
+        pairs = candidates(rows.select("h", "cid", "n", "at", "grp", "sketch"), partners)
         if partners is None:
             drop_staged(dealt)
         release(spark)

@@ -321,6 +321,42 @@ def test_pipeline_links_all_texts_of_similarity_0_8(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_loose_copies_of_one_text_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng, base = np.random.default_rng(6), [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):  # most pairs share half of their shingles, some reach the bound
+        copy = base.copy()
+        for at in rng.choice(150, 2 if i < 30 else 9, replace=False):
+            copy[at] = f"c{rng.integers(0, 10**6)}"
+        texts.append(" ".join(copy))
+    sets = [set(near_text.shingles(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp, looked, verified = components_of(range(len(texts)), pairs), [], near_text._verified
+
+    def counted(pairs, *args):
+        looked.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(near_text, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_text.deduplicate(docs).collect()} == set(comp.values())
+    assert 30 < len(pairs) < 3000 and sum(looked) < 3000  # of 44,850
+
+
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(7)
+    for size in (1, 30, 5000):
+        sets = [np.unique(rng.integers(0, 2**64, size, np.uint64)) for _ in range(6)]
+        sets = [np.unique(np.concatenate([a[: size // 2], b])) for a in sets for b in sets]
+        cid, n = np.arange(len(sets)), np.array([len(x) for x in sets])
+        known = near_text.Sketches(cid, n, np.array([*map(near_text.sketch, sets[:-1]), None], object))
+        pairs = np.array([(i, j) for i in range(len(sets)) for j in range(i)])
+        near = known.near(pairs, 0.8, chunk=100)
+        shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in pairs])
+        similar = shared >= 0.8 * (n[pairs].sum(axis=1) - shared)
+        assert near[similar].all() and near[(pairs == len(sets) - 1).any(axis=1)].all() and (size != 30 or not near.all())
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16))
