@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -462,6 +464,24 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert bpe.encode(docs.limit(0), path, pattern).count() == 0
 
 
+def test_ids_are_decoded_without_an_object_each():
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["", "one two", "naïve 𝒳", " " * 50]
+    lists = pa.array([None, *(enc.encode_ordinary(t) for t in texts), None], pa.list_(pa.int32()))
+    assert bpe.decode_lists(enc, lists).to_pylist() == [b"", *(t.encode() for t in texts), b""]
+    assert bpe.decode_lists(enc, lists[2:4]).to_pylist() == [b"one two", "naïve 𝒳".encode()]
+    assert len(bpe.decode_lists(enc, lists[:0])) == 0
+    masked = pa.ListArray.from_arrays(pa.array([0, 2, 4]), pa.array([1, 2, 3, 4], pa.int32()), mask=pa.array([True, False]))
+    assert bpe.decode_lists(enc, masked).to_pylist() == [b"", enc.decode_bytes([3, 4])]
+    many = pa.array([list(range(1000, 3000))] * 500, pa.list_(pa.int32()))
+    took = []
+    for step in (lambda: bpe.decode_lists(enc, many), many.to_pylist):
+        start = time.process_time()
+        step()
+        took.append(time.process_time() - start)
+    assert took[0] < 0.6 * took[1]  # about 0.15
+
+
 @pytest.mark.parametrize("group_rows", [4096, 5])
 def test_mixing_meets_its_targets(spark, group_rows):
     docs = corpus(spark)
