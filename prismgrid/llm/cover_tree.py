@@ -41,6 +41,8 @@ THRESHOLD = 0.9
 BLOCK, SAMPLE, PIVOTS = 4096, 4096, 256
 #: Radii of the levels below the pivots, halving.
 RADII = (1.0, 0.5, 0.25, 0.125)
+#: A level is kept if the next one kept has so many times its nodes; others hardly divide any.
+DIVIDED = 1.5
 #: Share of pairs left above which a level is passed.
 DENSE = 0.1
 _EDGE = 1e-6  # what single precision may be off when centres are compared
@@ -104,9 +106,14 @@ def owners(x: np.ndarray, radii=RADII) -> list[np.ndarray]:
 
 
 def nets(x: np.ndarray, owned: list[np.ndarray] | None = None) -> list[Net]:
-    """Nested levels of a block, coarse to fine; the finest has points as members."""
-    owned = owners(x) if owned is None else owned
-    levels = []
+    """Nested levels of a block, coarse to fine; the finest has points as members. Levels that hardly divide a node
+    are left out, as an explicit cover tree leaves out nodes that are their own only child: their centres would be
+    compared again for nothing."""
+    kept: list[np.ndarray] = []
+    for owner in reversed(owners(x) if owned is None else owned):
+        if not kept or len(np.unique(kept[0])) >= DIVIDED * len(np.unique(owner)):
+            kept.insert(0, owner)
+    owned, levels = kept, []
     for k, owner in enumerate(owned):
         heads = np.unique(owner)
         node = np.searchsorted(heads, owner)
@@ -118,6 +125,12 @@ def nets(x: np.ndarray, owned: list[np.ndarray] | None = None) -> list[Net]:
     return levels
 
 
+def aligned(left: list[Net], right: list[Net]) -> tuple[list[Net], list[Net]]:
+    """Both with as many levels: the coarsest nodes of the shorter one wait, as their own only members."""
+    wait = lambda nets, levels: [Net(nets[0].centre, nets[0].radius, np.arange(len(nets[0].centre)))] * (levels - len(nets)) + nets
+    return wait(left, len(right)), wait(right, len(left))
+
+
 def _products(a: Net, b: Net, pairs: np.ndarray, most: int):
     """Member pairs of node pairs, at most about ``most`` at a time (a large pair comes alone), and
     whether the two nodes have the same number."""
@@ -189,6 +202,7 @@ def traverse(
     reach = math.sqrt(2 - 2 * cosine)
     left = left or nets(x)
     right, shift = (left, 0) if same else (right or nets(y), len(x))
+    left, right = aligned(left, right)
     found, points, z = Links(weight), x, x if same else y
     # Within one block only a node's pairs with itself come in both orders; members of two nodes
     # come once, in either order, as numbers are not those of the nodes.

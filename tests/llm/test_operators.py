@@ -402,6 +402,22 @@ def test_links_across_nodes_in_any_order():
         assert len(set(found.label.tolist())) == len(set(comp.values()))
 
 
+def test_levels_that_divide_nothing_are_left_out():
+    rng = np.random.default_rng(3)
+    far = cover_tree.unit(rng.normal(size=(300, 64)))
+    close = cover_tree.unit(far[:20].repeat(15, axis=0) + 0.03 * rng.normal(size=(300, 64)))
+    both = cover_tree.unit(np.concatenate([far[:150], close[:150] + 0.02 * rng.normal(size=(150, 64))]))
+    rings = cover_tree.unit(rng.normal(size=(300, 3)) @ rng.normal(size=(3, 64)))
+    assert len(cover_tree.nets(far)) == 1 < len(cover_tree.nets(rings))
+    for x, y in ((far, close), (close, far), (rings, both), (both, rings), (rings, close), (close, both)):
+        found = cover_tree.traverse(x, y, np.ones(600, np.int64), 0.9)
+        near = x @ y.T >= 0.9
+        assert (found.count == np.concatenate([near.sum(axis=1), near.sum(axis=0)])).all()
+        comp = components_of(range(600), [(int(i), 300 + int(j)) for i, j in np.argwhere(near)])
+        assert [comp[i] for i in found.label] == [comp[i] for i in range(600)]
+    assert cover_tree.traverse(rings, None, np.ones(300, np.int64), 0.9).count.sum() == (rings @ rings.T >= 0.9).sum() - 300
+
+
 def test_nets_cover_their_members():
     x = cover_tree.unit(np.random.default_rng(1).normal(size=(200, 3)))
     levels = cover_tree.nets(x)
